@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from soundledger.operators.chunks import number_names, running, with_chunks
 
 
-def replay(events: DataFrame, key: tuple[str, ...] = ("path",), line: str = "line") -> DataFrame:
+def replay(events: DataFrame, key: tuple[str, ...] = ("path",), line: str = "line", keep_removed: bool = False) -> DataFrame:
     """Current state of each path from its events in line order.
 
     The last register, close or purge decides: a purge removes the path, the
     others set all fields. An ack after it marks the path synced. Everything is
-    one aggregate per path, combined before the shuffle.
+    one aggregate per path, combined before the shuffle. ``keep_removed`` adds
+    paths that are gone, with ``live`` false, for sinks that must forget them.
     """
     resets = F.col("op").isin("register", "close", "purge")
     fields = F.struct("op", "size", "mtime", "sha256", "category", "sync_state")
@@ -22,7 +23,8 @@ def replay(events: DataFrame, key: tuple[str, ...] = ("path",), line: str = "lin
         F.max(F.when(resets, F.col(line))).alias("_reset"),
         F.max(F.when(F.col("op") == "ack", F.col(line))).alias("_ack"),
     )
-    live = last.filter(F.col("_s.op").isin("register", "close"))
+    is_live = F.coalesce(F.col("_s.op").isin("register", "close"), F.lit(False))
+    live = last if keep_removed else last.filter(is_live)
     synced = (F.col("_s.sync_state") == "synced") | (F.col("_ack") > F.col("_reset"))
     return live.select(
         *key,
@@ -31,6 +33,7 @@ def replay(events: DataFrame, key: tuple[str, ...] = ("path",), line: str = "lin
         F.col("_s.sha256").alias("sha256"),
         F.col("_s.category").alias("category"),
         F.when(F.coalesce(synced, F.lit(False)), "synced").otherwise("pending").alias("sync_state"),
+        *([is_live.alias("live")] if keep_removed else []),
     )
 
 
