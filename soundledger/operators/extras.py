@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from soundledger.operators import aggregates as A
 from soundledger.operators.chunks import CHUNK, neighbour, with_chunks
+from soundledger.operators.folds import map_groups, with_entry
 from soundledger.operators.joins import as_of_backward, lookup
 from soundledger.operators.windows import sustained_level
 from soundledger.session import shared_dir
@@ -44,40 +44,36 @@ def delta_rows(df: DataFrame, keys: Sequence[str], time_us: str, tie: str, score
     shared_dir(df.sparkSession)
     rows = with_chunks(df.select(*keys, time_us, tie, scores), keys, time_us, **chunking)
     cell = [*keys, CHUNK]
-    entry_schema = T.StructType([*[rows.schema[c] for c in cell], T.StructField("entry", rows.schema[scores].dataType)])
-    out_schema = T.StructType([rows.schema[c] for c in [*keys, time_us, tie, scores]])
-
-    def fold(pdf: pd.DataFrame, entry: pd.DataFrame) -> tuple[pd.DataFrame, list[int], np.ndarray]:
-        pdf = pdf.sort_values([time_us, tie])
-        x = np.stack(pdf[scores].to_numpy()).astype(float)
-        last = entry["entry"].iloc[0] if len(entry) else None
-        kept = []
-        for i, row in enumerate(x):
+    vector = rows.schema[scores]
+
+    def fold(g: dict) -> tuple[list[int], object]:
+        last, kept = g["entry"][0], []
+        for i, row in enumerate(g[scores]):
             if last is None or np.abs(row - last).max() > delta:
                 kept.append(i)
                 last = row
-        return pdf, kept, last
+        return kept, last
+
+    def leave(g: dict) -> dict:
+        out = np.empty(1, dtype=object)
+        out[0] = fold(g)[1]
+        return {"entry": out}
 
-    def leave(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=entry_schema.names)
-        return pdf[cell].head(1).assign(entry=[fold(pdf, entry)[2]])
+    def keep(g: dict) -> dict:
+        kept = fold(g)[0]
+        return {c: g[c][kept] for c in (time_us, tie, scores)}
 
-    def keep(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=out_schema.names)
-        pdf, kept, _ = fold(pdf, entry)
-        return pdf.iloc[kept][out_schema.names]
+    def run(carry: DataFrame, fn, fields: list[T.StructField]) -> DataFrame:
+        return map_groups(with_entry(rows, carry, cell), cell, [time_us, tie], fn, fields)
 
-    both = lambda carry: rows.groupBy(*cell).cogroup(carry.groupBy(*cell))
-    carry = rows.select(*cell).distinct().withColumn("entry", F.lit(None).cast(rows.schema[scores].dataType))
+    carry = rows.select(*cell).distinct().withColumn("entry", F.lit(None).cast(vector.dataType))
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     while True:
-        exits = both(carry).applyInPandas(leave, entry_schema)
+        exits = run(carry, leave, [T.StructField("entry", vector.dataType)])
         moved = exits.withColumn("entry", F.lag("entry").over(across)).checkpoint()
         old = carry.withColumnRenamed("entry", "_old")
         if not moved.join(old, cell).filter(~F.col("entry").eqNullSafe(F.col("_old"))).take(1):
-            return both(carry).applyInPandas(keep, out_schema)
+            return run(carry, keep, [rows.schema[c] for c in (time_us, tie, scores)]).drop(CHUNK)
         carry = moved
 
 

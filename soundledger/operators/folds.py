@@ -2,107 +2,146 @@
 
 Each rule is split in three: what a chunk does to any state that may enter it
 (a small table per chunk), the walk over those tables per device, and the exact
-replay inside a chunk once its entry state is known. The first and last step
-run on one (device, chunk) group each, which ``with_chunks`` keeps bounded.
+replay inside a chunk once its entry state is known. A task reads its chunks one
+after the other from sorted batches and holds one of them at a time;
+``with_chunks`` keeps a chunk bounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundledger.operators.chunks import CHUNK, with_chunks
+from soundledger.operators.chunks import CHUNK, neighbour, with_chunks
 
+Group = dict[str, np.ndarray]
 
-def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
-    return [df.schema[n] for n in names]
 
+def map_groups(df: DataFrame, cell: Sequence[str], order: Sequence[str], fn: Callable[[Group], Group], fields: Sequence[T.StructField]) -> DataFrame:
+    """Apply ``fn`` to the sorted columns of each group; the result is the cell columns and ``fields``.
 
-def chain_from(times: np.ndarray, start: int, gap: int) -> list[int]:
-    """Positions accepted when the first is ``start`` and each later one is at least ``gap`` after the last."""
-    picked, i = [], start
-    while i < len(times):
-        picked.append(i)
-        i = int(np.searchsorted(times, times[i] + gap, side="left"))
-    return picked
+    Grouping a frame of many small groups in Python costs milliseconds a group.
+    A window puts groups together, sorted, and marks where each begins, so that
+    plain batches can be cut into array slices instead.
+    """
+    cell, order = list(cell), list(order)
+    begins = F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) == 1
+    columns = df.columns
+    marked = df.withColumn("_begins", begins)
+    schema = T.StructType([*[df.schema[c] for c in cell], *fields])
+
+    def finish(parts: list[Group]) -> Group:
+        group = parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in columns}
+        out = fn(group)
+        n = len(next(iter(out.values())))
+        return {**{c: np.repeat(group[c][:1], n) for c in cell}, **out}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_parts: list[Group] = []
+        for pdf in batches:
+            data = {c: pdf[c].to_numpy() for c in columns}
+            done, pos = [], 0
+            for begin in [*np.flatnonzero(pdf["_begins"].to_numpy()).tolist(), len(pdf)]:
+                if begin > pos:
+                    open_parts.append({c: v[pos:begin] for c, v in data.items()})
+                if begin < len(pdf) and open_parts:
+                    done.append(finish(open_parts))
+                    open_parts = []
+                pos = begin
+            if done:
+                yield pd.DataFrame({c: np.concatenate([d[c] for d in done]) for c in schema.names})
+        if open_parts:
+            yield pd.DataFrame(finish(open_parts))[schema.names]
+
+    return marked.mapInPandas(run, schema)
+
+
+def _long(name: str) -> T.StructField:
+    return T.StructField(name, T.LongType())
+
+
+def _double(name: str) -> T.StructField:
+    return T.StructField(name, T.DoubleType())
+
+
+def with_entry(rows: DataFrame, carry: DataFrame, cell: Sequence[str]) -> DataFrame:
+    return rows.join(carry, list(cell), "left")
 
 
 def last_accepted(times: np.ndarray, gap: int) -> np.ndarray:
     """For every position, the time of the last accepted event when the chain starts there (pointer doubling)."""
     n = len(times)
     jump = np.append(np.searchsorted(times, times + gap, side="left"), n)
-    last = np.arange(n + 1)
+    last = np.arange(n)
     while True:
         alive = jump[:n] < n
         if not alive.any():
-            break
-        last[:n][alive] = last[jump[:n][alive]]
+            return times[last]
+        last[alive] = last[jump[:n][alive]]
         jump = jump[jump]
-    return times[last[:n]]
+
+
+def chain_from(times: np.ndarray, start: int, gap: int) -> list[int]:
+    """Positions accepted when the first is ``start`` and each later one is at least ``gap`` after the last."""
+    picked, i = [], start
+    while i < len(times):
+        picked.append(i)
+        i = int(np.searchsorted(times, times[i] + gap, side="left"))
+    return picked
 
 
 def space_out(df: DataFrame, keys: Sequence[str], time_us: str, tie: str, gap_us: int, **chunking) -> DataFrame:
-    """Keep an event only if it comes at least ``gap_us`` after the last kept event of its key."""
-    keys = list(keys)
-    rows = with_chunks(df.select(*keys, time_us, tie), keys, time_us, **chunking)
-    cell = [*keys, CHUNK]
+    """Keep an event only if it comes at least ``gap_us`` after the last kept event of its key.
 
-    entry_schema = T.StructType(
-        [*_fields(rows, cell), T.StructField("enter_us", T.LongType()), T.StructField("exit_us", T.LongType())]
-    )
+    The last event kept before a chunk blocks at most one gap past the chunk's
+    first event. Only for events in that span does a chunk list which event it
+    would keep last; entries that end alike are merged.
+    """
+    keys, order = list(keys), [time_us, tie]
+    rows = with_chunks(df.select(*keys, *order), keys, time_us, **chunking)
+    cell = [*keys, CHUNK]
 
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.unique(pdf[time_us].to_numpy(np.int64))
+    def entries(g: Group) -> Group:
+        t = np.unique(g[time_us])
         exits = last_accepted(t, gap_us)
-        # The last event kept before this chunk blocks at most one gap past its first event.
         upto = min(len(t), int(np.searchsorted(t, t[0] + gap_us, side="left")) + 1)
         keep = np.append(exits[1:upto] != exits[: upto - 1], True)
-        out = pd.DataFrame({"enter_us": t[:upto][keep], "exit_us": exits[:upto][keep]})
-        for c in cell:
-            out.insert(0, c, pdf[c].iloc[0])
-        return out[entry_schema.names]
-
-    carry_schema = T.StructType([*_fields(rows, cell), T.StructField("free_us", T.LongType())])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, out = np.iinfo(np.int64).min, []
-        for chunk, part in pdf.sort_values([CHUNK, "enter_us"]).groupby(CHUNK, sort=True):
-            out.append((chunk, free))
-            enter, exit_us = part["enter_us"].to_numpy(), part["exit_us"].to_numpy()
-            i = int(np.searchsorted(enter, free, side="left"))
-            if i < len(enter):
-                free = exit_us[i] + gap_us
-        res = pd.DataFrame(out, columns=[CHUNK, "free_us"])
-        for c in keys:
-            res.insert(0, c, pdf[c].iloc[0])
-        return res[carry_schema.names]
-
-    out_schema = T.StructType(_fields(rows, [*keys, time_us, tie]))
-
-    def replay(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=out_schema.names)
-        pdf = pdf.sort_values([time_us, tie])
-        t = pdf[time_us].to_numpy(np.int64)
-        start = int(np.searchsorted(t, carry["free_us"].iloc[0], side="left"))
-        return pdf.iloc[chain_from(t, start, gap_us)][out_schema.names]
-
-    table = rows.groupBy(*cell).applyInPandas(entries, entry_schema)
-    carry = table.groupBy(*keys).applyInPandas(walk, carry_schema)
-    return rows.groupBy(*cell).cogroup(carry.groupBy(*cell)).applyInPandas(replay, out_schema)
+        return {"enter_us": t[:upto][keep], "exit_us": exits[:upto][keep]}
+
+    def walk(g: Group) -> Group:
+        free, chunks, seen = np.iinfo(np.int64).min, [], []
+        starts = np.flatnonzero(np.append(True, g[CHUNK][1:] != g[CHUNK][:-1]))
+        for a, b in zip(starts, np.append(starts[1:], len(g[CHUNK]))):
+            chunks.append(g[CHUNK][a])
+            seen.append(free)
+            i = a + int(np.searchsorted(g["enter_us"][a:b], free, side="left"))
+            if i < b:
+                free = g["exit_us"][i] + gap_us
+        return {CHUNK: np.array(chunks), "free_us": np.array(seen, dtype=np.int64)}
+
+    def replay(g: Group) -> Group:
+        t = g[time_us]
+        kept = chain_from(t, int(np.searchsorted(t, g["free_us"][0], side="left")), gap_us)
+        return {c: g[c][kept] for c in order}
+
+    table = map_groups(rows, cell, order, entries, [_long("enter_us"), _long("exit_us")])
+    carry = map_groups(table, keys, [CHUNK, "enter_us"], walk, [rows.schema[CHUNK], _long("free_us")])
+    out = map_groups(with_entry(rows, carry, cell), cell, order, replay, [rows.schema[c] for c in order])
+    return out.drop(CHUNK)
 
 
 def decayed_mean(x: np.ndarray, y0: float, keep: float, block: int = 256) -> np.ndarray:
     """y[i] = keep*y[i-1] + (1-keep)*x[i], in blocks of one small matrix product."""
+    out = np.empty(len(x))
+    block = min(block, max(len(x), 1))
     lag = np.arange(block)[:, None] - np.arange(block)[None, :]
     weights = np.where(lag >= 0, (1 - keep) * keep ** np.maximum(lag, 0), 0.0)
     decay = keep ** np.arange(1, block + 1)
-    out = np.empty(len(x))
     for s in range(0, len(x), block):
         part = x[s : s + block]
         m = len(part)
@@ -117,51 +156,33 @@ def smoothed_rate(df: DataFrame, keys: Sequence[str], time_us: str, tie: str, ke
     A chunk maps its entry value y to ``a*y + b``, so entry values follow from a
     per-device walk over two numbers a chunk.
     """
-    from soundledger.operators.chunks import neighbour
-
-    keys = list(keys)
-    rows = with_chunks(df.select(*keys, time_us, tie), keys, time_us, **chunking)
-    rows = neighbour(rows, keys, [time_us, tie], {"_before": F.col(time_us)})
-    rows = rows.withColumn("_dt", F.col(time_us) - F.col("_before")).drop("_before")
+    keys, order = list(keys), [time_us, tie]
+    rows = with_chunks(df.select(*keys, *order), keys, time_us, **chunking)
+    rows = neighbour(rows, keys, order, {"_before": F.col(time_us)})
+    rows = rows.withColumn("_dt", F.coalesce(F.col(time_us) - F.col("_before"), F.lit(0))).drop("_before")
     cell = [*keys, CHUNK]
-    map_schema = T.StructType([*_fields(rows, cell), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
-
-    def inputs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        dt = pdf["_dt"].to_numpy(float)
-        moved = dt > 0
-        return moved, 1e6 / dt[moved]
-
-    def linear(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, x = inputs(pdf.sort_values([time_us, tie]))
-        b = decayed_mean(x, 0.0, keep)[-1] if len(x) else 0.0
-        out = pd.DataFrame({"a": [keep ** len(x)], "b": [b]})
-        for c in cell:
-            out.insert(0, c, pdf[c].iloc[0])
-        return out[map_schema.names]
-
-    carry_schema = T.StructType([*_fields(rows, cell), T.StructField("y0", T.DoubleType())])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK)
-        y, seen = 0.0, []
-        for a, b in zip(pdf["a"], pdf["b"]):
-            seen.append(y)
-            y = a * y + b
-        return pdf.assign(y0=seen)[carry_schema.names]
 
-    out_schema = T.StructType([*_fields(rows, [*keys, time_us, tie]), T.StructField("rate", T.DoubleType())])
+    def linear(g: Group) -> Group:
+        x = 1e6 / g["_dt"][g["_dt"] > 0]
+        return {"a": np.array([keep ** len(x)]), "b": decayed_mean(x, 0.0, keep)[-1:] if len(x) else np.zeros(1)}
+
+    def walk(g: Group) -> Group:
+        y, seen = 0.0, np.empty(len(g["a"]))
+        for i, (a, b) in enumerate(zip(g["a"].tolist(), g["b"].tolist())):
+            seen[i] = y
+            y = a * y + b
+        return {CHUNK: g[CHUNK], "y0": seen}
 
-    def replay(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=out_schema.names)
-        pdf = pdf.sort_values([time_us, tie])
-        moved, x = inputs(pdf)
-        y0 = float(carry["y0"].iloc[0])
-        smooth = np.concatenate([[y0], decayed_mean(x, y0, keep)])
-        return pdf.assign(rate=smooth[np.cumsum(moved)])[out_schema.names]
+    def replay(g: Group) -> Group:
+        moved = g["_dt"] > 0
+        y0 = g["y0"][0]
+        smooth = np.append(y0, decayed_mean(1e6 / g["_dt"][moved], y0, keep))
+        return {time_us: g[time_us], tie: g[tie], "rate": smooth[np.cumsum(moved)]}
 
-    carry = rows.groupBy(*cell).applyInPandas(linear, map_schema).groupBy(*keys).applyInPandas(walk, carry_schema)
-    return rows.groupBy(*cell).cogroup(carry.groupBy(*cell)).applyInPandas(replay, out_schema)
+    table = map_groups(rows, cell, order, linear, [_double("a"), _double("b")])
+    carry = map_groups(table, keys, [CHUNK], walk, [rows.schema[CHUNK], _double("y0")])
+    out = map_groups(with_entry(rows, carry, cell), cell, order, replay, [*[rows.schema[c] for c in order], _double("rate")])
+    return out.drop(CHUNK)
 
 
 def hold_peak(x: np.ndarray, held: float, decay: float) -> np.ndarray:
@@ -180,8 +201,9 @@ def peak_exits(x: np.ndarray, decay: float, limit: float) -> list[tuple[float, f
     that bound arises, and from there the exit no longer depends on it. The
     last pair has an infinite bound and a negative exit: never replaced.
     """
+    values = x.tolist()
     firsts, best, scale = [], -np.inf, 1.0
-    for i, v in enumerate(x.tolist()):
+    for i, v in enumerate(values):
         bound = v / scale
         if bound > best:
             firsts.append((i, bound))
@@ -193,72 +215,49 @@ def peak_exits(x: np.ndarray, decay: float, limit: float) -> list[tuple[float, f
             break
     exits: dict[int, float] = {}
     pairs = []
-    values = x.tolist()
     for i, bound in firsts:
-        path, j, held = [i], i + 1, values[i]
-        end = None
-        while j < len(values):
+        path, held, end = [i], values[i], None
+        for j in range(i + 1, len(values)):
             if values[j] > held:
-                if j in exits:
-                    end = exits[j]
+                end = exits.get(j)
+                if end is not None:
                     break
                 held = values[j]
                 path.append(j)
             else:
                 held *= decay
-            j += 1
         end = held if end is None else end
         exits.update(dict.fromkeys(path, end))
         pairs.append((bound, end))
-    return pairs
+    return [*pairs, (np.inf, -1.0)]
 
 
 def decayed_peak(
     df: DataFrame, keys: Sequence[str], time_us: str, tie: str, score: str, decay: float = 0.95, limit: float = 1.0, **chunking
 ) -> DataFrame:
     """Running peak of a score in [0, limit] that decays on every row it is not beaten."""
-    keys = list(keys)
-    rows = with_chunks(df.select(*keys, time_us, tie, score), keys, time_us, **chunking)
+    keys, order = list(keys), [time_us, tie]
+    rows = with_chunks(df.select(*keys, *order, score), keys, time_us, **chunking)
     cell = [*keys, CHUNK]
-    table_schema = T.StructType(
-        [
-            *_fields(rows, cell),
-            T.StructField("n", T.LongType()),
-            T.StructField("bound", T.DoubleType()),
-            T.StructField("exit_peak", T.DoubleType()),
-        ]
-    )
-
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values([time_us, tie])[score].to_numpy(float)
-        pairs = peak_exits(x, decay, limit) + [(np.inf, -1.0)]
-        out = pd.DataFrame(pairs, columns=["bound", "exit_peak"]).assign(n=len(x))
-        for c in cell:
-            out.insert(0, c, pdf[c].iloc[0])
-        return out[table_schema.names]
-
-    carry_schema = T.StructType([*_fields(rows, cell), T.StructField("held", T.DoubleType())])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = 0.0, []
-        for chunk, part in pdf.sort_values([CHUNK, "bound"]).groupby(CHUNK, sort=True):
-            out.append((chunk, held))
-            bounds = part["bound"].to_numpy()
-            i = int(np.searchsorted(bounds, held, side="right"))
-            last = float(part["exit_peak"].iloc[i])
-            held = last if last >= 0 else held * decay ** int(part["n"].iloc[0])
-        res = pd.DataFrame(out, columns=[CHUNK, "held"])
-        for c in keys:
-            res.insert(0, c, pdf[c].iloc[0])
-        return res[carry_schema.names]
-
-    out_schema = T.StructType([*_fields(rows, [*keys, time_us, tie]), T.StructField("peak", T.DoubleType())])
-
-    def replay(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=out_schema.names)
-        pdf = pdf.sort_values([time_us, tie])
-        return pdf.assign(peak=hold_peak(pdf[score].to_numpy(float), float(carry["held"].iloc[0]), decay))[out_schema.names]
-
-    carry = rows.groupBy(*cell).applyInPandas(table, table_schema).groupBy(*keys).applyInPandas(walk, carry_schema)
-    return rows.groupBy(*cell).cogroup(carry.groupBy(*cell)).applyInPandas(replay, out_schema)
+
+    def table(g: Group) -> Group:
+        bounds, exits = map(np.array, zip(*peak_exits(g[score], decay, limit)))
+        return {"n": np.full(len(bounds), len(g[score])), "bound": bounds, "exit_peak": exits}
+
+    def walk(g: Group) -> Group:
+        held, chunks, seen = 0.0, [], []
+        starts = np.flatnonzero(np.append(True, g[CHUNK][1:] != g[CHUNK][:-1]))
+        for a, b in zip(starts, np.append(starts[1:], len(g[CHUNK]))):
+            chunks.append(g[CHUNK][a])
+            seen.append(held)
+            i = a + int(np.searchsorted(g["bound"][a:b], held, side="right"))
+            held = g["exit_peak"][i] if g["exit_peak"][i] >= 0 else held * decay ** int(g["n"][a])
+        return {CHUNK: np.array(chunks), "held": np.array(seen)}
+
+    def replay(g: Group) -> Group:
+        return {time_us: g[time_us], tie: g[tie], "peak": hold_peak(g[score], g["held"][0], decay)}
+
+    shapes = map_groups(rows, cell, order, table, [_long("n"), _double("bound"), _double("exit_peak")])
+    carry = map_groups(shapes, keys, [CHUNK, "bound"], walk, [rows.schema[CHUNK], _double("held")])
+    out = map_groups(with_entry(rows, carry, cell), cell, order, replay, [*[rows.schema[c] for c in order], _double("peak")])
+    return out.drop(CHUNK)

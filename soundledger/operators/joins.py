@@ -206,9 +206,10 @@ def clip_frames(
         raise ValueError("a pre-roll longer than the post-roll could put a frame into more than two clips")
     keys = list(keys)
     starts = triggers.select(*keys, F.col(time_us).alias("trigger_us"), (F.col(time_us) - pre_us).alias(time_us))
-    starts = with_chunks(starts, keys, time_us, **chunking)
+    starts = with_chunks(starts, keys, time_us, **{"spacing_us": post_us, **chunking})
     starts = neighbour(starts, keys, [time_us], {"before_us": F.col("trigger_us")})
-    hits = as_of_backward(frames, starts, keys, time_us, ["trigger_us", "before_us"], **chunking)
+    # Triggers are sparse, so the frames alone decide how fine the chunks must be.
+    hits = as_of_backward(frames, starts, keys, time_us, ["trigger_us", "before_us"], **{"sizes_from": frames, **chunking})
     both = hits.withColumn("trigger_us", F.explode(F.array("trigger_us", "before_us"))).drop("before_us", "as_of_us")
     inside = F.col(time_us).between(F.col("trigger_us") - pre_us, F.col("trigger_us") + post_us)
     return both.filter(inside)

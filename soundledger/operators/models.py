@@ -133,15 +133,32 @@ def _spread_seeds(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.nd
     return np.array(centres)
 
 
+def _settle(sample: np.ndarray, centres: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Let every restart converge on the bounded sample, so that few passes over all rows remain."""
+    k = centres.shape[1]
+    for r, c in enumerate(centres):
+        for _ in range(rounds):
+            near = ((c**2).sum(axis=1) - 2 * sample @ c.T).argmin(axis=1)
+            member = (near[:, None] == np.arange(k)).astype(float)
+            count = member.sum(axis=0)
+            new = np.where(count[:, None] > 0, member.T @ sample / np.maximum(count, 1)[:, None], c)
+            if np.abs(new - c).max() < 1e-9:
+                break
+            c = new
+        centres[r] = c
+    return centres
+
+
 def fit_subtypes(
     df: DataFrame, features: str, pitch_index: int, k: int = 4, restarts: int = 50, seed: int = 0, max_iter: int = 300, tol: float = 1e-4,
     sample_rows: int = 4096,
 ) -> Subtypes | None:
     """k-means with many restarts; None when there are fewer than 2k rows.
 
-    All restarts move together: a pass over the data assigns each row under
-    every restart and returns one partial sum per (restart, cluster), so fifty
-    restarts cost the passes of the slowest one.
+    Restarts begin from centres that settled on a sample of bounded size. Then
+    all move together: a pass over the data assigns each row under every restart
+    and returns one partial sum per (restart, cluster), so fifty restarts cost
+    the passes of the slowest one.
     """
     rows = df.filter(F.col(features).isNotNull()).select(features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -153,7 +170,7 @@ def fit_subtypes(
         picked = z.orderBy(F.xxhash64(F.lit(seed), "z")).limit(sample_rows).collect()
         sample = np.array([r["z"] for r in picked])
         rng = np.random.default_rng(seed)
-        centres = np.stack([_spread_seeds(sample, k, rng) for _ in range(restarts)])
+        centres = _settle(sample, np.stack([_spread_seeds(sample, k, rng) for _ in range(restarts)]))
         dims = centres.shape[2]
         schema = T.StructType(
             [T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("cost", T.DoubleType()), T.StructField("s", T.ArrayType(T.DoubleType()))]

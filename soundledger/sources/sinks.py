@@ -49,10 +49,16 @@ def bucket_columns(ts: Column) -> dict[str, Column]:
     }
 
 
-def stream_telemetry(rows: DataFrame, path: str, checkpoint: str, ts: str = "event_ts"):
-    """Hour-bucketed telemetry files from a stream; a bucket's files are never rewritten."""
+def stream_telemetry(rows: DataFrame, path: str, checkpoint: str, ts: str = "event_ts", files_per_bucket: int = 1):
+    """Hour-bucketed telemetry files from a stream; a bucket's files are never rewritten.
+
+    Rows of a bucket meet in ``files_per_bucket`` tasks, spread by a hash of the
+    row, so that a batch writes few files yet a busy hour need not pass through one task.
+    """
+    bucketed = rows.withColumns(bucket_columns(F.col(ts)))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_bucket))
     return (
-        rows.withColumns(bucket_columns(F.col(ts)))
+        bucketed.repartition("date", "hour", salt)
         .writeStream.partitionBy("date", "hour")
         .format("parquet")
         .option("path", path)
