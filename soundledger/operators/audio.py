@@ -212,14 +212,6 @@ def _feature_schema(keys: DataFrame) -> T.StructType:
     return T.StructType([*keys.schema.fields, *fixed, *values])
 
 
-def bounded_batches(df: DataFrame, rows: int = 32) -> DataFrame:
-    """Hand few captures at a time to Python: at over a megabyte each, default batches would not fit."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give every core some captures when the scan has fewer splits than cores; large scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -231,7 +223,8 @@ def capture_features(
 ) -> DataFrame:
     """File rows (``seg_idx`` null) and segment rows of every capture, from WAV bytes or sample arrays.
 
-    A capture that cannot be read gives one row with its ``error`` set.
+    A capture that cannot be read gives one row with its ``error`` set. Arrow
+    batches are bounded in bytes, so a task holds some fifty captures at a time.
     """
     keys = list(keys)
     source = spread(captures.select(*keys, F.col(content or samples).alias("_audio")))
@@ -257,7 +250,7 @@ def capture_features(
             out["error"] = out["error"].astype(object).where(out["error"].notna(), None)
             yield out
 
-    return (bounded_batches(source) if content else source).mapInPandas(run, schema)
+    return source.mapInPandas(run, schema)
 
 
 def file_rows(features: DataFrame) -> DataFrame:
@@ -338,7 +331,7 @@ def mel_patches(captures: DataFrame, keys: Sequence[str], content: str) -> DataF
                 if rows:
                     yield pd.DataFrame(rows, columns=schema.names)
 
-    return bounded_batches(source).mapInPandas(run, schema)
+    return source.mapInPandas(run, schema)
 
 
 def mel_db_table(captures: DataFrame, keys: Sequence[str], content: str, n_fft: int = 1024, hop: int = 160) -> DataFrame:
@@ -366,7 +359,7 @@ def mel_db_table(captures: DataFrame, keys: Sequence[str], content: str, n_fft:
                     [(*rec[:-1], i, row, p5, p99) for i, row in enumerate(db.astype(np.float32))], columns=schema.names
                 )
 
-    return bounded_batches(source).mapInPandas(run, schema)
+    return source.mapInPandas(run, schema)
 
 
 # --- array forms that stay in SQL -------------------------------------------------------------------

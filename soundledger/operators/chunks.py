@@ -31,6 +31,13 @@ _MERGE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
 _LOCAL = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
+def _keyed(keys: Sequence[str], chunk: Column) -> Column:
+    """Chunk number that fails on a null key, which no join would match to its carry-in."""
+    for k in keys:
+        chunk = F.when(F.col(k).isNull(), F.raise_error(F.lit(f"null in key column {k}")).cast("bigint")).otherwise(chunk)
+    return chunk
+
+
 def with_chunks(
     df: DataFrame,
     keys: Sequence[str],
@@ -40,7 +47,7 @@ def with_chunks(
     sizes_from: DataFrame | None = None,
     spacing_us: int | None = None,
 ) -> DataFrame:
-    """Add the chunk number of each row, increasing with time inside a key.
+    """Add the chunk number of each row, increasing with time inside a key. A row without a key is an error.
 
     The histogram of (key, coarse bucket) is aggregated before its shuffle. Only
     cells above the target come back, as a small split table. It is taken over
@@ -50,7 +57,7 @@ def with_chunks(
     keys = list(keys)
     bucket = F.expr(f"({time_us} - pmod({time_us}, {base_us})) div {base_us}")
     if spacing_us is not None and base_us // spacing_us <= target_rows:
-        return df.withColumn(CHUNK, F.coalesce(bucket * MAX_SPLITS, F.lit(0)))
+        return df.withColumn(CHUNK, _keyed(keys, F.coalesce(bucket * MAX_SPLITS, F.lit(0))))
     sized = df if sizes_from is None else sizes_from
     hot = (
         sized.filter(F.col(time_us).isNotNull())
@@ -66,13 +73,13 @@ def with_chunks(
     n_hot = len(hot.limit(HOT_CELLS_BROADCAST + 1).select("_bucket").take(HOT_CELLS_BROADCAST + 1))
     width = MAX_SPLITS
     if n_hot == 0:
-        return df.withColumn(CHUNK, F.coalesce(bucket * width, F.lit(0)))
+        return df.withColumn(CHUNK, _keyed(keys, F.coalesce(bucket * width, F.lit(0))))
     table = F.broadcast(hot) if n_hot <= HOT_CELLS_BROADCAST else hot
     cut = F.expr(f"pmod({time_us}, {base_us}) div greatest(1, {base_us} div _splits)")
     return (
         df.withColumn("_bucket", bucket)
         .join(table, [*keys, "_bucket"], "left")
-        .withColumn(CHUNK, F.coalesce(F.col("_bucket") * width + F.coalesce(cut, F.lit(0)), F.lit(0)))
+        .withColumn(CHUNK, _keyed(keys, F.coalesce(F.col("_bucket") * width + F.coalesce(cut, F.lit(0)), F.lit(0))))
         .drop("_bucket", "_splits")
     )
 

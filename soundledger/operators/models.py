@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from soundledger.operators.chunks import running, with_chunks
+
 # Feature names of the two models and the sub-type names by rising pitch.
 CLASSIFIER_FEATURES = [
     "hnr_db", "flatness_mean", "f0_voiced_frac", "b_250_500", "b_1k_2k", "centroid_mean_hz", "rolloff85_mean_hz", "active_frac", "onsets", "zcr",
@@ -228,34 +230,40 @@ def hold_one_out(df: DataFrame, session: str, features: str, label: str, max_ses
     sessions = [r[0] for r in rows.select(session).distinct().limit(max_sessions + 1).collect()]
     if len(sessions) > max_sessions:
         raise ValueError(f"more than {max_sessions} sessions; group them first")
-    out = None
+    fits = []
     for s in sorted(sessions):
-        model = fit_logistic(rows.filter(F.col(session) != s), features, label)
-        part = rows.filter(F.col(session) == s).withColumn("prob", model.probability(F.col(features)))
-        out = part if out is None else out.unionByName(part)
-    return out
+        m = fit_logistic(rows.filter(F.col(session) != s), features, label)
+        slope = [w / d for w, d in zip(m.weights, m.scaling.std)]
+        fits.append((s, slope, m.intercept - float(np.dot(slope, m.scaling.mean))))
+    # One row per session: all rows are scored in a single pass, each with its session's model.
+    kind = df.schema[session].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(fits, f"`{session}` {kind}, _slope ARRAY<DOUBLE>, _offset DOUBLE")
+    logit = F.aggregate(F.zip_with(features, "_slope", lambda a, b: a * b), F.col("_offset"), lambda acc, x: acc + x)
+    scored = rows.join(F.broadcast(table), session)
+    return scored.withColumn("prob", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).drop("_slope", "_offset")
 
 
 def evaluation(scored: DataFrame, session: str, label: str, prob: str = "prob") -> DataFrame:
     """Accuracy and area under the ROC curve per session and pooled (session null).
 
-    The area counts, for each negative, the positives scored higher, ties half.
-    Rows are first counted per distinct score.
+    The area counts, for each positive, the negatives scored lower, ties half.
+    Rows are first counted per distinct score; the running count of negatives
+    goes by score chunks, so that the pooled curve does not pass through one task.
     """
-    per_score = scored.groupBy(session, F.col(prob).alias("_p")).agg(
-        F.sum(F.col(label).cast("bigint")).alias("_pos"), F.sum(1 - F.col(label).cast("bigint")).alias("_neg")
-    )
-    both = per_score.unionByName(
-        per_score.groupBy("_p").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")).withColumn(session, F.lit(None).cast(scored.schema[session].dataType))
-    )
-    from pyspark.sql import Window
-
-    below = Window.partitionBy(session).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = both.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
-    hit = F.when(F.col("_p") >= 0.5, F.col("_pos")).otherwise(F.col("_neg"))
-    out = ranked.groupBy(session).agg(
-        F.sum(F.col("_pos") + F.col("_neg")).alias("n"), F.sum("_pos").alias("positives"),
-        (F.sum(hit) / F.sum(F.col("_pos") + F.col("_neg"))).alias("accuracy"),
-        F.try_divide(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)), F.sum("_pos").cast("double") * F.sum("_neg")).alias("auc"),
-    )
-    return out
+    y = F.col(label).cast("bigint")
+    counts = [F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg")]
+    session_type = scored.schema[session].dataType
+
+    def curve(keys: list[str]) -> DataFrame:
+        rows = scored.groupBy(*keys, F.col(prob).alias("_p")).agg(*counts).withColumn("_at", (F.col("_p") * float(1 << 50)).cast("bigint"))
+        rows = with_chunks(rows, keys, "_at", base_us=1 << 44)
+        rows = running(rows, keys, ["_p"], {"_below": ("sum", F.col("_neg"))}, exclusive=True)
+        hit = F.when(F.col("_p") >= 0.5, F.col("_pos")).otherwise(F.col("_neg"))
+        out = rows.groupBy(*keys).agg(
+            F.sum(F.col("_pos") + F.col("_neg")).alias("n"), F.sum("_pos").alias("positives"),
+            (F.sum(hit) / F.sum(F.col("_pos") + F.col("_neg"))).alias("accuracy"),
+            F.try_divide(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)), F.sum("_pos").cast("double") * F.sum("_neg")).alias("auc"),
+        )
+        return out if keys else out.select(F.lit(None).cast(session_type).alias(session), "*")
+
+    return curve([session]).unionByName(curve([]))

@@ -223,3 +223,9 @@ def test_pointer_doubling():
     t = np.array([0, 1, 5, 6, 7, 20, 21, 40])
     for i in range(len(t)):
         assert folds.last_accepted(t, 6)[i] == t[folds.chain_from(t, i, 6)[-1]]
+
+
+def test_null_key_is_an_error(spark):
+    df = spark.createDataFrame([(None, 1, 1, 0.5), (1, 1, 2, 0.5)], "device INT, t BIGINT, id BIGINT, v DOUBLE")
+    with pytest.raises(Exception, match="null in key column device"):
+        chunks.with_chunks(df, ["device"], "t").collect()
