@@ -97,7 +97,7 @@ def fit_logistic(df: DataFrame, features: str, label: str, max_iter: int = 1000)
         weight = F.when(F.col("_y") == 1, n / (2.0 * positives)).otherwise(n / (2.0 * (n - positives)))
         train = rows.select(array_to_vector(scaling.apply(F.col(features))).alias("x"), "_y", weight.alias("_w"))
         model = LogisticRegression(
-            featuresCol="x", labelCol="_y", weightCol="_w", standardization=False, regParam=1.0 / n, elasticNetParam=0.0, maxIter=max_iter, tol=1e-9
+            featuresCol="x", labelCol="_y", weightCol="_w", standardization=False, regParam=1.0 / n, elasticNetParam=0.0, maxIter=max_iter, tol=1e-7
         ).fit(train)
     finally:
         rows.unpersist()
@@ -233,7 +233,7 @@ def hold_one_out(df: DataFrame, session: str, features: str, label: str, max_ses
     fits = []
     for s in sorted(sessions):
         m = fit_logistic(rows.filter(F.col(session) != s), features, label)
-        slope = [w / d for w, d in zip(m.weights, m.scaling.std)]
+        slope = [float(w / d) for w, d in zip(m.weights, m.scaling.std)]
         fits.append((s, slope, m.intercept - float(np.dot(slope, m.scaling.mean))))
     # One row per session: all rows are scored in a single pass, each with its session's model.
     kind = df.schema[session].dataType.simpleString()
