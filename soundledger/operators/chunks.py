@@ -75,11 +75,11 @@ def with_chunks(
     if n_hot == 0:
         return df.withColumn(CHUNK, _keyed(keys, F.coalesce(bucket * width, F.lit(0))))
     table = F.broadcast(hot) if n_hot <= HOT_CELLS_BROADCAST else hot
-    cut = F.expr(f"pmod({time_us}, {base_us}) div greatest(1, {base_us} div _splits)")
+    cut = F.expr(f"if(_splits is null, 0, pmod({time_us}, {base_us}) div greatest(1, {base_us} div _splits))")
     return (
         df.withColumn("_bucket", bucket)
         .join(table, [*keys, "_bucket"], "left")
-        .withColumn(CHUNK, _keyed(keys, F.coalesce(F.col("_bucket") * width + F.coalesce(cut, F.lit(0)), F.lit(0))))
+        .withColumn(CHUNK, _keyed(keys, F.coalesce(F.col("_bucket") * width + cut, F.lit(0))))
         .drop("_bucket", "_splits")
     )
 

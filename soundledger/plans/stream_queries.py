@@ -79,7 +79,8 @@ def detector_stream(spark, sf):
 def noise_floor_stream(spark, sf):
     rows = events(spark, sf).select(F.col("hour").alias("device"), "t_us", "event_id", (F.col("rms") * 20).alias("rms"))
     out = jobs.run_to_table(folds.noise_floor_stream(rows, ["device"], "t_us", "event_id", "rms"), scratch_path(spark, "floor"))
-    return out.select("device", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    last = out.groupBy("device").agg(F.max_by(F.struct("n", "p50", "p95"), "t_us").alias("s")).select("device", "s.*")
+    return last.select("device", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query(
@@ -172,7 +173,7 @@ def fan_out(spark, sf):
         "levels": lambda b: b.groupBy(F.col("device_id").alias("event_id")).agg(F.max("rms").alias("rms")).select("event_id"),
     }
     jobs.fan_out(events(spark, sf), path, consumers)
-    parts = [spark.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("n")).withColumn("consumer", F.lit(n)) for n in consumers]
+    parts = [spark.read.parquet(f"{path}/{n}").select("event_id").distinct().agg(F.count(F.lit(1)).alias("n")).withColumn("consumer", F.lit(n)) for n in consumers]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

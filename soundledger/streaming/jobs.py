@@ -14,13 +14,15 @@ from soundledger.sources.tables import utc_instants
 WATERMARK = "10 minutes"
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A parquet table as a stream of its files."""
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None, bytes_per_batch: int = 2 << 30) -> DataFrame:
+    """A parquet table as a stream of its files, a bounded amount to a batch."""
     prepare(spark)
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return utc_instants(reader.parquet(folder))
 
 

@@ -58,6 +58,7 @@ def test_hot_cell_is_split(spark):
     df = chunks.with_chunks(frame(spark, rows), ["device"], "t", base_us=2000, target_rows=100)
     sizes = df.groupBy("device", chunks.CHUNK).count().agg(F.max("count")).first()[0]
     assert sizes <= 100
+    assert df.filter("device = 1").select(chunks.CHUNK).distinct().count() == 1
     order = [r[1] for r in sorted(df.filter("device = 0").select("t", chunks.CHUNK).collect())]
     assert order == sorted(order)
 
