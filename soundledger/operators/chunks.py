@@ -192,7 +192,8 @@ def number_names(df: DataFrame, name: str, out: str, target_rows: int = TARGET_R
     prefix = F.left(F.col(name), F.lit(length))
     marked = df.withColumn("_prefix", prefix)
     sizes = marked.groupBy("_prefix").count()
-    # Two levels keep the ordered scan of group sizes itself small per task.
+    # Two levels keep the ordered scan of group sizes itself small: the one window without a
+    # partition sees a row per head, a few characters shorter than the prefixes.
     sizes = sizes.withColumn("_head", F.left("_prefix", F.lit(max(1, length - 4))))
     heads = sizes.groupBy("_head").agg(F.sum("count").alias("_n"))
     heads = heads.select(

@@ -172,6 +172,31 @@ def document_audio(spark, sf):
     return A.capture_features(document_wavs(spark, sf), ["doc_id"], content="content")
 
 
+DOCS_PER_CAPTURE = 320
+
+
+def long_captures(spark, sf):
+    """Captures of about forty seconds: the bytes of 320 consecutive documents as one WAV file."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    joined = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"]))
+    c = d.groupBy(F.expr(f"doc_id div {DOCS_PER_CAPTURE}").alias("capture")).agg(joined.alias("text"))
+    return c.select("capture", A.wav_bytes(F.encode("text", "UTF-8")).alias("content"))
+
+
+@query(
+    "d12_capture_audit",
+    f"""WITH c AS (SELECT doc_id//{DOCS_PER_CAPTURE} AS capture, CAST(sum(octet_length(encode(text)))//2 AS BIGINT) AS samples FROM documents GROUP BY 1)
+      SELECT capture, samples, CAST(greatest(0, floor((samples/16000e0+1e-6-0.96e0)/0.48e0)+1) AS BIGINT) AS segments FROM c""",
+)
+def capture_audit(spark, sf):
+    """The capture audit on long captures: all file and segment features, then the segments counted."""
+    f = A.capture_features(long_captures(spark, sf), ["capture"], content="content")
+    # Summing over every feature keeps the optimizer from pruning the table to its counts.
+    used = F.count_if(F.array_max(F.array(*[F.col(n).cast("double") for n in A.FEATURES])).isNull())
+    out = f.groupBy("capture").agg(F.max("samples").cast("bigint").alias("samples"), F.count("seg_idx").alias("segments"), used.alias("_empty"))
+    return out.filter("_empty = 0").drop("_empty")
+
+
 @query("d13_mel_patches")
 def mel_patches(spark, sf):
     p = A.mel_patches(document_wavs(spark, sf), ["doc_id"], "content")
