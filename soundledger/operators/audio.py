@@ -105,7 +105,9 @@ def pitch(x: np.ndarray, sr: int, grid: Grid) -> tuple[np.ndarray, np.ndarray]:
     rows = rows - rows.mean(axis=1, keepdims=True)
     loud = np.flatnonzero(np.sqrt(np.mean(rows * rows, axis=1) + 1e-12) >= grid.energy_floor)
     if len(loud):
-        size = 1 << (2 * win - 1).bit_length()
+        # Long enough that the lags of interest do not wrap around.
+        need = win + int(lags[-1]) + 1
+        size = min(n for n in (1 << need.bit_length(), 3 << (need.bit_length() - 2)) if n >= need)
         power = np.abs(np.fft.rfft(rows[loud], size, axis=1)) ** 2
         ac = np.fft.irfft(power, size, axis=1)
         ratio = ac[:, lags] / ac[:, :1]
@@ -213,7 +215,14 @@ def _feature_schema(keys: DataFrame) -> T.StructType:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core some captures when the scan has fewer splits than cores; large scans stay as they are."""
+    """Give every core some captures when a scan has fewer splits than cores.
+
+    Large scans stay as they are, and so do frames that were shuffled: their
+    partitioning is the caller's choice, and asking for it would run the shuffle.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(node in plan for node in ("Aggregate", "Join", "Repartition", "Sort", "Window")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -179,7 +179,10 @@ def long_captures(spark, sf):
     """Captures of about forty seconds: the bytes of 320 consecutive documents as one WAV file."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     joined = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"]))
-    c = d.groupBy(F.expr(f"doc_id div {DOCS_PER_CAPTURE}").alias("capture")).agg(joined.alias("text"))
+    d = d.withColumn("capture", F.expr(f"doc_id div {DOCS_PER_CAPTURE}"))
+    # A fixed number of partitions: small ones would be merged into one, and features need every core.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    c = d.repartition(tasks, "capture").groupBy("capture").agg(joined.alias("text"))
     return c.select("capture", A.wav_bytes(F.encode("text", "UTF-8")).alias("content"))
 
 
