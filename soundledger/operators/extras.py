@@ -16,7 +16,7 @@ from soundledger.operators.joins import as_of_backward, lookup
 from soundledger.operators.windows import sustained_level
 from soundledger.session import shared_dir
 
-# Documented capacity of the public table.
+# Fields a published table may show.
 PUBLIC_FIELDS = ["event_id", "day", "hour", "tier", "s1", "s2"]
 
 

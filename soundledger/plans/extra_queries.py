@@ -13,7 +13,6 @@ from soundledger.plans.registry import query
 from soundledger.sources.tables import table
 
 HOUR = 3_600_000_000
-V = "vec[{}]"
 
 
 @query(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from soundledger.functions import scores as S
-from soundledger.functions import text as X
 from soundledger.operators import folds, joins, ledger
 from soundledger.plans import bindings as B
 from soundledger.plans.registry import query
@@ -248,8 +247,6 @@ def new_files(spark, sf):
     return joins.new_files(listing, listing.filter("event_type = 'view'")).select("event_id", "name")
 
 
-COPY_LIST = f"WITH {B.COPIES}"
-
 
 @query(
     "u01_union_sessions",

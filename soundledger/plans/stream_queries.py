@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundledger.functions import scores as S
 from soundledger.plans import bindings as B
 from soundledger.plans.registry import query
 from soundledger.plans.window_queries import episodes_sql
