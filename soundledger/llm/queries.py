@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from soundledger.llm.chat import CHAT_SQL, format_chats
 from soundledger.llm.common import read
+from soundledger.llm.lattice import near_vectors
+from soundledger.llm.licenses import scan_licenses
 from soundledger.llm.mixing import mix_plan
 from soundledger.llm.packing import pack_documents
 from soundledger.llm.quality import score_documents, train
 from soundledger.llm.simhash import simhash_groups
+from soundledger.llm.topk import top_products
+from soundledger.llm.warc import warc_round_trip
+from soundledger.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +27,22 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, train(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read(spark, sf_dir, "documents")).drop("first_time")
 
 
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
@@ -32,8 +51,28 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op4_mixing, op7_simhash, op8_packing)}
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_licenses, op4_mixing, op5_lattice, op6_top_products, op7_simhash, op8_packing, op9_chat, op10_warc)}
 SQL: dict[str, str] = {
+    "op6_top_products": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 20
+    """,
+    "op9_chat": CHAT_SQL,
     "op4_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
