@@ -110,6 +110,9 @@ def _meet(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         return best_of(left["id"].to_numpy("i8"), _matrix(left["v"]), left["floor"].to_numpy("f8"), right["id"].to_numpy("i8"), _matrix(right["v"]), k)
 
     key = ["dim", "block", "bucket"]
+    # Both sides come from one table; new names tell their columns apart.
+    queries = queries.select([F.col(c).alias(f"q_{c}") for c in queries.columns]).toDF(*queries.columns)
+    candidates = candidates.select([F.col(c).alias(f"p_{c}") for c in candidates.columns]).toDF(*candidates.columns)
     return queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(met, "query_id long, vec_id long, score long")
 
 
