@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from soundledger.llm.chat import CHAT_SQL, format_chats
 from soundledger.llm.common import read
+from soundledger.llm.language_model import score_texts
 from soundledger.llm.lattice import near_vectors
 from soundledger.llm.licenses import scan_licenses
 from soundledger.llm.mixing import mix_plan
@@ -31,6 +32,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read(spark, sf_dir, "documents")).drop("first_time")
 
@@ -59,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_licenses, op4_mixing, op5_lattice, op6_top_products, op7_simhash, op8_packing, op9_chat, op10_warc)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_licenses, op3_language_model, op4_mixing, op5_lattice, op6_top_products, op7_simhash, op8_packing, op9_chat, op10_warc)}
 SQL: dict[str, str] = {
     "op6_top_products": """
         WITH v AS (
