@@ -153,3 +153,38 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array_join(F.array_sort(F.array_union(base_labels, F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.greatest(F.coalesce("cover", F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
     )
+
+
+def license_sql() -> str:
+    """The scan over ``documents`` as DuckDB SQL: grams meet by their words instead of hashes."""
+    grams = ", ".join(f"({t}, '{label}', {n}, {at}, '{a}', '{b}', '{c}')" for t, label, n, at, a, b, c in template_grams())
+    base = " UNION ALL ".join(
+        "SELECT rid, i - 1 AS place, '{}' AS label FROM starts WHERE {}".format(label, " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(phrase.split())))
+        for phrase, label in PHRASES.items()
+    )
+    return rf"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS rid, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+        FROM documents
+    ), grams(template, label, words, place, w0, w1, w2) AS (VALUES {grams}),
+    starts AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs),
+    places AS ({base}),
+    base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS found FROM places GROUP BY rid),
+    votes AS (
+        SELECT s.rid, g.template, g.label, g.words, s.i - 1 - g.place AS diagonal, list(g.place) AS ats
+        FROM starts s JOIN grams g ON s.ws[s.i] = g.w0 AND s.ws[s.i + 1] = g.w1 AND s.ws[s.i + 2] = g.w2 GROUP BY ALL
+    ), jumps AS (
+        SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {SLACK} THEN 0 ELSE 1 END AS jump FROM votes
+    ), numbered AS (SELECT *, sum(jump) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM jumps),
+    held AS (
+        SELECT rid, template, label, words, span, CAST(count(DISTINCT place + k) AS DOUBLE) / max(words) AS cover
+        FROM (SELECT rid, template, label, words, span, unnest(ats) AS place FROM numbered), range({K}) r(k) GROUP BY ALL
+    ), found AS (SELECT rid, list_distinct(list(label)) AS more, max(cover) AS cover FROM held WHERE cover >= {MIN_COVER} GROUP BY rid)
+    SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(b.n_base, 0) AS BIGINT) AS n_base,
+           CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,
+           coalesce(array_to_string(b.found, ','), '') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(f.more, [])))), ',') AS labels,
+           greatest(coalesce(f.cover, 0), CASE WHEN b.n_base > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+    FROM docs d LEFT JOIN base b USING (rid) LEFT JOIN found f USING (rid)
+    """

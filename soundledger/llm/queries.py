@@ -11,7 +11,7 @@ from soundledger.llm.chat import CHAT_SQL, format_chats
 from soundledger.llm.common import read
 from soundledger.llm.language_model import score_texts
 from soundledger.llm.lattice import near_vectors
-from soundledger.llm.licenses import scan_licenses
+from soundledger.llm.licenses import license_sql, scan_licenses
 from soundledger.llm.mixing import mix_plan
 from soundledger.llm.packing import pack_documents
 from soundledger.llm.quality import score_documents, train
@@ -66,6 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_licenses, op3_language_model, op4_mixing, op5_lattice, op6_top_products, op7_simhash, op8_packing, op9_chat, op10_warc)}
 SQL: dict[str, str] = {
+    "op2_licenses": license_sql(),
     "op6_top_products": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
