@@ -61,10 +61,10 @@ def burst_sessions(spark, sf):
 
 @query(
     "t03_detector_stream",
-    f"""WITH ep AS ({episodes_sql("0.3e0", 2, 2 * HOUR)}) SELECT device, start_us AS t_us, 'crying' AS state FROM ep UNION ALL SELECT device, end_us, 'idle' FROM ep WHERE end_us IS NOT NULL""",
+    f"""WITH ep AS ({episodes_sql("0.3e0", 2, 2 * HOUR, "device_id")}) SELECT device, start_us AS t_us, 'crying' AS state FROM ep UNION ALL SELECT device, end_us, 'idle' FROM ep WHERE end_us IS NOT NULL""",
 )
 def detector_stream(spark, sf):
-    rows = events(spark, sf).withColumn("device", F.col("hour") % 6)
+    rows = events(spark, sf).withColumn("device", F.col("device_id"))
     return jobs.run_to_table(folds.detector_stream(rows, ["device"], "t_us", "event_id", "s1", 0.3, 2, 2 * HOUR), scratch_path(spark, "detector"))
 
 
@@ -84,7 +84,7 @@ def noise_floor_stream(spark, sf):
 
 @query(
     "t05_trigger_stream",
-    f"""WITH {B.CAP}, l AS (SELECT hour%6 AS device, list({{'t': t_us, 'x': rms, 'since': CAST(-1 AS BIGINT), 'fired': CAST(-1 AS BIGINT), 'n': CAST(0 AS BIGINT)}} ORDER BY t_us, event_id) AS xs, min(t_us) AS t0 FROM cap GROUP BY 1),
+    f"""WITH {B.CAP}, l AS (SELECT device_id AS device, list({{'t': t_us, 'x': rms, 'since': CAST(-1 AS BIGINT), 'fired': CAST(-1 AS BIGINT), 'n': CAST(0 AS BIGINT)}} ORDER BY t_us, event_id) AS xs, min(t_us) AS t0 FROM cap GROUP BY 1),
       f AS (SELECT device, list_reduce(list_prepend({{'t': t0, 'x': 0e0, 'since': CAST(-1 AS BIGINT), 'fired': CAST(-1 AS BIGINT), 'n': CAST(0 AS BIGINT)}}, xs), lambda a, r:
         CASE WHEN r.t - t0 < {24 * HOUR} OR (a.fired>=0 AND r.t-a.fired < {4 * HOUR}) OR NOT r.x > 300e0 THEN {{'t': r.t, 'x': r.x, 'since': CAST(-1 AS BIGINT), 'fired': a.fired, 'n': a.n}}
         WHEN a.since<0 THEN {{'t': r.t, 'x': r.x, 'since': r.t, 'fired': a.fired, 'n': a.n}}
@@ -93,13 +93,13 @@ def noise_floor_stream(spark, sf):
       SELECT device, s.n AS fires, s.fired AS last_fire_us FROM f WHERE s.n>0""",
 )
 def trigger_stream(spark, sf):
-    rows = events(spark, sf).select((F.col("hour") % 6).alias("device"), "t_us", "event_id", "rms", F.lit(60.0).alias("p50"))
+    rows = events(spark, sf).select(F.col("device_id").alias("device"), "t_us", "event_id", "rms", F.lit(60.0).alias("p50"))
     fires = folds.trigger_stream(rows, ["device"], "t_us", "event_id", "rms", "p50", 5.0, 200.0, HOUR // 6, 4 * HOUR, 24 * HOUR)
     out = jobs.run_to_table(fires, scratch_path(spark, "triggers"))
     return out.groupBy("device").agg(F.count(F.lit(1)).alias("fires"), F.max("fire_us").alias("last_fire_us"))
 
 
-MONITOR = f"""{B.CAP}, p AS (SELECT hour%5 AS device, t_us, event_id, k>=50 AS answered, k>=50 AND k%17=3 AS parse_error, event_id%500 AS uptime, CASE WHEN cls='view' THEN 'idle' WHEN cls='click' THEN 'LISTEN' ELSE cls END AS state,
+MONITOR = f"""{B.CAP}, p AS (SELECT device_id AS device, t_us, event_id, k>=50 AS answered, k>=50 AND k%17=3 AS parse_error, event_id%500 AS uptime, CASE WHEN cls='view' THEN 'idle' WHEN cls='click' THEN 'LISTEN' ELSE cls END AS state,
    k/100e0 AS peak, (k*7)%20 AS alerts, (event_id%1000)*3 AS overruns, (event_id%9)//2 AS counter, CASE WHEN event_id%6=0 THEN NULL ELSE k END AS captures FROM cap),
  q AS (SELECT *, row_number() OVER w AS rn FROM p WINDOW w AS (PARTITION BY device ORDER BY t_us, event_id)),
  s AS (SELECT *, rn - coalesce(max(CASE WHEN answered THEN rn END) OVER (PARTITION BY device ORDER BY rn ROWS UNBOUNDED PRECEDING),0) AS silent FROM q),
@@ -126,7 +126,7 @@ def health_monitor(spark, sf):
     state = F.when(F.col("cls") == "view", "idle").when(F.col("cls") == "click", "LISTEN").otherwise(F.col("cls"))
     answered = F.col("k") >= 50
     polls = e.select(
-        (F.col("hour") % 5).alias("device"), "t_us", "event_id", answered.alias("answered"), (answered & (F.col("k") % 17 == 3)).alias("parse_error"),
+        F.col("device_id").alias("device"), "t_us", "event_id", answered.alias("answered"), (answered & (F.col("k") % 17 == 3)).alias("parse_error"),
         (F.col("event_id") % 500).alias("uptime"), state.alias("state"), (F.col("k") / 100.0).alias("peak"), (F.col("k") * 7 % 20).alias("alerts"),
         (F.col("event_id") % 1000 * 3).alias("overruns"), F.expr("(event_id % 9) div 2").alias("counter"), F.when(F.col("event_id") % 6 != 0, F.col("k")).alias("captures"),
     )

@@ -33,8 +33,8 @@ def largest_copy(spark, sf):
     return out.select("name", "session_id", "size")
 
 
-def episodes_sql(threshold: str, streak: int, hold: int) -> str:
-    return f"""WITH {B.CAP}, a AS (SELECT hour%6 AS device, t_us, event_id, s1>={threshold} AS hit FROM cap),
+def episodes_sql(threshold: str, streak: int, hold: int, device: str = "hour%6") -> str:
+    return f"""WITH {B.CAP}, a AS (SELECT {device} AS device, t_us, event_id, s1>={threshold} AS hit FROM cap),
       b AS (SELECT *, max(CASE WHEN hit THEN t_us END) OVER w AS lp, row_number() OVER w AS rn FROM a WINDOW w AS (PARTITION BY device ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING)),
       c AS (SELECT *, rn - coalesce(max(CASE WHEN NOT hit THEN rn END) OVER w, 0) AS streak, coalesce(NOT hit AND t_us>=lp+{hold}, false) AS expired FROM b
             WINDOW w AS (PARTITION BY device ORDER BY rn ROWS UNBOUNDED PRECEDING)),

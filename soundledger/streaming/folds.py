@@ -1,163 +1,195 @@
-"""Keyed state machines on streams.
+"""Keyed state on streams, a micro-batch of a device at a time.
 
-A device's rows are put in time order inside a micro-batch and folded through a
-small step function; the state lives in Spark's state store between batches.
-A live device sends about one row a second. To catch up on a backlog, bound a
-batch with ``maxFilesPerTrigger`` on the source: only the folded columns of one
-device's share of one batch are held at a time.
+A device's rows of one micro-batch are put in time order and turned into arrays; each rule is a few array expressions
+over them and the state that the device's last batch left in Spark's state store. To catch up on a backlog, bound a
+batch with ``maxFilesPerTrigger`` on the source: only the columns a rule needs of one device's share of one batch are
+held at a time. Rows that come after a later batch of their device are folded where they arrive and counted by
+:func:`late_rows`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 State = tuple
-Step = Callable[[State, tuple], tuple[State, list[tuple]]]
-
-
-def fold_stream(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: Sequence[str],
-    step: Step,
-    initial: State,
-    state_schema: str,
-    output_schema: str,
-) -> DataFrame:
-    """Fold each key's rows; ``step(state, (order..., values...))`` gives the new state and the output rows.
+#: Ordered rows of a device and its state give the next state and the output rows.
+Rule = Callable[[pd.DataFrame, State], tuple[State, pd.DataFrame]]
 
-    Output rows carry the key columns first; ``output_schema`` names the rest.
-    """
+
+def key_ddl(rows: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+
+
+def fold_stream(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], rule: Rule, initial: State, state_schema: str, output_schema: str) -> DataFrame:
+    """Apply ``rule`` to each key's rows of a batch. Output rows carry the key columns first; ``output_schema`` names the rest."""
     keys, order, values = list(keys), list(order), list(values)
     slim = rows.select(*keys, *order, *values)
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keys).schema.fields)
-    full_schema = f"{key_ddl}, {output_schema}"
-    names = [c.strip().split(" ")[0].strip("`") for c in full_schema.split(",")]
+    schema = f"{key_ddl(slim, keys)}, {output_schema}"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get if state.exists else initial
-        parts = [pdf[[*order, *values]] for pdf in batches]
-        out: list[tuple] = []
-        for row in pd.concat(parts).sort_values(order).itertuples(index=False, name=None):
-            current, made = step(current, row)
-            out.extend((*key, *m) for m in made)
-        state.update(current)
-        if out:
-            yield pd.DataFrame(out, columns=names)
+        ordered = pd.concat([b[[*order, *values]] for b in batches]).sort_values(order, ignore_index=True)
+        after, out = rule(ordered, state.get if state.exists else initial)
+        state.update(after)
+        for name, value in zip(reversed(keys), reversed(key), strict=True):
+            out.insert(0, name, value)
+        if len(out):
+            yield out
+
+    return slim.groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+
 
-    return slim.groupBy(*keys).applyInPandasWithState(run, full_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+def since_last(mask: np.ndarray, before: int) -> np.ndarray:
+    """Rows since the last one in ``mask`` (0 there); ``before`` counts those of earlier batches."""
+    at = np.arange(len(mask))
+    last = np.maximum.accumulate(np.where(mask, at, -1))
+    return np.where(last >= 0, at - last, at + 1 + before)
 
 
-def missing(v) -> bool:
-    return v is None or v != v
+def held_value(mask: np.ndarray, values: np.ndarray, before: float) -> np.ndarray:
+    """The value at the last row in ``mask``, the row itself included; ``before`` ahead of the first."""
+    last = np.maximum.accumulate(np.where(mask, np.arange(len(mask)), -1))
+    return np.where(last >= 0, values[last], before)
+
+
+def shifted(values: np.ndarray, first: float) -> np.ndarray:
+    return np.concatenate([[first], values[:-1]]) if len(values) else values
+
+
+def late_rows(rows: DataFrame, keys: Sequence[str], time_us: str) -> DataFrame:
+    """For each batch of a device the number of rows older than its newest row before the batch."""
+
+    def rule(pdf: pd.DataFrame, state: State) -> tuple[State, pd.DataFrame]:
+        t = pdf[time_us].to_numpy("i8")
+        return (max(state[0], int(t[-1])),), pd.DataFrame({"newest_us": [int(t[-1])], "rows": [len(t)], "late": [int((t < state[0]).sum())]})
+
+    return fold_stream(rows, keys, [time_us], [], rule, (-(1 << 62),), "newest BIGINT", "newest_us BIGINT, rows BIGINT, late BIGINT")
 
 
 # --- detector ---------------------------------------------------------------------------------------
 
 
-def detector_step(threshold: float, streak: int, hold_us: int) -> Step:
-    def step(state: State, row: tuple) -> tuple[State, list[tuple]]:
-        active, run, until = state
-        t, _, score = row
-        hit = score >= threshold
-        run = run + 1 if hit else 0
-        if not active and run >= streak:
-            return (True, run, t + hold_us), [(t, "crying")]
-        if active and hit:
-            return (True, run, t + hold_us), []
-        if active and t >= until:
-            return (False, 0, until), [(t, "idle")]
-        return (active, run, until), []
+def detector_rule(time_us: str, streak: int, hold_us: int) -> Rule:
+    """A streak of hits opens an episode; the first miss a hold time after the newest hit closes it.
 
-    return step
+    Neither depends on whether an episode is open, so both are marked first, and the newest mark decides.
+    """
 
+    def rule(pdf: pd.DataFrame, state: State) -> tuple[State, pd.DataFrame]:
+        opened, run, newest = state
+        t, hit = pdf[time_us].to_numpy("i8"), pdf["_hit"].to_numpy(bool)
+        streaks = since_last(~hit, run)
+        quiet = t - held_value(hit, t, newest)
+        opens, closes = streaks >= streak, ~hit & (quiet >= hold_us)
+        is_open = held_value(opens | closes, opens.astype("i8"), int(opened)).astype(bool)
+        was_open = shifted(is_open, bool(opened)).astype(bool)
+        changed = is_open != was_open
+        out = pd.DataFrame({"t_us": t[changed], "state": np.where(is_open[changed], "crying", "idle")})
+        return (bool(is_open[-1]), int(streaks[-1]), int(held_value(hit, t, newest)[-1])), out
 
-def detector_stream(rows: DataFrame, keys: Sequence[str], time_us: str, tie: str, score: str, threshold: float, streak: int, hold_us: int) -> DataFrame:
-    """State changes of the streak detector, as they happen."""
-    return fold_stream(
-        rows, keys, [time_us, tie], [score], detector_step(threshold, streak, hold_us), (False, 0, 0),
-        "active BOOLEAN, run BIGINT, until BIGINT", "t_us BIGINT, state STRING",
-    )
+    return rule
+
+
+def detector_stream(rows: DataFrame, keys: Sequence[str], time_us: str, tie: str, score: str, threshold: float | Column, streak: int, hold_us: int) -> DataFrame:
+    """State changes of the streak detector, as they happen. The threshold may be a column that moves with the noise floor."""
+    marked = rows.withColumn("_hit", F.coalesce(F.col(score) >= threshold, F.lit(False)))
+    start = (False, 0, -(1 << 62))
+    return fold_stream(marked, keys, [time_us, tie], ["_hit"], detector_rule(time_us, streak, hold_us), start, "opened BOOLEAN, run BIGINT, newest BIGINT", "t_us BIGINT, state STRING")
 
 
 # --- sustained trigger with cooldown -----------------------------------------------------------------
 
 
-def trigger_step(ratio: float, floor: float, sustain_us: int, cooldown_us: int, warmup_us: int) -> Step:
-    """Level above ``max(ratio*p50, floor)`` for the sustain time fires, then rests for the cooldown."""
+def trigger_rule(time_us: str, sustain_us: int, cooldown_us: int, warmup_us: int) -> Rule:
+    """Loud for the sustain time fires, then rests for the cooldown. One search a fire, none a row."""
 
-    def step(state: State, row: tuple) -> tuple[State, list[tuple]]:
+    def rule(pdf: pd.DataFrame, state: State) -> tuple[State, pd.DataFrame]:
         since, fired, start = state
-        t, _, rms, p50 = row
-        start = t if start < 0 else start
-        resting = fired >= 0 and t - fired < cooldown_us
-        if t - start < warmup_us or resting or not rms > max(ratio * p50, floor):
-            return (-1, fired, start), []
-        since = t if since < 0 else since
-        if t - since < sustain_us:
-            return (since, fired, start), []
-        return (-1, t, start), [(t, rms / max(p50, 1.0), rms)]
-
-    return step
+        t = pdf[time_us].to_numpy("i8")
+        start = int(t[0]) if start < 0 else start
+        loud = pdf["_loud"].to_numpy(bool) & (t - start >= warmup_us)
+        begins = loud & ~shifted(loud, False).astype(bool)
+        begun = held_value(begins, t, -1).astype("i8")
+        if since >= 0 and loud[0]:
+            begun[: int(np.argmin(loud)) if not loud.all() else len(t)] = since
+        ripe = np.flatnonzero(loud & (t - begun >= sustain_us))
+        ends = np.append(np.flatnonzero(~loud), len(t))
+        fires: list[int] = []
+        rested = at = int(np.searchsorted(t, fired + cooldown_us)) if fired >= 0 else 0
+        while at < len(t):
+            if at > 0 and loud[at]:
+                # The run under way counts from the end of the rest; later runs from where they begin.
+                stop = int(ends[np.searchsorted(ends, at)])
+                first = max(at, int(np.searchsorted(t, t[at] + sustain_us)))
+                at = first if first < stop else stop
+                if first >= stop:
+                    later = int(np.searchsorted(ripe, stop))
+                    at = int(ripe[later]) if later < len(ripe) else len(t)
+            else:
+                later = int(np.searchsorted(ripe, at))
+                at = int(ripe[later]) if later < len(ripe) else len(t)
+            if at < len(t):
+                fires.append(at)
+                fired = int(t[at])
+                rested = at = max(at + 1, int(np.searchsorted(t, fired + cooldown_us)))
+        under_way = loud[-1] and rested < len(t)
+        since = max(int(begun[-1]), int(t[rested]) if rested else int(begun[-1])) if under_way else -1
+        level, p50 = pdf["_level"].to_numpy("f8")[fires], pdf["_p50"].to_numpy("f8")[fires]
+        return (since, fired, start), pd.DataFrame({"fire_us": t[fires], "ratio": level / np.maximum(p50, 1.0), "level": level})
+
+    return rule
 
 
 def trigger_stream(
     rows: DataFrame, keys: Sequence[str], time_us: str, tie: str, rms: str, p50: str, ratio: float = 5.0, floor: float = 200.0,
     sustain_us: int = 1_500_000, cooldown_us: int = 60_000_000, warmup_us: int = 300_000_000,
 ) -> DataFrame:
+    """Fires of the sustained trigger: level above ``ratio`` times the median and above ``floor``."""
+    loud = F.coalesce(F.col(rms) > F.greatest(ratio * F.col(p50), F.lit(floor)), F.lit(False))
+    marked = rows.withColumns({"_loud": loud, "_level": F.col(rms).cast("double"), "_p50": F.col(p50).cast("double")})
     return fold_stream(
-        rows, keys, [time_us, tie], [rms, p50], trigger_step(ratio, floor, sustain_us, cooldown_us, warmup_us), (-1, -1, -1),
+        marked, keys, [time_us, tie], ["_loud", "_level", "_p50"], trigger_rule(time_us, sustain_us, cooldown_us, warmup_us), (-1, -1, -1),
         "since BIGINT, fired BIGINT, start BIGINT", "fire_us BIGINT, ratio DOUBLE, level DOUBLE",
     )
 
 
 # --- noise floor -------------------------------------------------------------------------------------
 
+#: Fixed value: samples after which all counts are halved.
 HALVE_ABOVE = 65_535
 
 
-def floor_step(bins: int = 32) -> Step:
-    """Count the level bin; past 65,535 samples all counts are halved."""
+def floor_rule(time_us: str, bins: int) -> Rule:
+    """Level bins counted up to the next halving at a time."""
 
-    def step(state: State, row: tuple) -> tuple[State, list[tuple]]:
-        hist, total, start = list(state[0]), state[1] + 1, state[2]
-        t, _, b = row
-        hist[b] += 1
-        if total > HALVE_ABOVE:
-            hist, total = [n >> 1 for n in hist], total >> 1
-        return (hist, total, t if start < 0 else start), [(t, total, hist)]
+    def rule(pdf: pd.DataFrame, state: State) -> tuple[State, pd.DataFrame]:
+        hist, total, start = np.array(state[0], "i8"), state[1], state[2]
+        t, level = pdf[time_us].to_numpy("i8"), pdf["_bin"].to_numpy("i8")
+        at = 0
+        while at < len(level):
+            some = level[at : at + HALVE_ABOVE + 1 - total]
+            hist, total, at = hist + np.bincount(some, minlength=bins), total + len(some), at + len(some)
+            if total > HALVE_ABOVE:
+                hist, total = hist >> 1, total >> 1
+        start = int(t[0]) if start < 0 else start
+        out = pd.DataFrame({"t_us": [int(t[-1])], "start_us": [start], "n": [total], "hist": [hist.tolist()]})
+        return (hist.tolist(), total, start), out
 
-    return step
+    return rule
 
 
 def noise_floor_stream(rows: DataFrame, keys: Sequence[str], time_us: str, tie: str, rms: str, warmup_us: int = 300_000_000) -> DataFrame:
     """The level histogram after each micro-batch of a device, with its p50 and p95 and whether it is warm."""
     from soundledger.operators.aggregates import BINS, hist_quantile, level_bin
 
-    binned = rows.withColumn("_bin", level_bin(F.col(rms)))
-    keys = list(keys)
-    slim = binned.select(*keys, time_us, tie, "_bin")
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keys).schema.fields)
-    step = floor_step(BINS)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get if state.exists else ([0] * BINS, 0, -1)
-        last = None
-        for row in pd.concat(list(batches))[[time_us, tie, "_bin"]].sort_values([time_us, tie]).itertuples(index=False, name=None):
-            current, made = step(current, row)
-            last = made[0]
-        state.update(current)
-        yield pd.DataFrame([(*key, last[0], current[2], last[1], last[2])], columns=[*keys, "t_us", "start_us", "n", "hist"])
-
-    out = slim.groupBy(*keys).applyInPandasWithState(
-        run, f"{key_ddl}, t_us BIGINT, start_us BIGINT, n BIGINT, hist ARRAY<BIGINT>", "hist ARRAY<BIGINT>, total BIGINT, start BIGINT", "append",
-        GroupStateTimeout.NoTimeout,
+    out = fold_stream(
+        rows.withColumn("_bin", level_bin(F.col(rms))), keys, [time_us, tie], ["_bin"], floor_rule(time_us, BINS), ([0] * BINS, 0, -1),
+        "hist ARRAY<BIGINT>, total BIGINT, start BIGINT", "t_us BIGINT, start_us BIGINT, n BIGINT, hist ARRAY<BIGINT>",
     )
     return out.select(
         *keys, "t_us", "n", hist_quantile(F.col("hist"), 0.5).alias("p50"), hist_quantile(F.col("hist"), 0.95).alias("p95"),
@@ -170,43 +202,63 @@ def noise_floor_stream(rows: DataFrame, keys: Sequence[str], time_us: str, tie:
 MONITOR_VALUES = ["answered", "parse_error", "uptime", "state", "peak", "alerts", "overruns", "counter", "captures"]
 MONITOR_STATE = "uptime BIGINT, overruns BIGINT, alerts BIGINT, counter BIGINT, captures BIGINT, silent BIGINT, stuck BIGINT"
 MONITOR_START = (0, 0, 0, 0, -1, 0, 0)
+#: Names of anomalies, quiet states, and limits.
+QUIET_STATES = ("idle", "LISTEN")
 SILENT_KINDS = {1: "NORESP_FIRST", 3: "OUTAGE_CONFIRMED", 30: "OUTAGE_SUSTAINED"}
-
-
-def monitor_step(state: State, row: tuple) -> tuple[State, list[tuple]]:
-    """The twelve anomaly kinds of a poll, given the poll before."""
-    p_up, p_ovr, p_alerts, p_count, p_caps, silent, stuck = state
-    t, tie, answered, parse_error, up, name, peak, alerts, ovr, count, caps = row
-    if not answered:
-        silent += 1
-        kind = SILENT_KINDS.get(silent)
-        return (p_up, p_ovr, p_alerts, p_count, p_caps, silent, stuck), [(t, tie, kind)] if kind else []
-    found = ["OUTAGE_RECOVERED"] if silent >= 3 else []
-    if parse_error:
-        return (p_up, p_ovr, p_alerts, p_count, p_caps, 0, stuck), [(t, tie, k) for k in [*found, "METRICS_PARSE_ERR"]]
-    if p_up != 0 and up < p_up:
-        found.append("REBOOT")
-        p_count, stuck = 0, 0
-    stuck = stuck + 1 if p_count != 0 and count <= p_count else 0
-    if stuck == 2:
-        found.append("INFERENCE_STALLED")
-    if not missing(caps):
-        if p_caps >= 0 and caps > p_caps:
-            found.append("NEW_WAV")
-        p_caps = int(caps)
-    if p_ovr != 0 and ovr - p_ovr > 100:
-        found.append("OVRGROW_BIG")
-    if name not in ("idle", "LISTEN"):
-        found.append("STATE")
-    if peak > 0.55:
-        found.append("CRY_SIGNAL")
-    if alerts > p_alerts:
-        found.append("ALERT_FIRED")
-    return (int(up), int(ovr), int(alerts), int(count), p_caps, 0, stuck), [(t, tie, k) for k in found]
+MANY_OVERRUNS, PEAK_SIGNAL, STALLED_POLLS = 100, 0.55, 2
+
+
+def monitor_rule(time_us: str, tie: str) -> Rule:
+    """Anomalies of polls as one mask a kind, over three views: all polls, readable ones, and those that report captures."""
+
+    def rule(pdf: pd.DataFrame, state: State) -> tuple[State, pd.DataFrame]:
+        uptime, overruns, alerts, counter, captures, silent, stuck = state
+        found: list[pd.DataFrame] = []
+
+        def report(view: pd.DataFrame, mask: np.ndarray, kind: str) -> None:
+            found.append(pd.DataFrame({"t_us": view[time_us].to_numpy()[mask], tie: view[tie].to_numpy()[mask], "kind": kind}))
+
+        answered = pdf["answered"].to_numpy(bool)
+        quiet = since_last(answered, silent)
+        for polls, kind in SILENT_KINDS.items():
+            report(pdf, quiet == polls, kind)
+        report(pdf, answered & (shifted(quiet, silent) >= 3), "OUTAGE_RECOVERED")
+        garbled = answered & pdf["parse_error"].fillna(False).to_numpy(bool)
+        report(pdf, garbled, "METRICS_PARSE_ERR")
+
+        read = pdf[answered & ~garbled]
+        if len(read):
+            now = {c: read[c].to_numpy("i8") for c in ("uptime", "overruns", "alerts", "counter")}
+            last = {c: shifted(now[c], v).astype("i8") for c, v in (("uptime", uptime), ("overruns", overruns), ("alerts", alerts), ("counter", counter))}
+            reboot = (last["uptime"] != 0) & (now["uptime"] < last["uptime"])
+            moved = (last["counter"] == 0) | reboot | (now["counter"] > last["counter"])
+            still = since_last(moved, stuck)
+            report(read, reboot, "REBOOT")
+            report(read, still == STALLED_POLLS, "INFERENCE_STALLED")
+            report(read, (last["overruns"] != 0) & (now["overruns"] - last["overruns"] > MANY_OVERRUNS), "OVRGROW_BIG")
+            report(read, ~read["state"].isin(QUIET_STATES).to_numpy(), "STATE")
+            report(read, read["peak"].to_numpy("f8") > PEAK_SIGNAL, "CRY_SIGNAL")
+            report(read, now["alerts"] > last["alerts"], "ALERT_FIRED")
+            counted = read[read["captures"].notna().to_numpy()]
+            if len(counted):
+                have = counted["captures"].to_numpy("i8")
+                had = shifted(have, captures).astype("i8")
+                report(counted, (had >= 0) & (have > had), "NEW_WAV")
+                captures = int(have[-1])
+            uptime, overruns, alerts, counter = (int(now[c][-1]) for c in ("uptime", "overruns", "alerts", "counter"))
+            stuck = int(still[-1])
+        return (uptime, overruns, alerts, counter, captures, int(quiet[-1]), stuck), pd.concat(found, ignore_index=True)
+
+    return rule
 
 
 def monitor_stream(polls: DataFrame, keys: Sequence[str], time_us: str, tie: str) -> DataFrame:
     """Anomalies of device polls. Needs the columns of ``MONITOR_VALUES``; unanswered polls are rows too."""
-    return fold_stream(
-        polls, keys, [time_us, tie], MONITOR_VALUES, monitor_step, MONITOR_START, MONITOR_STATE, f"t_us BIGINT, {tie} BIGINT, kind STRING"
-    )
+    return fold_stream(polls, keys, [time_us, tie], MONITOR_VALUES, monitor_rule(time_us, tie), MONITOR_START, MONITOR_STATE, f"t_us BIGINT, {tie} BIGINT, kind STRING")
+
+
+def unheard(devices: DataFrame, polls: DataFrame, keys: Sequence[str], time_us: str, now_us: int, limit_us: int) -> DataFrame:
+    """Expected devices without an answered poll in the last ``limit_us``: those that sent no rows at all are found too."""
+    heard = polls.filter("answered").groupBy(*keys).agg(F.max(time_us).alias("last_us"))
+    met = devices.select(*keys).distinct().join(heard, list(keys), "left")
+    return met.filter(F.col("last_us").isNull() | (now_us - F.col("last_us") > limit_us)).withColumn("kind", F.lit("NORESP_FIRST"))

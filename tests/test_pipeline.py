@@ -1,8 +1,10 @@
 """Files on disk, ledger replay, models, releases and streams."""
 
 import json
+import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,8 +178,6 @@ def test_monitor_over_batches(spark, tmp_path):
         for p in range(parts):
             rows = polls[p * 120 // parts : (p + 1) * 120 // parts]
             (src / f"{p}.json").write_text("\n".join(map(json.dumps, rows)))
-            import os
-
             os.utime(src / f"{p}.json", (1000 + p, 1000 + p))
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
         out = jobs.run_to_table(folds.monitor_stream(stream, ["device"], "t", "id"), str(tmp_path / f"out{parts}"))
@@ -199,8 +199,80 @@ def test_ledger_stream_equals_batch(spark, tmp_path):
     assert key(jobs.ledger_state(spark, str(tmp_path / "state"))) == key(batch)
 
 
-def test_noise_floor_halves(spark):
-    step, state = folds.floor_step(4), ([0] * 4, 0, -1)
-    for i in range(65_536):
-        state, _ = step(state, (i, i, i % 2))
-    assert state[1] == 32_768 and sum(state[0]) == 32_768
+def test_noise_floor_halves():
+    rule, state = folds.floor_rule("t", 4), ([0] * 4, 0, -1)
+    for start, n in ((0, 30_000), (30_000, 35_536)):
+        state, out = rule(pd.DataFrame({"t": np.arange(start, start + n), "_bin": np.arange(n) % 2}), state)
+    assert state[1] == 32_768 and sum(state[0]) == 32_768 and state[2] == 0 and out["n"][0] == 32_768
+    whole, _ = rule(pd.DataFrame({"t": np.arange(65_536), "_bin": np.arange(65_536) % 2}), ([0] * 4, 0, -1))
+    assert whole == state
+
+
+def slow_detector(rows, streak, hold):
+    """The rule said row by row: hits in a row open, a miss long after the newest hit closes."""
+    is_open, run, newest, out = False, 0, None, []
+    for t, hit in rows:
+        run, newest = (run + 1, t) if hit else (0, newest)
+        if not is_open and run >= streak:
+            is_open = True
+            out.append((t, "crying"))
+        elif is_open and not hit and t - newest >= hold:
+            is_open = False
+            out.append((t, "idle"))
+    return out
+
+
+def slow_trigger(rows, sustain, cooldown, warmup):
+    since = fired = None
+    start, out = rows[0][0], []
+    for t, loud in rows:
+        rest = fired is not None and t < fired + cooldown
+        if not loud or rest or t < start + warmup:
+            since = None
+            continue
+        since = t if since is None else since
+        if t - since >= sustain:
+            out.append(t)
+            since, fired = None, t
+    return out
+
+
+def in_batches(rule, state, frame, cuts):
+    out = []
+    for part in np.split(np.arange(len(frame)), cuts):
+        if len(part):
+            state, made = rule(frame.iloc[part].reset_index(drop=True), state)
+            out += list(made.itertuples(index=False, name=None))
+    return out
+
+
+def test_detector_and_trigger_rules_in_any_batches():
+    rng = np.random.default_rng(11)
+    for case in range(200):
+        n = int(rng.integers(1, 120))
+        t = np.cumsum(rng.integers(0, 4, n))
+        mark = rng.random(n) < rng.choice([0.3, 0.6, 0.9])
+        cuts = np.sort(rng.integers(0, n + 1, case % 5))
+        rows = list(zip(t.tolist(), mark.tolist(), strict=True))
+        streak, hold = int(rng.integers(1, 4)), int(rng.integers(1, 9))
+        got = in_batches(folds.detector_rule("t", streak, hold), (False, 0, -(1 << 62)), pd.DataFrame({"t": t, "_hit": mark}), cuts)
+        assert got == slow_detector(rows, streak, hold)
+        sustain, cooldown, warmup = int(rng.integers(0, 8)), int(rng.integers(0, 20)), int(rng.integers(0, 10))
+        frame = pd.DataFrame({"t": t, "_loud": mark, "_level": t * 2.0, "_p50": 0.5})
+        fires = in_batches(folds.trigger_rule("t", sustain, cooldown, warmup), (-1, -1, -1), frame, cuts)
+        assert [f[0] for f in fires] == slow_trigger(rows, sustain, cooldown, warmup), (rows, cuts, sustain, cooldown, warmup)
+        assert all(f[1:] == (2.0 * f[0], 2.0 * f[0]) for f in fires)
+
+
+def test_unheard_devices_and_late_rows(spark, tmp_path):
+    devices = spark.createDataFrame([(i,) for i in range(4)], "device INT")
+    polls = spark.createDataFrame([(0, 100, True), (1, 10, True), (2, 100, False)], "device INT, t BIGINT, answered BOOLEAN")
+    assert {r["device"] for r in folds.unheard(devices, polls, ["device"], "t", 105, 30).collect()} == {1, 2, 3}
+    src = tmp_path / "src"
+    src.mkdir()
+    for p, times in enumerate(([5, 9], [3, 8, 12])):
+        (src / f"{p}.json").write_text("\n".join(json.dumps({"device": 1, "t": t}) for t in times))
+        os.utime(src / f"{p}.json", (1000 + p, 1000 + p))
+    stream = spark.readStream.schema("device INT, t BIGINT").option("maxFilesPerTrigger", 1).json(str(src))
+    out = jobs.run_to_table(folds.late_rows(stream, ["device"], "t"), str(tmp_path / "out"))
+    assert sorted((r["rows"], r["late"]) for r in out.collect()) == [(2, 0), (3, 2)]
