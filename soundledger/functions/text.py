@@ -72,13 +72,14 @@ def firmware_era(iso: Column, bounds: list[tuple[str, str]] | None = None, last:
 
 
 def percent_decode(text: Column) -> Column:
-    """Percent decoding that keeps '+'; null when an escape is malformed."""
-    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    """Percent decoding that keeps '+' and leaves malformed escapes as they stand."""
+    kept = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(kept), text)
 
 
 def note_text(note: Column) -> Column:
     raw = F.coalesce(note, F.lit(""))
-    decoded = F.trim(F.coalesce(percent_decode(raw), raw))
+    decoded = F.regexp_replace(percent_decode(raw), r"^\s+|\s+$", "")
     return F.when(raw.startswith("auto-rms-"), raw).otherwise(decoded)
 
 

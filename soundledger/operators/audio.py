@@ -214,19 +214,6 @@ def _feature_schema(keys: DataFrame) -> T.StructType:
     return T.StructType([*keys.schema.fields, *fixed, *values])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core some captures when a scan has fewer splits than cores.
-
-    Large scans stay as they are, and so do frames that were shuffled: their
-    partitioning is the caller's choice, and asking for it would run the shuffle.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(node in plan for node in ("Aggregate", "Join", "Repartition", "Sort", "Window")):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def capture_features(
     captures: DataFrame, keys: Sequence[str], content: str | None = None, samples: str | None = None, sr: int = 16_000, grid: Grid = Grid()
 ) -> DataFrame:
@@ -236,7 +223,7 @@ def capture_features(
     batches are bounded in bytes, so a task holds some fifty captures at a time.
     """
     keys = list(keys)
-    source = spread(captures.select(*keys, F.col(content or samples).alias("_audio")))
+    source = captures.select(*keys, F.col(content or samples).alias("_audio"))
     schema = _feature_schema(source.select(*keys))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,7 +307,7 @@ def log_mel_frames(x: np.ndarray, sr: int, win: int = 400, hop: int = 160, n_fft
 def mel_patches(captures: DataFrame, keys: Sequence[str], content: str) -> DataFrame:
     """Model input patches: every 48 frames the last 96 log-mel frames, zeros before the first."""
     keys = list(keys)
-    source = spread(captures.select(*keys, F.col(content).alias("_audio")))
+    source = captures.select(*keys, F.col(content).alias("_audio"))
     schema = T.StructType(
         [*source.select(*keys).schema.fields, T.StructField("patch_idx", T.IntegerType()), T.StructField("mel", T.ArrayType(T.FloatType()))]
     )
@@ -346,7 +333,7 @@ def mel_patches(captures: DataFrame, keys: Sequence[str], content: str) -> DataF
 def mel_db_table(captures: DataFrame, keys: Sequence[str], content: str, n_fft: int = 1024, hop: int = 160) -> DataFrame:
     """Log-mel power in dB per frame for viewing, with the 5th and 99th percentile of the capture."""
     keys = list(keys)
-    source = spread(captures.select(*keys, F.col(content).alias("_audio")))
+    source = captures.select(*keys, F.col(content).alias("_audio"))
     schema = T.StructType(
         [
             *source.select(*keys).schema.fields, T.StructField("frame", T.IntegerType()), T.StructField("mel_db", T.ArrayType(T.FloatType())),

@@ -9,7 +9,8 @@ would sort that share in a single task. Here every key is cut into time chunks:
   back on ``(key, chunk)``, the partitioning the windowed rows already have.
 
 The chunk of a row depends only on its key and time, so a recomputed task gives
-the same answer. Cells with more than ``target_rows`` rows are cut finer.
+the same answer. Cells with more than ``target_rows`` rows are cut where their
+running row count passes the target, so that a burst is cut as finely as it needs.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from soundledger.session import shared_dir
+
 CHUNK = "_chunk"
 MICROS = 1_000_000
 DAY_US = 86_400 * MICROS
 DEFAULT_BASE_US = 28 * DAY_US
 TARGET_ROWS = 500_000
-MAX_SPLITS = 1 << 20
-HOT_CELLS_BROADCAST = 50_000
+# Slices of a cell: the finest cut, two seconds of the default cell.
+SLICES = 1 << 20
 
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
 _LOCAL = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
@@ -49,38 +52,36 @@ def with_chunks(
 ) -> DataFrame:
     """Add the chunk number of each row, increasing with time inside a key. A row without a key is an error.
 
-    The histogram of (key, coarse bucket) is aggregated before its shuffle. Only
-    cells above the target come back, as a small split table. It is taken over
-    ``sizes_from`` where a cheaper frame has the same bulk of rows, and left out
-    where rows of a key are known to be ``spacing_us`` apart and so cannot fill a bucket.
+    The histogram of (key, coarse bucket) is aggregated before its shuffle. Where
+    a cell is above the target, the rows of its slices are counted too, and the
+    running count of slices gives the cuts. Counts are taken over ``sizes_from``
+    where a cheaper frame has the same bulk of rows, and left out where rows of a
+    key are known to be ``spacing_us`` apart and so cannot fill a bucket. Rows of
+    one slice stay together.
     """
     keys = list(keys)
     bucket = F.expr(f"({time_us} - pmod({time_us}, {base_us})) div {base_us}")
     if spacing_us is not None and base_us // spacing_us <= target_rows:
-        return df.withColumn(CHUNK, _keyed(keys, F.coalesce(bucket * MAX_SPLITS, F.lit(0))))
+        return df.withColumn(CHUNK, _keyed(keys, F.coalesce(bucket * SLICES, F.lit(0))))
     sized = df if sizes_from is None else sizes_from
-    hot = (
-        sized.filter(F.col(time_us).isNotNull())
-        .groupBy(*keys, bucket.alias("_bucket"))
-        .count()
-        .filter(F.col("count") > target_rows)
-        .withColumn(
-            "_splits",
-            F.least(F.lit(MAX_SPLITS), F.pow(F.lit(2), F.ceil(F.log2(F.lit(4.0) * F.col("count") / target_rows))).cast("bigint")),
-        )
-        .drop("count")
-    )
-    n_hot = len(hot.limit(HOT_CELLS_BROADCAST + 1).select("_bucket").take(HOT_CELLS_BROADCAST + 1))
-    width = MAX_SPLITS
-    if n_hot == 0:
-        return df.withColumn(CHUNK, _keyed(keys, F.coalesce(bucket * width, F.lit(0))))
-    table = F.broadcast(hot) if n_hot <= HOT_CELLS_BROADCAST else hot
-    cut = F.expr(f"if(_splits is null, 0, pmod({time_us}, {base_us}) div greatest(1, {base_us} div _splits))")
+    timed = sized.filter(F.col(time_us).isNotNull())
+    cells = timed.groupBy(*keys, bucket.alias("_bucket")).count().filter(F.col("count") > target_rows).drop("count")
+    if not cells.take(1):
+        return df.withColumn(CHUNK, _keyed(keys, F.coalesce(bucket * SLICES, F.lit(0))))
+    slot = F.expr(f"pmod({time_us}, {base_us}) div greatest(1, {base_us} div {SLICES})")
+    # Every row of ``df`` must find its slice, so slices are counted over all of it.
+    slots = df.filter(F.col(time_us).isNotNull()).withColumn("_bucket", bucket).join(cells, [*keys, "_bucket"], "left_semi").groupBy(*keys, "_bucket", slot.alias("_slot")).count()
+    # A cell has a bounded number of slices, whatever its rows.
+    earlier = Window.partitionBy(*keys, "_bucket").orderBy("_slot")
+    reached = F.floor((F.sum("count").over(earlier) - 1) / target_rows)
+    # A slice opens a chunk where the running count enters the next multiple of the target.
+    cuts = slots.select(*keys, "_bucket", "_slot", reached.alias("_cut"))
     return (
         df.withColumn("_bucket", bucket)
-        .join(table, [*keys, "_bucket"], "left")
-        .withColumn(CHUNK, _keyed(keys, F.coalesce(F.col("_bucket") * width + cut, F.lit(0))))
-        .drop("_bucket", "_splits")
+        .withColumn("_slot", slot)
+        .join(cuts, [*keys, "_bucket", "_slot"], "left")
+        .withColumn(CHUNK, _keyed(keys, F.coalesce(F.col("_bucket") * SLICES + F.coalesce("_cut", F.lit(0)), F.lit(0))))
+        .drop("_bucket", "_slot", "_cut")
     )
 
 
@@ -177,33 +178,19 @@ def trailing_rows(
     )
 
 
-def number_names(df: DataFrame, name: str, out: str, target_rows: int = TARGET_ROWS, max_prefix: int = 64) -> DataFrame:
+def number_names(df: DataFrame, name: str, out: str) -> DataFrame:
     """Zero-based position of each row in the order of a unique text column, over the whole frame.
 
-    The text is cut to the shortest prefix whose groups all fit one task. Group
-    sizes are summed over the ordered prefixes, rows are numbered inside a group.
+    Rows are range-partitioned by name and checkpointed with their partition, so that the ranges are the same for both
+    uses; one count a partition gives the offsets, and rows are numbered inside a partition.
     """
-    length = 8
-    while length < max_prefix:
-        biggest = df.groupBy(F.left(F.col(name), F.lit(length)).alias("p")).count().agg(F.max("count")).first()[0]
-        if biggest is None or biggest <= target_rows:
-            break
-        length += 4
-    prefix = F.left(F.col(name), F.lit(length))
-    marked = df.withColumn("_prefix", prefix)
-    sizes = marked.groupBy("_prefix").count()
-    # Two levels keep the ordered scan of group sizes itself small: the one window without a
-    # partition sees a row per head, a few characters shorter than the prefixes.
-    sizes = sizes.withColumn("_head", F.left("_prefix", F.lit(max(1, length - 4))))
-    heads = sizes.groupBy("_head").agg(F.sum("count").alias("_n"))
-    heads = heads.select(
-        "_head", F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")
-    )
-    inner = Window.partitionBy("_head").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sizes.withColumn("_off", F.coalesce(F.sum("count").over(inner), F.lit(0)))
-        .join(heads, "_head")
-        .select("_prefix", (F.col("_off") + F.col("_base")).alias("_off"))
-    )
-    here = F.row_number().over(Window.partitionBy("_prefix").orderBy(name)) - 1
-    return marked.withColumn("_i", here).join(offsets, "_prefix").withColumn(out, F.col("_i") + F.col("_off")).drop("_prefix", "_i", "_off")
+    shared_dir(df.sparkSession)
+    ranged = df.repartitionByRange(name).withColumn("_range", F.spark_partition_id()).checkpoint()
+    offsets, total = [], 0
+    for r in sorted(ranged.groupBy("_range").count().collect()):
+        offsets.append((r["_range"], total))
+        total += r["count"]
+    # One row a partition.
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_range INT, _off BIGINT"))
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(name)) - 1
+    return ranged.withColumn("_i", here).join(starts, "_range").withColumn(out, F.col("_i") + F.col("_off")).drop("_range", "_i", "_off")

@@ -16,9 +16,6 @@ from soundledger.operators.joins import as_of_backward, lookup
 from soundledger.operators.windows import sustained_level
 from soundledger.session import shared_dir
 
-# Fields a published table may show.
-PUBLIC_FIELDS = ["event_id", "day", "hour", "tier", "s1", "s2"]
-
 
 def presence(df: DataFrame, keys: Sequence[str], time_us: str, tie: str, score: str, level: float, sustain_us: int, **chunking) -> DataFrame:
     """Moments at which a class has been above a level for the sustain time."""
@@ -177,14 +174,14 @@ def tag_context(captures: DataFrame, events: DataFrame, keys: Sequence[str], tim
     return rows.withColumn("context", F.coalesce(kinds, F.array().cast("array<string>"))).drop("_bucket", "_near")
 
 
-def public_view(df: DataFrame, allowed: Sequence[str] = PUBLIC_FIELDS) -> DataFrame:
+def public_view(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """Only the allowed fields, whatever else a table gains."""
     return df.select(*[c for c in df.columns if c in allowed])
 
 
 def calibration_sample(patches: DataFrame, key: str, patch: str, n: int, cells: int, seed: int = 0) -> DataFrame:
     """``n`` patches in seeded hash order, topped up with synthetic ones where there are fewer."""
-    real = patches.select(F.xxhash64(F.lit(seed), key).alias("_h"), key, patch).orderBy("_h", key).limit(n).select(patch, F.lit(False).alias("synthetic"))
+    real = patches.select(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))).alias("_h"), key, patch).orderBy("_h", key).limit(n).select(patch, F.lit(False).alias("synthetic"))
     unit = lambda i, part: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i, F.lit(part)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     normal = lambda i: F.sqrt(-2.0 * F.ln(unit(i, 0))) * F.cos(2 * np.pi * unit(i, 1))
     noise = F.transform(F.sequence(F.lit(1), F.lit(cells)), lambda i: (normal(i) * 3.0 - 5.0).cast("float"))

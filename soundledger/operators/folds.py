@@ -194,8 +194,8 @@ def hold_peak(x: np.ndarray, held: float, decay: float) -> np.ndarray:
     return out
 
 
-def peak_exits(x: np.ndarray, decay: float, limit: float) -> list[tuple[float, float]]:
-    """What a chunk makes of each entry peak up to ``limit``.
+def peak_exits(x: np.ndarray, decay: float) -> list[tuple[float, float]]:
+    """What a chunk makes of each entry peak.
 
     Pairs (bound, exit): an entry peak below the bound is first replaced where
     that bound arises, and from there the exit no longer depends on it. The
@@ -208,8 +208,6 @@ def peak_exits(x: np.ndarray, decay: float, limit: float) -> list[tuple[float, f
         if bound > best:
             firsts.append((i, bound))
             best = bound
-            if best > limit:
-                break
         scale *= decay
         if scale < 1e-290:
             break
@@ -233,15 +231,15 @@ def peak_exits(x: np.ndarray, decay: float, limit: float) -> list[tuple[float, f
 
 
 def decayed_peak(
-    df: DataFrame, keys: Sequence[str], time_us: str, tie: str, score: str, decay: float = 0.95, limit: float = 1.0, **chunking
+    df: DataFrame, keys: Sequence[str], time_us: str, tie: str, score: str, decay: float = 0.95, **chunking
 ) -> DataFrame:
-    """Running peak of a score in [0, limit] that decays on every row it is not beaten."""
+    """Running peak of a score from zero up that decays on every row it is not beaten."""
     keys, order = list(keys), [time_us, tie]
     rows = with_chunks(df.select(*keys, *order, score), keys, time_us, **chunking)
     cell = [*keys, CHUNK]
 
     def table(g: Group) -> Group:
-        bounds, exits = map(np.array, zip(*peak_exits(g[score], decay, limit)))
+        bounds, exits = map(np.array, zip(*peak_exits(g[score], decay)))
         return {"n": np.full(len(bounds), len(g[score])), "bound": bounds, "exit_peak": exits}
 
     def walk(g: Group) -> Group:

@@ -111,10 +111,9 @@ def temporal_neighbours(
     )
 
 
-def lookup(df: DataFrame, dim: DataFrame, on: str, max_rows: int = 10_000, how: str = "left") -> DataFrame:
-    """Join to a dimension; broadcast only after its row count was checked."""
-    small = len(dim.select(on).take(max_rows + 1)) <= max_rows
-    return df.join(F.broadcast(dim) if small else dim, on, how)
+def lookup(df: DataFrame, dim: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join to a dimension; Spark broadcasts it if it measures small enough."""
+    return df.join(dim, on, how)
 
 
 def sync_plan(remote: DataFrame, mirror: DataFrame, verify: bool = False) -> DataFrame:

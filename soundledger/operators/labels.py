@@ -131,9 +131,9 @@ def as_of_release(history: DataFrame, frozen_at: Column) -> DataFrame:
 def disagreement_alarm(master: DataFrame, session: str, trailing: int = 3, factor: float = 2.0) -> DataFrame:
     """Share of disagreeing captures per session, and whether it exceeds its trailing mean by a factor."""
     share = master.groupBy(session).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("confidence_tier") == "low").cast("int")).alias("low_share"))
-    # One row per session is left here.
-    before = Window.partitionBy(F.lit(0)).orderBy(session).rowsBetween(-trailing, -1)
-    out = share.withColumn("trailing_mean", F.avg("low_share").over(before))
+    placed = number_names(share, session, "_pos")
+    ahead = placed.select(F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + trailing)).alias("_pos"), "low_share")
+    out = placed.join(ahead.groupBy("_pos").agg(F.avg("low_share").alias("trailing_mean")), "_pos", "left").drop("_pos")
     return out.withColumn("alarm", F.coalesce(F.col("low_share") > factor * F.col("trailing_mean"), F.lit(False)))
 
 
@@ -149,10 +149,13 @@ def inventory(master: DataFrame, day: str = "day", session: str = "session_id",
 
 
 def render_inventory(tables: dict[str, DataFrame], title: str = "Data inventory", max_rows: int = 10_000) -> str:
-    """Markdown text of the profile tables; they hold one row per day or session."""
+    """Markdown text of the profile tables, one row per day or session; tables too long to print are an error, not cut."""
     out = [f"# {title}", ""]
     for name, df in tables.items():
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.orderBy(df.columns[0]).limit(max_rows).collect()]
+        rows = df.orderBy(df.columns[0]).limit(max_rows + 1).collect()
+        if len(rows) > max_rows:
+            raise ValueError(f"table {name} has more than {max_rows} rows; write it as a table instead")
+        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
         out.append("")
     return "\n".join(out)

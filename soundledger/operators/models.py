@@ -125,42 +125,48 @@ class Subtypes:
         return F.when(features.isNotNull(), F.array_min(F.array(*pairs))["name"])
 
 
-def _spread_seeds(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Start centres drawn far apart from a bounded sample."""
-    centres = [sample[rng.integers(len(sample))]]
-    for _ in range(k - 1):
-        d = np.min([((sample - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        total = d.sum()
-        centres.append(sample[rng.choice(len(sample), p=d / total) if total > 0 else rng.integers(len(sample))])
-    return np.array(centres)
-
-
-def _settle(sample: np.ndarray, centres: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Let every restart converge on the bounded sample, so that few passes over all rows remain."""
-    k = centres.shape[1]
-    for r, c in enumerate(centres):
-        for _ in range(rounds):
-            near = ((c**2).sum(axis=1) - 2 * sample @ c.T).argmin(axis=1)
-            member = (near[:, None] == np.arange(k)).astype(float)
-            count = member.sum(axis=0)
-            new = np.where(count[:, None] > 0, member.T @ sample / np.maximum(count, 1)[:, None], c)
-            if np.abs(new - c).max() < 1e-9:
-                break
-            c = new
-        centres[r] = c
+def _spread_seeds(z: DataFrame, k: int, restarts: int, seed: int) -> np.ndarray:
+    """Seeds of every restart, each next one drawn from all rows by its squared distance from the restart's others.
+
+    Of all rows the one with the largest ``log(u) / weight`` is drawn, with ``u`` hashed from the row, so that a task
+    returns one row a restart. Equal rows share their hash and count as one place.
+    """
+    schema = "r INT, best DOUBLE, z ARRAY<DOUBLE>"
+    centres = np.zeros((restarts, 0, 0))
+    for turn in range(k):
+
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top, rows = np.full(restarts, -np.inf), [None] * restarts
+            for pdf in batches:
+                x, h = np.stack(pdf["z"].to_numpy()), pdf["h"].to_numpy("i8").view("u8")
+                for r in range(restarts):
+                    mixed = (h ^ np.uint64((r * k + turn + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+                    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    u = ((mixed >> np.uint64(11)).astype("f8") + 0.5) / 2.0**53
+                    weight = np.ones(len(x)) if turn == 0 else np.min([((x - c) ** 2).sum(axis=1) for c in centres[r]], axis=0)
+                    score = np.log(u) / np.maximum(weight, 1e-300)
+                    i = int(np.argmax(score))
+                    if score[i] > top[r]:
+                        top[r], rows[r] = score[i], x[i].tolist()
+            have = [r for r in range(restarts) if rows[r] is not None]
+            yield pd.DataFrame({"r": have, "best": top[have], "z": [rows[r] for r in have]})
+
+        hashed = z.select("z", F.xxhash64(F.lit(seed), "z").alias("h"))
+        found = hashed.mapInPandas(draw, schema).groupBy("r").agg(F.max_by("z", "best").alias("z")).collect()
+        next_one = np.array([r["z"] for r in sorted(found, key=lambda r: r["r"])])[:, None, :]
+        centres = next_one if turn == 0 else np.concatenate([centres, next_one], axis=1)
     return centres
 
 
 def fit_subtypes(
-    df: DataFrame, features: str, pitch_index: int, k: int = 4, restarts: int = 50, seed: int = 0, max_iter: int = 300, tol: float = 1e-4,
-    sample_rows: int = 4096,
+    df: DataFrame, features: str, pitch_index: int, k: int = 4, restarts: int = 50, seed: int = 0, max_iter: int = 300, tol: float = 1e-4
 ) -> Subtypes | None:
     """k-means with many restarts; None when there are fewer than 2k rows.
 
-    Restarts begin from centres that settled on a sample of bounded size. Then
-    all move together: a pass over the data assigns each row under every restart
-    and returns one partial sum per (restart, cluster), so fifty restarts cost
-    the passes of the slowest one.
+    Every restart is seeded over all rows, far rows likelier, one pass a centre
+    for all restarts. Then all move together: a pass over the data assigns each
+    row under every restart and returns one partial sum per (restart, cluster),
+    so fifty restarts cost the passes of the slowest one.
     """
     rows = df.filter(F.col(features).isNotNull()).select(features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -169,10 +175,7 @@ def fit_subtypes(
             return None
         scaling, _ = fit_scaling(rows, features)
         z = rows.select(scaling.apply(F.col(features)).alias("z"))
-        picked = z.orderBy(F.xxhash64(F.lit(seed), "z")).limit(sample_rows).collect()
-        sample = np.array([r["z"] for r in picked])
-        rng = np.random.default_rng(seed)
-        centres = _settle(sample, np.stack([_spread_seeds(sample, k, rng) for _ in range(restarts)]))
+        centres = _spread_seeds(z, k, restarts, seed)
         dims = centres.shape[2]
         schema = T.StructType(
             [T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("cost", T.DoubleType()), T.StructField("s", T.ArrayType(T.DoubleType()))]
@@ -224,12 +227,10 @@ def fit_subtypes(
     return Subtypes(scaling, tuple(map(tuple, units)), tuple(names), float(cost.min()))
 
 
-def hold_one_out(df: DataFrame, session: str, features: str, label: str, max_sessions: int = 1000) -> DataFrame:
-    """Every row scored by a model that never saw its session."""
+def hold_one_out(df: DataFrame, session: str, features: str, label: str) -> DataFrame:
+    """Every row scored by a model that never saw its session. One fit a session: group sessions first if there are very many."""
     rows = df.filter(F.col(features).isNotNull() & F.col(label).isNotNull())
-    sessions = [r[0] for r in rows.select(session).distinct().limit(max_sessions + 1).collect()]
-    if len(sessions) > max_sessions:
-        raise ValueError(f"more than {max_sessions} sessions; group them first")
+    sessions = [r[0] for r in rows.select(session).distinct().collect()]
     fits = []
     for s in sorted(sessions):
         m = fit_logistic(rows.filter(F.col(session) != s), features, label)

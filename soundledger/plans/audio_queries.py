@@ -25,7 +25,8 @@ ENV = """env AS (SELECT vec_id, i, sqrt(list_sum(list_transform(x[i*4+1:i*4+8],
 
 
 def waves(spark, sf):
-    e = table(spark, sf, "embeddings")
+    # A small file is one split, and features need every core.
+    e = table(spark, sf, "embeddings").repartition(spark.sparkContext.defaultParallelism)
     return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * GAIN).alias("x"))
 
 
@@ -150,7 +151,7 @@ def segment_features(spark, sf):
 
 def document_wavs(spark, sf):
     """Each document's bytes as the sample payload of a WAV file."""
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism)
     return d.select("doc_id", A.wav_bytes(F.encode("text", "UTF-8")).alias("content"))
 
 

@@ -220,7 +220,7 @@ def context_tags(spark, sf):
 
 @query("x18_public_view", f"WITH {B.CAP}, {B.TIERED} SELECT event_id, day, hour, tier, s1, s2 FROM tiered")
 def public_view(spark, sf):
-    return E.public_view(tiered(spark, sf))
+    return E.public_view(tiered(spark, sf), ["event_id", "day", "hour", "tier", "s1", "s2"])
 
 
 @query(
@@ -234,11 +234,14 @@ def low_space(spark, sf):
     return store_status(files, F.col("user_id"), 128_004_400, 1_280_044)
 
 
-@query("l05_calibration_sample")
+@query(
+    "l05_calibration_sample",
+    "SELECT false AS synthetic, CAST(len(embedding) AS INT) AS cells, list_max(embedding) AS top FROM (SELECT * FROM embeddings ORDER BY md5('0:' || vec_id), vec_id LIMIT 200)",
+)
 def calibration_sample(spark, sf):
     """Seeded sample of patches; the table is topped up with synthetic rows where it is smaller."""
     p = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("patch"))
-    return E.calibration_sample(p, "vec_id", "patch", 500, 64).select("synthetic", F.size("patch").alias("cells"), F.array_max("patch").alias("top"))
+    return E.calibration_sample(p, "vec_id", "patch", 200, 64).select("synthetic", F.size("patch").alias("cells"), F.array_max("patch").alias("top"))
 
 
 @query(

@@ -8,6 +8,7 @@ from soundledger.functions import scores as S
 from soundledger.operators import folds, joins, ledger
 from soundledger.plans import bindings as B
 from soundledger.plans.registry import query
+from soundledger.sources.readers import content_tail
 from soundledger.sources.tables import table
 
 DAY = 86_400_000_000
@@ -180,14 +181,14 @@ def check_copies(spark, sf):
     "j12_prune_gate",
     """WITH d AS (SELECT doc_id, text, n_chars, date '2024-01-01' + CAST(doc_id%40 AS INTEGER) AS day FROM documents),
       j AS (SELECT d.doc_id, d.day, CASE WHEN d.doc_id%6=0 THEN 'no_canonical_copy' WHEN d.doc_id%7=0 THEN 'canonical_smaller'
-        WHEN right(d.text,64) <> right(CASE WHEN d.doc_id%5=0 THEN d.text || '!' ELSE d.text END, 64) THEN 'tail_mismatch' ELSE 'verified' END AS reason FROM d WHERE d.day < date '2024-01-24')
+        WHEN right(hex(encode(d.text)),8192) <> right(hex(encode(CASE WHEN d.doc_id%5=0 THEN d.text || '!' ELSE d.text END)), 8192) THEN 'tail_mismatch' ELSE 'verified' END AS reason FROM d WHERE d.day < date '2024-01-24')
       SELECT doc_id AS name, reason, CASE WHEN reason='verified' THEN 'WOULD_DELETE' ELSE 'SKIP' END AS action FROM j""",
 )
 def prune_gate(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     k = F.col("doc_id")
     size = F.length("text")
-    tail = lambda c: F.right(c, F.lit(64))
+    tail = lambda c: content_tail(F.encode(c, "UTF-8"), 4096)
     day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 40).cast("int"))
     listing = d.select(k.alias("name"), size.alias("size"), day.alias("day"), tail(F.col("text")).alias("tail"))
     kept = d.filter(k % 6 != 0).select(

@@ -26,13 +26,24 @@ def feature_rows(spark, sf):
     return rows.withColumn("x", models.feature_array(models.CLASSIFIER_FEATURES))
 
 
+def cluster_rows(spark, sf):
+    """Captures with the eleven features that sub-types are told apart by, some of them missing."""
+    c = B.captures(spark, sf)
+    i = F.col("event_id")
+    pitch = 200.0 + F.col("value") * 3
+    cols = [
+        F.col("s2"), pitch, (i % 53).cast("double"), F.when(i % 31 != 0, pitch + i % 17), pitch * 1.5, F.col("k").cast("double"), F.sin(F.col("value")), F.col("s1") * F.col("s2"),
+        (i % 13).cast("double"), F.sqrt("value"), F.col("hour").cast("double"),
+    ]
+    return c.select("*", *[x.cast("double").alias(n) for n, x in zip(models.CLUSTER_FEATURES, cols)]).withColumn("x", models.feature_array(models.CLUSTER_FEATURES))
+
+
 @query("m01_feature_classifier")
 def feature_classifier(spark, sf):
     """Weights of the balanced logistic regression, one row per feature."""
     model = models.fit_logistic(feature_rows(spark, sf), "x", "label")
-    rows = table(spark, sf, "events").select(F.lit(model.rows).alias("train_n"), F.lit(model.intercept).alias("intercept")).limit(1)
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(w).alias("weight")) for n, w in zip(models.CLASSIFIER_FEATURES, model.weights)])
-    return rows.select("train_n", "intercept", F.inline(pairs))
+    rows = [(model.rows, float(model.intercept), n, float(w)) for n, w in zip(models.CLASSIFIER_FEATURES, model.weights)]
+    return spark.createDataFrame(rows, "train_n BIGINT, intercept DOUBLE, feature STRING, weight DOUBLE")
 
 
 @query("m02_feature_score")
@@ -46,8 +57,8 @@ def feature_score(spark, sf):
 @query("m03_subtypes")
 def subtypes(spark, sf):
     """Sub-type of each confident capture, from fifty k-means restarts."""
-    f = feature_rows(spark, sf).filter("s1 >= 0.5")
-    fit = models.fit_subtypes(f, "x", pitch_index=0)
+    f = cluster_rows(spark, sf).filter("s1 >= 0.5")
+    fit = models.fit_subtypes(f, "x", pitch_index=models.CLUSTER_FEATURES.index("f0_mean_hz"))
     name = fit.label(F.col("x")) if fit else F.lit(None).cast("string")
     return f.select("event_id", name.alias("subtype"))
 

@@ -265,7 +265,7 @@ def safe_path(spark, sf):
 
 @query(
     "f18_percent_decode",
-    f"""WITH {B.CAP}, {B.TIERED}, {NOTED} SELECT event_id, CASE WHEN event_id%6=0 THEN NULL ELSE replace(note,'%20',' ') END AS decoded FROM noted""",
+    f"""WITH {B.CAP}, {B.TIERED}, {NOTED} SELECT event_id, replace(note,'%20',' ') || CASE WHEN event_id%6=0 THEN '%zz' ELSE '' END AS decoded FROM noted""",
 )
 def percent_decode(spark, sf):
     bad = F.when(F.col("event_id") % 6 == 0, F.concat("note", F.lit("%zz"))).otherwise(F.col("note"))

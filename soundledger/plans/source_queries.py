@@ -143,17 +143,16 @@ def poll_snapshots(spark, sf):
 
 @query(
     "r13_tail_lines",
-    """WITH l AS (SELECT user_id, event_id AS line, event_type FROM events), m AS (SELECT user_id, max(line) AS last FROM l GROUP BY 1)
-      SELECT user_id, line, event_type FROM l JOIN m USING (user_id) WHERE line > last-5000""",
+    "SELECT user_id, event_id AS line, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 40",
 )
 def tail_lines(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("line"), "event_type")
-    return R.tail_lines(e, ["user_id"], "line", 5000)
+    return R.tail_lines(e, ["user_id"], "line", 40)
 
 
-@query("r13_content_tail", "SELECT doc_id, sha256(right(text, 4096)) AS tail, sha256(left(text, 100)) AS head FROM documents WHERE octet_length(encode(text)) = length(text)")
+@query("r13_content_tail", "SELECT doc_id, sha256(unhex(right(hex(encode(text)), 8192))) AS tail, sha256(unhex(left(hex(encode(text)), 200))) AS head FROM documents")
 def content_tail(spark, sf):
-    d = table(spark, sf, "documents").filter(F.octet_length("text") == F.length("text"))
+    d = table(spark, sf, "documents")
     body = F.encode("text", "UTF-8")
     return d.select("doc_id", X.sha256_hex(R.content_tail(body, 4096)).alias("tail"), X.sha256_hex(R.content_head(body, 100)).alias("head"))
 
@@ -181,7 +180,7 @@ def label_versions(spark, sf):
 
     t = tiered(spark, sf).select("event_id", F.col("tier").alias("confidence_tier"))
     path = scratch_path(spark, "labels")
-    sinks.write_labels(t.limit(10), path, "20240101")
+    sinks.write_labels(t.withColumn("confidence_tier", F.lit("low")), path, "20240101")
     sinks.write_labels(t, path, "20240201")
     return sinks.read_labels(spark, path).withColumn("audited_at", F.col("audited_at").cast("string"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from soundledger.functions import text as X
-from soundledger.operators import chunks, folds, ledger, windows
+from soundledger.operators import aggregates, chunks, folds, ledger, windows
 from soundledger.plans import bindings as B
 from soundledger.plans.join_queries import GREEDY
 from soundledger.plans.registry import query
@@ -52,15 +52,17 @@ def detector_episodes(spark, sf):
 
 @query(
     "w04_threshold_adjust",
-    f"""WITH {B.CAP}, f AS (SELECT device_id, quantile_cont(rms*5, 0.95) AS p95, CAST(count(*) AS BIGINT) AS n, max(t_us)-min(t_us) >= 300000000 AS warm FROM cap GROUP BY 1)
+    f"""WITH {B.CAP}, b AS (SELECT device_id, CASE WHEN log2(greatest(rms*5,1e0))<5 THEN 0 WHEN log2(greatest(rms*5,1e0))>=14.5 THEN 31 ELSE CAST(floor((log2(greatest(rms*5,1e0))-5e0)*32/9.5e0) AS INTEGER) END AS bin FROM cap),
+      h AS (SELECT device_id, bin, count(*) AS c FROM b GROUP BY 1,2), u AS (SELECT *, sum(c) OVER (PARTITION BY device_id ORDER BY bin) AS cum, sum(c) OVER (PARTITION BY device_id) AS tot FROM h),
+      q AS (SELECT device_id, pow(2e0,5e0+9.5e0*(min(bin) FILTER (WHERE cum>=floor(tot*0.95e0))+0.5e0)/32) AS p95 FROM u GROUP BY 1),
+      s AS (SELECT device_id, CAST(count(*) AS BIGINT) AS n, max(t_us)-min(t_us) >= 300000000 AS warm FROM cap GROUP BY 1), f AS (SELECT * FROM s JOIN q USING (device_id))
       SELECT device_id, round(CASE WHEN NOT warm OR n<64 OR p95<=500e0 THEN 0e0 WHEN p95>=5000e0 THEN 0.1e0 ELSE 0.1e0*(p95-500e0)/(5000e0-500e0) END,6) AS adjust FROM f""",
 )
 def threshold_adjust(spark, sf):
-    f = B.captures(spark, sf).groupBy("device_id").agg(
-        F.percentile(F.col("rms") * 5, 0.95).alias("p95"),
-        F.count(F.lit(1)).alias("n"),
-        (F.max("t_us") - F.min("t_us") >= 300_000_000).alias("warm"),
-    )
+    c = B.captures(spark, sf).withColumn("level", F.col("rms") * 5)
+    seen = c.groupBy("device_id").agg(F.count(F.lit(1)).alias("n"), (F.max("t_us") - F.min("t_us") >= 300_000_000).alias("warm"))
+    p95 = aggregates.hist_quantile(F.col("hist"), 0.95).alias("p95")
+    f = seen.join(aggregates.level_histogram(c, ["device_id"], "level").select("device_id", p95), "device_id")
     return f.select("device_id", F.round(windows.threshold_adjust(F.col("p95"), F.col("warm"), F.col("n"), 0.1), 6).alias("adjust"))
 
 

@@ -59,7 +59,7 @@ def parse_event_log(lines: DataFrame) -> DataFrame:
     other = [c for c in lines.columns if c != "value"]
     parts = F.split("value", ",")
     unsynced = F.get(parts, F.lit(1)) == "NOT_SYNCED"
-    fields = F.when(unsynced, F.concat(F.array(F.concat_ws(",", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))), F.slice(parts, 3, 1000))).otherwise(parts)
+    fields = F.when(unsynced, F.concat(F.array(F.concat_ws(",", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))), F.slice(parts, F.lit(3), F.size(parts)))).otherwise(parts)
     rows = lines.select(*other, fields.alias("_f"), F.coalesce(unsynced, F.lit(False)).alias("not_synced")).filter(F.size("_f") >= len(EVENT_LOG))
     cols = [F.get("_f", F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(EVENT_LOG)]
     watched = F.transform(F.slice("_f", len(EVENT_LOG) + 1, len(WATCHED_NAMES)), lambda v: v.try_cast("double"))
@@ -191,8 +191,10 @@ def read_release(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tail_lines(lines: DataFrame, keys: list[str], line: str, n: int) -> DataFrame:
-    """Last ``n`` lines per file."""
-    return lines.groupBy(*keys).agg(F.max(line).alias("_last")).join(lines, keys).filter(F.col(line) > F.col("_last") - n).drop("_last")
+    """Last ``n`` lines per file, counted from its end, whatever their numbers."""
+    from soundledger.operators.windows import newest
+
+    return newest(lines, keys, [line], n, base_us=1 << 30).drop("age_rank")
 
 
 def content_head(content: Column, n: int) -> Column:

@@ -216,7 +216,7 @@ def test_sustained_level_and_newest(spark, opts):
 def test_number_names(spark):
     names = [f"cry-2024{m:02d}{d:02d}T{i:06d}" for m in (1, 2) for d in range(1, 20) for i in range(9)] + ["a", "zz"]
     df = spark.createDataFrame([(n,) for n in names], "name STRING")
-    got = {r["name"]: r["i"] for r in chunks.number_names(df, "name", "i", target_rows=10).collect()}
+    got = {r["name"]: r["i"] for r in chunks.number_names(df, "name", "i").collect()}
     assert got == {n: i for i, n in enumerate(sorted(names))}
 
 
@@ -230,3 +230,23 @@ def test_null_key_is_an_error(spark):
     df = spark.createDataFrame([(None, 1, 1, 0.5), (1, 1, 2, 0.5)], "device INT, t BIGINT, id BIGINT, v DOUBLE")
     with pytest.raises(Exception, match="null in key column device"):
         chunks.with_chunks(df, ["device"], "t").collect()
+
+
+def test_burst_inside_a_cell_is_cut_to_the_target(spark):
+    hour = 3_600_000_000
+    df = spark.range(200_000).select(F.lit(1).alias("device"), (F.col("id") * (hour // 200_000)).alias("t"), "id").union(
+        spark.range(50).select(F.lit(1), F.col("id") * 24 * hour, F.col("id"))
+    )
+    sizes = [r["count"] for r in chunks.with_chunks(df, ["device"], "t", target_rows=20_000).groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 200_050 and max(sizes) <= 20_200
+
+
+def test_decayed_peak_above_one(spark):
+    scores = [1.2, 0.1, 1.05, 1.5, 0.1, 0.1]
+    df = spark.createDataFrame([(1, i, i, v) for i, v in enumerate(scores)], "device INT, t BIGINT, id BIGINT, v DOUBLE")
+    got = {r["id"]: r["peak"] for r in folds.decayed_peak(df, ["device"], "t", "id", "v", base_us=2).collect()}
+    held, want = 0.0, []
+    for v in scores:
+        held = v if v > held else 0.95 * held
+        want.append(held)
+    assert [got[i] for i in range(6)] == pytest.approx(want)
