@@ -250,11 +250,13 @@ def calibration_sample(spark, sf):
 )
 def release_document(spark, sf):
     """Releases as nested JSON documents, about a thousand captures each, read back to rows."""
-    from soundledger.sources.readers import parse_json_lines
+    from soundledger.session import scratch_path
+    from soundledger.sources.readers import read_release
 
     e = table(spark, sf, "events")
     part = F.expr("event_id div 1000")
     docs = e.groupBy((F.col("user_id") % 10).alias("r"), part.alias("part")).agg(F.collect_list(F.struct("event_id", F.col("event_type").alias("tier"))).alias("captures"))
     text = docs.select(F.to_json(F.struct(F.concat(F.lit("r"), "r").alias("release_id"), "captures")).alias("value"))
-    parsed = parse_json_lines(text, "release_id STRING, captures ARRAY<STRUCT<event_id: BIGINT, tier: STRING>>")
-    return parsed.select("release_id", F.inline("captures"))
+    path = scratch_path(spark, "releases")
+    text.write.option("maxRecordsPerFile", 1).text(path)
+    return read_release(spark, path).select("release_id", "event_id", "tier")

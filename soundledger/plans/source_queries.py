@@ -35,30 +35,34 @@ def session_tables(spark, sf):
 
 @query(
     "r03_trigger_lines",
-    f"""WITH {B.CAP} SELECT event_id, strftime(make_timestamp(t_us),'%Y-%m-%dT%H:%M:%S') AS ts, cls AS note, round(rms,6) AS rms FROM cap WHERE event_id%5 NOT IN (0,1)""",
+    f"""WITH {B.CAP} SELECT 'night-' || session_id AS session_id, strftime(make_timestamp(t_us),'%Y-%m-%dT%H:%M:%S') AS ts, cls || '-' || event_id AS note, round(rms,6) AS rms FROM cap WHERE event_id%5 NOT IN (0,1)""",
 )
 def trigger_lines(spark, sf):
-    ok = _json(ts=F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss"), note=F.col("cls"), rms=F.col("rms"), cry_conf=F.col("s1"), state=F.lit(3))
+    ok = _json(ts=F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss"), note=F.concat_ws("-", "cls", "event_id"), rms=F.col("rms"), cry_conf=F.col("s1"), state=F.lit(3))
     line = F.when(F.col("event_id") % 5 == 0, "  ").when(F.col("event_id") % 5 == 1, F.concat(F.lit("{broken "), ok)).otherwise(ok)
-    lines = B.captures(spark, sf).select("event_id", line.alias("value"))
-    return R.parse_json_lines(lines, R.TRIGGER_SCHEMA).select("event_id", "ts", "note", F.round("rms", 6).alias("rms"))
+    path = scratch_path(spark, "triggers")
+    nights = B.captures(spark, sf).select(line.alias("value"), F.col("session_id").alias("night"))
+    nights.repartition("night").write.partitionBy("night").text(path)
+    return R.read_triggers(spark, path).select(F.regexp_replace(F.regexp_extract("file_path", "night=([0-9]+)", 1), "^", "night-").alias("session_id"), "ts", "note", F.round("rms", 6).alias("rms"))
 
 
 @query(
     "r04_telemetry_lines",
-    f"""WITH {B.CAP} SELECT event_id, event_id%500 AS up, round(rms,6) AS rms, round(s1,6) AS cry_conf, k>50 AS warm, 20 AS n_watched, CAST(event_id%521 AS INTEGER) AS top1 FROM cap""",
+    f"""WITH {B.CAP} SELECT event_id AS up, round(rms,6) AS rms, round(s1,6) AS cry_conf, k>50 AS warm, 20 AS n_watched, CAST(event_id%521 AS INTEGER) AS top1 FROM cap""",
 )
 def telemetry_lines(spark, sf):
     c = B.captures(spark, sf)
     top = F.array(F.struct((F.col("event_id") % 521).cast("int").alias("i"), F.col("s1").alias("v")))
     line = _json(
-        ts=F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSxxx"), up=F.col("event_id") % 500, state=F.lit("idle"),
+        ts=F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSxxx"), up=F.col("event_id"), state=F.lit("idle"),
         audio=F.struct(F.col("rms").alias("rms"), (F.col("k") > 50).alias("nf_warm")),
         infer=F.struct(F.col("s1").alias("cry_conf"), top.alias("top10")), watched=F.array_repeat(F.col("s2"), 20),
     )
-    t = R.parse_json_lines(c.select("event_id", line.alias("value")), R.TELEMETRY_SCHEMA)
+    path = scratch_path(spark, "telemetry-lines")
+    c.select(line.alias("value")).write.text(path)
+    t = R.read_telemetry(spark, path).filter(F.col("_corrupt_record").isNull() & ~F.col("not_synced"))
     return t.select(
-        "event_id", "up", F.round("audio.rms", 6).alias("rms"), F.round("infer.cry_conf", 6).alias("cry_conf"), F.col("audio.nf_warm").alias("warm"),
+        "up", F.round("audio.rms", 6).alias("rms"), F.round("infer.cry_conf", 6).alias("cry_conf"), F.col("audio.nf_warm").alias("warm"),
         F.size("watched").alias("n_watched"), F.get("infer.top10", F.lit(0))["i"].alias("top1"),
     )
 
@@ -105,14 +109,16 @@ def listing(spark, sf):
     return R.parse_listing(R.parse_json_lines(doc, R.LISTING_SCHEMA)).select("user_id", "name", "type", "size")
 
 
-@query("r08_manifest_pages", f"WITH {B.REMOTE} SELECT path, size, mtime, sha256, category, mutable FROM remote")
+@query("r08_manifest_pages", f"WITH {B.REMOTE} SELECT path, size, mtime, sha256, category, mutable, o_orderkey<40000 AS truncated FROM remote")
 def manifest_pages(spark, sf):
-    """Pages of the manifest, about a hundred files each, as JSON documents and back."""
+    """Pages of the manifest, a JSON document and file each, joined to one list when read; all but the last say that more follows."""
     r = B.remote(spark, sf)
     files = F.collect_list(F.struct("path", "size", "mtime", "sha256", F.lit("pending").alias("sync_state"), "category", "mutable"))
-    pages = r.groupBy(F.expr("o_orderkey div 100").alias("page")).agg(files.alias("files"))
-    doc = pages.select(F.to_json(F.struct(F.lit("g1").alias("generation_id"), F.lit(5).alias("device_uptime_s"), F.lit(9).alias("now"), "files", F.lit(False).alias("truncated"))).alias("value"))
-    return R.parse_manifest(R.parse_json_lines(doc, R.MANIFEST_SCHEMA)).select("path", "size", "mtime", "sha256", "category", "mutable")
+    pages = r.groupBy(F.expr("least(o_orderkey div 4000, 10)").alias("page")).agg(files.alias("files"))
+    doc = pages.select(F.to_json(F.struct(F.lit("g1").alias("generation_id"), F.lit(5).alias("device_uptime_s"), F.lit(9).alias("now"), "files", (F.col("page") < 10).alias("truncated"), F.col("page").alias("next_since"))).alias("value"))
+    path = scratch_path(spark, "manifest")
+    doc.write.option("maxRecordsPerFile", 1).text(path)
+    return R.read_manifest(spark, path).select("path", "size", "mtime", "sha256", "category", "mutable", "truncated")
 
 
 @query("r09_ledger_lines", f"WITH {B.LEDGER} SELECT line, op, path, size, sync_state FROM ledger")
@@ -122,11 +128,13 @@ def ledger_lines(spark, sf):
     return R.parse_json_lines(led.select("line", line.alias("value")), R.LEDGER_SCHEMA).select("line", "op", "path", "size", "sync_state")
 
 
-@query("r10_session_markers", "SELECT event_id, event_type AS firmware_version, event_id%9 AS boot_count, CAST(user_id AS VARCHAR) AS generation_id FROM events")
+@query("r10_session_markers", "SELECT event_type AS firmware_version, event_id%9 AS boot_count, CAST(event_id AS VARCHAR) AS generation_id FROM events")
 def session_markers(spark, sf):
     e = table(spark, sf, "events")
-    doc = _json(firmware_version=F.col("event_type"), boot_count=F.col("event_id") % 9, generation_id=F.col("user_id").cast("string"), mounted_at=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssxxx"))
-    return R.parse_json_lines(e.select("event_id", doc.alias("value")), R.MARKER_SCHEMA).select("event_id", "firmware_version", "boot_count", "generation_id")
+    doc = _json(firmware_version=F.col("event_type"), boot_count=F.col("event_id") % 9, generation_id=F.col("event_id").cast("string"), mounted_at=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssxxx"))
+    path = scratch_path(spark, "markers")
+    e.select(doc.alias("value")).write.text(path)
+    return R.read_session_markers(spark, path).select("firmware_version", "boot_count", "generation_id")
 
 
 @query(
@@ -138,7 +146,9 @@ def poll_snapshots(spark, sf):
     p = B.polls(spark, sf)
     doc = _json(uptime_s=F.col("uptime"), state=F.col("cls"), max_cry_conf_1s=F.col("k") / 100.0, alert_count=F.col("alerts"))
     payload = F.when(~F.col("answered"), None).when(F.col("k") % 10 == 1, F.concat(F.lit("{x"), doc)).otherwise(doc)
-    return R.parse_polls(p.select("event_id", payload.alias("payload"))).select("event_id", "answered", "parse_error", "uptime", "peak", "state")
+    path = scratch_path(spark, "polls")
+    p.select(F.lit("d1").alias("device_id"), F.timestamp_micros("t_us").alias("poll_ts"), F.col("event_id").alias("wav_count"), payload.alias("payload")).write.json(path)
+    return R.read_polls(spark, path).select(F.col("wav_count").alias("event_id"), "answered", "parse_error", "uptime", "peak", "state")
 
 
 @query(

@@ -276,3 +276,23 @@ def test_unheard_devices_and_late_rows(spark, tmp_path):
     stream = spark.readStream.schema("device INT, t BIGINT").option("maxFilesPerTrigger", 1).json(str(src))
     out = jobs.run_to_table(folds.late_rows(stream, ["device"], "t"), str(tmp_path / "out"))
     assert sorted((r["rows"], r["late"]) for r in out.collect()) == [(2, 0), (3, 2)]
+
+
+def test_wav_files_below_sessions(spark, tmp_path):
+    import wave
+
+    from soundledger.operators import audio
+
+    for night, name, n in (("night-1", "a", 16_000), ("night-2", "b", 40_000)):
+        (tmp_path / night).mkdir()
+        with wave.open(str(tmp_path / night / f"{name}.wav"), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(16_000)
+            w.writeframes((1000 * np.sin(np.arange(n) / 10)).astype("<i2").tobytes())
+    (tmp_path / "night-1" / "bad.wav").write_bytes(b"RIFF")
+    (tmp_path / "night-1" / "notes.txt").write_text("no audio")
+    captures = R.read_captures(spark, str(tmp_path))
+    assert sorted((r["file"], r["session_id"]) for r in captures.select("file", "session_id").collect()) == [("a.wav", "night-1"), ("b.wav", "night-2"), ("bad.wav", "night-1")]
+    rows = audio.file_rows(audio.capture_features(captures, ["file"], content="content")).collect()
+    assert {r["file"]: r["samples"] for r in rows if r["samples"]} == {"a.wav": 16_000, "b.wav": 40_000}
