@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from soundledger.functions import scores as S
@@ -64,9 +65,32 @@ def assemble(
     )
 
 
+def label_rows(
+    captures: DataFrame, triggers: DataFrame | None, positive: Sequence[str], confounder: Sequence[str], feature_score: str, embedding_score: str, subtype: Column,
+    raw: Sequence[str] = (), high: float = 0.5, **options,
+) -> DataFrame:
+    """The whole label row: class scores and their groups, all three scores, sub-type, neighbours, raw features, trigger and provenance.
+
+    ``positive`` and ``confounder`` name class-score columns; a sub-type is given to captures whose group score reaches ``high``.
+    """
+    groups = S.group_scores([F.col(c) for c in positive], [F.col(c) for c in confounder])
+    named = {"cry_pos_max": "pos_max", "cry_neg_max": "neg_max", "cry_score": "pos_score", "speech_score": "neg_score", "cry_purity": "purity"}
+    rows = captures.withColumns({out: groups[name] for out, name in named.items()})
+    rows = rows.withColumn("cluster_label", F.when(F.col("cry_score") >= high, subtype))
+    rows = assemble(rows, triggers, "cry_score", ["cry_score", feature_score, embedding_score], **options)
+    kept = [
+        options.get("session", "session_id"), "capture_file", "ts_iso", *positive, *confounder, *named, feature_score, embedding_score, "cluster_label", "neighbours",
+        "high_neighbours", "oracle_agreement", "consensus_score", "confidence_tier", *raw, "trigger_note", "trigger_rms", "trigger_conf", "human_note_label",
+        "human_note_text", "human_note_agrees", "oracle_version", "ensemble_version", "audited_at",
+    ]
+    return rows.select(*[c for c in dict.fromkeys(kept) if c in rows.columns])
+
+
 RELEASE_COLUMNS = [
     "consensus_score", "oracle_agreement", "confidence_tier", "cluster_label", "high_neighbours", "human_note_label", "human_note_agrees",
 ]
+DISTRIBUTIONS = {"human_note_agrees": "human_note_agreement_distribution"}
+RECOMMENDATION = "Train on captures of the tiers high_pos and high_neg. The others are for evaluation. Human notes only monitor; they change no label."
 
 
 def release_captures(master: DataFrame, name: str = "capture_file", session: str = "session_id", scores: Sequence[str] = (), by: str = "row") -> DataFrame:
@@ -80,36 +104,61 @@ def release_captures(master: DataFrame, name: str = "capture_file", session: str
     keep = [c for c in RELEASE_COLUMNS if c in master.columns and c not in numeric]
     blank = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")).alias(c)
     return rows.select(
-        F.col(name).alias("file"), session, split.alias("split"), *[F.bround(c, 4).alias(c) for c in numeric],
+        F.col(name).alias("file"), session, *[c for c in ("ts_iso",) if c in master.columns], split.alias("split"), *[F.bround(c, 4).alias(c) for c in numeric],
         *[blank(c) if c in ("cluster_label", "human_note_label") else F.col(c) for c in keep],
     )
 
 
 def release_header(captures: DataFrame, release_id: str, session: str = "session_id", **provenance: str) -> DataFrame:
-    """One row: counts, distinct sessions, distributions as maps, and provenance."""
+    """One row: counts, the number of sessions, distributions as maps, recommendation and provenance."""
     dims = [c for c in ("split", "confidence_tier", "cluster_label", "human_note_label", "human_note_agrees") if c in captures.columns]
     counts = A.histograms(captures, dims)
     maps = counts.agg(
         *[
-            F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("column") == c, F.struct("value", "n"))))).alias(f"{c}_distribution")
+            F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("column") == c, F.struct("value", "n"))))).alias(DISTRIBUTIONS.get(c, f"{c}_distribution"))
             for c in dims
         ]
     )
-    base = captures.agg(F.count(F.lit(1)).alias("n_captures"), F.count_if(S.is_eligible(F.col("confidence_tier"))).alias("train_eligible_n"))
-    sessions = captures.select(session).distinct().agg(F.sort_array(F.collect_list(session)).alias("sessions"))
-    # Three one-row frames.
-    row = base.crossJoin(sessions).crossJoin(maps)
+    base = captures.agg(
+        F.count(F.lit(1)).alias("n_captures"), F.count_if(S.is_eligible(F.col("confidence_tier"))).alias("train_eligible_n"), F.countDistinct(session).alias("n_sessions")
+    )
+    # Two one-row frames.
+    row = base.crossJoin(maps)
     return row.select(
         F.lit(RELEASE_SCHEMA_VERSION).alias("schema_version"), F.lit(release_id).alias("release_id"), "*",
-        F.lit(LABEL_SOURCE).alias("label_source"), *[F.lit(v).alias(k) for k, v in provenance.items()],
+        F.lit(LABEL_SOURCE).alias("label_source"), F.lit(RECOMMENDATION).alias("training_recommendation"), *[F.lit(v).alias(k) for k, v in provenance.items()],
     )
 
 
-def write_release(captures: DataFrame, header: DataFrame, folder: str, release_id: str) -> None:
-    """Freeze a release; an existing one is never overwritten."""
+def drift_hashes(captures: DataFrame, content: DataFrame, n: int = 5, name: str = "file") -> DataFrame:
+    """``(file, sha256)`` of the first ``n`` captures by name, to notice files that change later."""
+    first = captures.select(name).orderBy(name).limit(n)
+    return content.join(F.broadcast(first), name, "left_semi").select(name, F.sha2("content", 256).alias("sha256"))
+
+
+def write_release(captures: DataFrame, header: DataFrame, folder: str, release_id: str, hashes: DataFrame | None = None, session: str = "session_id") -> None:
+    """Freeze a release; an existing one is never overwritten.
+
+    Captures, sessions and hashes go to folders of this attempt's own. The header names them and is written last: it
+    alone makes the release, so an attempt that dies leaves nothing that counts.
+    """
     target = f"{folder.rstrip('/')}/release_id={release_id}"
-    captures.write.mode("errorifexists").parquet(f"{target}/captures")
-    header.select(F.to_json(F.struct("*")).alias("value")).write.mode("errorifexists").text(f"{target}/header")
+    attempt = uuid.uuid4().hex
+    captures.write.parquet(f"{target}/captures-{attempt}")
+    captures.select(session).distinct().write.parquet(f"{target}/sessions-{attempt}")
+    if hashes is not None:
+        hashes.write.parquet(f"{target}/hashes-{attempt}")
+    row = header.withColumns({"attempt": F.lit(attempt), "has_hashes": F.lit(hashes is not None)})
+    row.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("errorifexists").text(f"{target}/header")
+
+
+def read_frozen(spark: SparkSession, folder: str, release_id: str) -> dict[str, DataFrame]:
+    """Header, captures, sessions and hashes of a release."""
+    target = f"{folder.rstrip('/')}/release_id={release_id}"
+    header = spark.read.json(f"{target}/header")
+    row = header.select("attempt", "has_hashes").first()
+    parts = ["captures", "sessions", *(["hashes"] if row["has_hashes"] else [])]
+    return {"header": header, **{p: spark.read.parquet(f"{target}/{p}-{row['attempt']}") for p in parts}}
 
 
 def label_history(audits: DataFrame, key: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
@@ -145,9 +194,21 @@ def inventory(master: DataFrame, day: str = "day", session: str = "session_id",
         "sessions": A.session_summary(master, session, F.col(day), tier),
         "subtypes": A.tier_crosstab(high, day, subtype, ["fuss", "full_cry", "distress", "screech"], total=False),
         "readiness": A.readiness(master, tier, subtype),
+        **extra_tables(master, tier),
     }
 
 
+def extra_tables(master: DataFrame, tier: str) -> dict[str, DataFrame]:
+    """Tables for which the label rows have the columns: tiers by hour of day, by era, negatives by source, rows by version."""
+    out = {}
+    for name, column in (("hours", "hour"), ("eras", "era"), ("versions", "ensemble_version")):
+        if column in master.columns:
+            out[name] = A.tier_crosstab(master, column, tier)
+    if "negative_source" in master.columns:
+        out["negatives"] = master.filter(F.col(tier) == "high_neg").groupBy("negative_source").count()
+    return out
+
+
 def render_inventory(tables: dict[str, DataFrame], title: str = "Data inventory", max_rows: int = 10_000) -> str:
     """Markdown text of the profile tables, one row per day or session; tables too long to print are an error, not cut."""
     out = [f"# {title}", ""]

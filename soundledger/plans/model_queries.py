@@ -91,7 +91,7 @@ MASTER = f"""{B.CAP}, trig AS (SELECT session_id, strftime(make_timestamp(t_us),
      WHEN note='test-get-alias' THEN 'test' ELSE '' END AS label FROM tm)"""
 
 
-def master(spark, sf):
+def master_inputs(spark, sf):
     c = B.captures(spark, sf)
     hour_text = F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:00:00")
     caps = c.withColumn("ts_iso", hour_text).withColumn("capture_file", F.concat(F.lit("cry-"), F.date_format(F.timestamp_micros("t_us"), "yyyyMMdd'T'HHmmss"), F.lit("-"), "event_id"))
@@ -99,6 +99,11 @@ def master(spark, sf):
         "session_id", hour_text.alias("ts_iso"), F.col("event_id").alias("line"), B.note().alias("trigger_note"), F.col("rms").alias("trigger_rms"),
         F.col("s2").alias("trigger_conf"),
     )
+    return caps, trig
+
+
+def master(spark, sf):
+    caps, trig = master_inputs(spark, sf)
     return labels.assemble(caps, trig, "s1", ["s1", "s2", "s3"], window_s=3600, oracle_version="scores/1", audited_at="2024-02-01T00:00:00+00:00")
 
 
@@ -115,6 +120,28 @@ def label_table(spark, sf):
     )
 
 
+@query(
+    "m06_label_row",
+    f"""WITH {MASTER} SELECT event_id, session_id, strftime(make_timestamp(t_us),'%Y-%m-%dT%H:00:00') AS ts_iso, round(s1,6) AS baby_cry, round(s1*0.5e0,6) AS crying_sobbing, round(k/250e0,6) AS speech, round(k/500e0,6) AS child_speech,
+      round(s1,6) AS cry_pos_max, round(k/250e0,6) AS cry_neg_max, round(s1,6) AS cry_score, round(k/250e0,6) AS speech_score, round(s1-k/250e0,6) AS cry_purity, round(s2,6) AS s2, round(s3,6) AS s3,
+      CASE WHEN s1>=0.5e0 THEN CASE WHEN hour<5.25 THEN 'fuss' WHEN hour<11.85 THEN 'full_cry' WHEN hour<18.45 THEN 'distress' ELSE 'screech' END END AS cluster_label,
+      neighbours, high_neighbours, round(spread,6) AS oracle_agreement, round(mean,6) AS consensus_score, tier AS confidence_tier, round(value,6) AS value, note AS trigger_note, round(trigger_rms,6) AS trigger_rms,
+      label AS human_note_label, CASE WHEN label IN ('cry','not_cry') AND s2 IS NOT NULL THEN (label='cry') = (tier IN ('high_pos','medium_pos')) END AS human_note_agrees,
+      'scores/1' AS oracle_version, 'v0.2' AS ensemble_version, '2024-02-01' AS audited_at FROM master""",
+)
+def label_row(spark, sf):
+    """All columns of the label row, given class scores, both other scores and sub-type centres."""
+    caps, trig = master_inputs(spark, sf)
+    caps = caps.withColumns({"baby_cry": F.col("s1"), "crying_sobbing": F.col("s1") * 0.5, "speech": F.col("k") / 250.0, "child_speech": F.col("k") / 500.0})
+    centres = models.Subtypes(models.Scaling((12.0,), (6.0,)), ((2.0,), (8.5,), (15.2,), (21.7,)), tuple(models.SUBTYPES), 0.0)
+    out = labels.label_rows(
+        caps, trig, ["baby_cry", "crying_sobbing"], ["speech", "child_speech"], "s2", "s3", centres.label(F.array(F.col("hour").cast("double"))), raw=["event_id", "value"],
+        window_s=3600, oracle_version="scores/1", audited_at="2024-02-01",
+    )
+    exact = {"event_id", "neighbours", "high_neighbours"}
+    return out.drop("capture_file", "human_note_text", "trigger_conf").select(*[F.round(c, 6).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in out.dtypes if c not in ("capture_file", "human_note_text", "trigger_conf")])
+
+
 @query("m06_label_table_trained")
 def label_table_trained(spark, sf):
     """The whole audit with a feature score fitted on the spot."""
@@ -140,28 +167,32 @@ RELEASE = f"""{MASTER}, rel AS (SELECT 'cry-' || strftime(make_timestamp(t_us),'
 def release_header(spark, sf):
     caps = labels.release_captures(master(spark, sf), scores=["s1", "s2", "s3"])
     h = labels.release_header(caps, "v0.1", ensemble_version="v0.2")
-    dims = [c.removesuffix("_distribution") for c in h.columns if c.endswith("_distribution")]
+    dims = {c.removesuffix("_distribution").replace("agreement", "agrees"): c for c in h.columns if c.endswith("_distribution")}
     entry = lambda dist, value, n: F.struct(F.lit(dist).alias("dist"), value.alias("value"), n.alias("n"))
 
     def listed(dist):
-        return F.transform(F.map_entries(f"{dist}_distribution"), lambda e: entry(dist, e["key"], e["value"]))
+        return F.transform(F.map_entries(dims[dist]), lambda e: entry(dist, e["key"], e["value"]))
 
-    sizes = {"n_captures": F.col("n_captures"), "train_eligible_n": F.col("train_eligible_n"), "sessions": F.size("sessions").cast("bigint")}
+    sizes = {"n_captures": F.col("n_captures"), "train_eligible_n": F.col("train_eligible_n"), "sessions": F.col("n_sessions")}
     entries = F.concat(*[listed(d) for d in dims], F.array(*[entry(d, F.lit(""), n) for d, n in sizes.items()]))
     return h.select(F.inline(entries))
 
 
 @query(
     "k03_frozen_release",
-    f"""WITH {RELEASE} SELECT file, session_id, split, tier AS confidence_tier, nullif(label,'') AS human_note_label, high_neighbours FROM relsplit""",
+    f"""WITH {RELEASE} SELECT file, session_id, split, tier AS confidence_tier, nullif(label,'') AS human_note_label, high_neighbours,
+      (SELECT count(*) FROM relsplit) AS n_captures, (SELECT count(DISTINCT session_id) FROM relsplit) AS n_sessions,
+      CASE WHEN file IN (SELECT file FROM relsplit ORDER BY file LIMIT 5) THEN sha256(file) END AS sha256 FROM relsplit""",
 )
 def frozen_release(spark, sf):
-    """Write a release below the shared folder and read it back."""
+    """Write a release below the shared folder and read it back, with its header and the hashes of its first captures."""
     caps = labels.release_captures(master(spark, sf), scores=["s1", "s2", "s3"])
     folder = scratch_path(spark, "releases")
-    labels.write_release(caps, labels.release_header(caps, "v0.1"), folder, "v0.1")
-    back = spark.read.parquet(f"{folder}/release_id=v0.1/captures")
-    return back.select("file", "session_id", "split", "confidence_tier", "human_note_label", "high_neighbours")
+    content = caps.select("file", F.encode("file", "UTF-8").alias("content"))
+    labels.write_release(caps, labels.release_header(caps, "v0.1"), folder, "v0.1", labels.drift_hashes(caps, content))
+    back = labels.read_frozen(spark, folder, "v0.1")
+    rows = back["captures"].select("file", "session_id", "split", "confidence_tier", "human_note_label", "high_neighbours")
+    return rows.crossJoin(F.broadcast(back["header"].select("n_captures", "n_sessions"))).join(back["hashes"], "file", "left")
 
 
 @query("d18_scored_patches_audio")

@@ -80,12 +80,50 @@ def maintain_ledger(events: DataFrame, path: str) -> None:
 
 def ledger_state(spark: SparkSession, path: str) -> DataFrame:
     """Live paths with their newest state."""
-    changes = spark.read.parquet(f"{path}/changes")
+    changes = _changes(spark, path)
     rest = [c for c in changes.columns if c not in ("path", "batch")]
     newest = changes.groupBy("path").agg(F.max_by(F.struct(*rest), F.col("batch")).alias("s")).select("path", "s.*")
     return newest.filter("live").drop("live")
 
 
+def compact_ledger(spark: SparkSession, path: str) -> None:
+    """Merge all change folders into one table of the newest state of each path, removed ones included; run it on a schedule.
+
+    The merged table is written under the number of the last batch in it; readers take the highest one and only later
+    changes, so a merge that dies changes nothing. Folders that a merge has taken in are then deleted.
+    """
+    changes = _changes(spark, path)
+    last = changes.agg(F.max("batch")).first()[0]
+    if last is None:
+        return
+    rest = [c for c in changes.columns if c not in ("path", "batch")]
+    merged = changes.groupBy("path").agg(F.max_by(F.struct(*rest), F.col("batch")).alias("s")).select("path", "s.*")
+    merged.write.mode("overwrite").parquet(f"{path}/merged/upto={last}")
+    for kind, name in (("changes", "batch"), ("merged", "upto")):
+        for number in _numbers(spark, f"{path}/{kind}", name):
+            if number < last or kind == "changes" and number == last:
+                where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/{name}={number}")
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the ``name=<number>`` folders that were written whole."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+
+
+def _changes(spark: SparkSession, path: str) -> DataFrame:
+    """The newest merged table with the changes after it, each row with its batch."""
+    merged = _numbers(spark, f"{path}/merged", "upto")[-1:]
+    later = [n for n in _numbers(spark, f"{path}/changes", "batch") if not merged or n > merged[0]]
+    parts = [spark.read.parquet(f"{path}/merged/upto={n}").withColumn("batch", F.lit(n)) for n in merged]
+    if later:
+        parts.append(spark.read.option("basePath", f"{path}/changes").parquet(*[f"{path}/changes/batch={n}" for n in later]))
+    out = parts[0]
+    return out.unionByName(parts[1]) if len(parts) > 1 else out
+
+
 def fan_out(rows: DataFrame, path: str, consumers: dict[str, Callable[[DataFrame], DataFrame]]) -> None:
     """Feed several consumers from one pass over a stream; each has its own folder per batch."""
 
@@ -118,3 +156,28 @@ def manifest_increment(manifest: DataFrame, since: int, known_generation: str, g
 def next_watermark(increment: DataFrame, since: int) -> int:
     top = increment.agg(F.max("mtime")).first()[0]
     return max(since, top or 0)
+
+
+def manifest_run(spark: SparkSession, manifest: DataFrame, path: str, transfer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One pass of the incremental mirror: what ``transfer`` did with the entries to look at, ``(path, ok)``.
+
+    Generation and watermark of the last pass are kept below ``path`` together with the paths that failed. A manifest of
+    a new generation is read whole and verified. A pass that dies leaves the old mark, and its entries come again.
+    """
+    passes = _numbers(spark, f"{path}/marks", "pass")
+    number = passes[-1] + 1 if passes else 0
+    generation, since, failed = "", 0, None
+    if passes:
+        mark = spark.read.parquet(f"{path}/marks/pass={passes[-1]}").first()
+        generation, since = mark["generation_id"], mark["since"]
+        failed = spark.read.parquet(f"{path}/failed/pass={passes[-1]}")
+    todo = manifest_increment(manifest, since, generation, F.col("generation_id"), failed)
+    done = transfer(todo)
+    done.write.mode("overwrite").parquet(f"{path}/done/pass={number}")
+    done = spark.read.parquet(f"{path}/done/pass={number}")
+    done.filter(~F.col("ok")).select("path").write.mode("overwrite").parquet(f"{path}/failed/pass={number}")
+    now = manifest.agg(F.max("generation_id").alias("g"), F.max("mtime").alias("t")).first()
+    fresh = now["g"] is not None and now["g"] != generation
+    mark = (now["g"] or generation, (now["t"] or 0) if fresh else max(since, now["t"] or 0))
+    spark.createDataFrame([mark], "generation_id STRING, since BIGINT").coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/pass={number}")
+    return done
