@@ -54,6 +54,54 @@ def feature_score(spark, sf):
     return f.select("event_id", "label", model.probability(F.col("x")).alias("prob"))
 
 
+#: Weights, means and deviations that stand for a trained score, so that its application has a SQL twin.
+GIVEN = [(0.2, 5.0, 3.0), (-0.01, 50.0, 30.0), (0.05, 12.0, 6.0), (0.3, 48.0, 28.0), (0.4, 3.0, 1.0), (-0.2, 6.0, 4.0), (0.7, 0.1, 0.2), (0.1, 3.0, 2.0), (-0.5, 0.3, 0.3), (0.25, 0.0, 0.7)]
+FEATURES_SQL = "sqrt(value), k, hour, event_id%97, CASE WHEN event_id%31<>0 THEN ln(value+1) END, event_id%13, s2*s1, device_id%7, s2*s2, sin(value)"
+
+
+def given_sql() -> str:
+    terms = [f"{w / d!r}::DOUBLE*(x[{i}]-{m!r}::DOUBLE)" for i, (w, m, d) in enumerate(GIVEN, 1)]
+    return f"WITH {B.CAP}, f AS (SELECT event_id, [{FEATURES_SQL}]::DOUBLE[] AS x FROM cap) SELECT event_id, round(1/(1+exp(-(-0.4::DOUBLE+{'+'.join(terms)}))),6) AS prob FROM f"
+
+
+@query("m02_given_weights", given_sql())
+def given_weights(spark, sf):
+    """Probabilities under given weights; null where a feature is missing."""
+    w, mean, std = zip(*GIVEN)
+    model = models.LogisticScore(models.Scaling(mean, std), w, -0.4, 0)
+    return feature_rows(spark, sf).select("event_id", F.round(model.probability(F.col("x")), 6).alias("prob"))
+
+
+@query(
+    "m04_given_weights",
+    f"""WITH {B.FRAMES}, u AS (SELECT file, i AS dim, vec[i] AS v FROM frames, range(1,65) r(i)), s AS (SELECT file, dim, avg(v) AS m, max(v) AS x FROM u GROUP BY 1,2),
+      z AS (SELECT file, sum(m*sin(dim-1)+x*sin(dim+63)) AS z FROM s GROUP BY 1) SELECT file, round(1/(1+exp(-z)),6) AS prob FROM z""",
+)
+def given_embedding_weights(spark, sf):
+    """Pooled frame vectors scored by given weights, one a position."""
+    import math
+
+    pooled = audio.pool_frames(B.frames(spark, sf), ["file"], "vec")
+    model = models.LogisticScore(models.Scaling((0.0,) * 128, (1.0,) * 128), tuple(math.sin(i) for i in range(128)), 0.0, 0)
+    return pooled.select("file", F.round(model.probability(F.col("pooled")), 6).alias("prob"))
+
+
+@query(
+    "m05_evaluation",
+    f"""WITH {B.CAP}, p AS (SELECT CASE WHEN g=0 THEN 'week-' || CAST(substr(day,9,2) AS INT)//10 END AS session, CASE WHEN s1>=0.5e0 THEN 1 ELSE 0 END AS y, s2 AS p FROM cap, range(2) r(g)),
+      c AS (SELECT session, p, sum(y) AS pos, sum(1-y) AS neg FROM p GROUP BY 1,2),
+      b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY session ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM c)
+      SELECT session, CAST(sum(pos+neg) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, round(sum(CASE WHEN p>=0.5e0 THEN pos ELSE neg END)/sum(pos+neg)::DOUBLE,6) AS accuracy,
+        round(sum(pos*(below+neg/2e0))/(sum(pos)::DOUBLE*sum(neg)),6) AS auc FROM b GROUP BY 1""",
+)
+def given_scores_evaluated(spark, sf):
+    """Accuracy and AUC of given scores per week and pooled."""
+    c = B.captures(spark, sf).withColumn("session", F.concat(F.lit("week-"), F.expr("cast(substr(day, 9, 2) as int) div 10")))
+    scored = c.select("session", (F.col("s1") >= 0.5).cast("int").alias("y"), F.col("s2").alias("prob"))
+    out = models.evaluation(scored, "session", "y")
+    return out.select("session", "n", "positives", F.round("accuracy", 6).alias("accuracy"), F.round("auc", 6).alias("auc"))
+
+
 @query("m03_subtypes")
 def subtypes(spark, sf):
     """Sub-type of each confident capture, from fifty k-means restarts."""
