@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundledger.functions.scores import TIERS
+from soundledger.session import shared_dir
 
 # The level histogram has 32 bins over log2(rms) from 5 to 14.5.
 BINS, BIN_LOW, BIN_HIGH = 32, 5.0, 14.5
@@ -87,6 +88,10 @@ def first_value(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     return df.agg(*[F.min_by(F.when(filled(c), F.col(c)), F.when(filled(c), F.col(order))).alias(c) for c in columns])
 
 
+# Groups whose sketches, of a fixed size each, may be broadcast.
+FEW_GROUPS = 10_000
+
+
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """Linearly interpolated percentiles per group, as rows (keys, p, value), without holding a group in memory.
 
@@ -103,7 +108,14 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
-    both = rows.join(sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))
+    if keys:
+        # A sketch has one row a group; few groups go to every task, so that rows of a large group stay where they are.
+        shared_dir(df.sparkSession)
+        sketch = sketch.checkpoint()
+        few = sketch.count() <= FEW_GROUPS
+        both = rows.join(F.broadcast(sketch) if few else sketch, keys)
+    else:
+        both = rows.crossJoin(F.broadcast(sketch))
     low = [F.col("_min") if p - eps <= 0 else F.col("_cut")[2 * i] for i, p in enumerate(probs)]
     high = [F.col("_max") if p + eps >= 1 else F.col("_cut")[2 * i + 1] for i, p in enumerate(probs)]
     v = F.col("_v")

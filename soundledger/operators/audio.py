@@ -126,6 +126,18 @@ def onset_count(above: np.ndarray, hop_ms: float) -> int:
     return n
 
 
+def zero_crossing_rate(samples: Column) -> Column:
+    """Share of neighbouring samples on different sides of zero."""
+    n = F.size(samples)
+    pairs = F.zip_with(F.slice(samples, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(samples, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda b, a: (b >= 0) != (a >= 0))
+    return F.coalesce(F.try_divide(F.size(F.filter(pairs, lambda c: c)).cast("double"), n - 1), F.lit(0.0))
+
+
+def clip_ratio(samples: Column) -> Column:
+    """Share of samples at the clipping level."""
+    return F.coalesce(F.try_divide(F.size(F.filter(samples, lambda v: F.abs(v) >= CLIP_LEVEL)).cast("double"), F.size(samples)), F.lit(0.0))
+
+
 class Tracks:
     """Per-frame tracks of one capture, computed once and sliced by time."""
 
