@@ -13,8 +13,10 @@ from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from soundledger.llm.common import bound_batches, materialize
 
 MIN_REVISIT = 1000
 #: Payload bytes of a shard, and compressed bytes after which a file is closed.
@@ -109,28 +111,32 @@ class _Files:
 
 
 def shard_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """``(page_id, url, payload, digest, keeper, shard)``, rows of a shard together and sorted; shards are ranges of ids.
+    """Pages ``(page_id, url, payload, digest, shard, kind 1)`` and marks ``(page_id, digest, keeper, shard, kind 0)``, sorted.
 
-    ``keeper`` is set for revisits. Shard borders come from bytes per range of ids, not from a sample, so that reruns
-    give the same files.
+    Shards are ranges of ids; a shard's rows are together, and a mark comes right before the page that it makes a revisit
+    of ``keeper``. Digests and lengths alone are grouped and joined, so that payloads are shuffled once. Shard borders
+    come from bytes per range of ids, not from a sample, so that reruns give the same files.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    long_enough = F.octet_length("payload") >= min_revisit
-    keepers = rows.filter(long_enough).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    ends = rows.agg(F.min("page_id"), F.max("page_id")).first()
+    slim = materialize(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "warc-digests")
+    long_rows = slim.filter(F.col("bytes") >= min_revisit)
+    keepers = long_rows.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = long_rows.join(materialize(keepers, "warc-keepers"), "digest")
+    marks = copies.filter(~F.col("keeper").eqNullSafe(F.col("page_id")) & F.col("keeper").isNotNull()).select("page_id", "digest", "keeper").distinct()
+    ends = slim.agg(F.min("page_id"), F.max("page_id")).first()
     low, high = (ends[0] or 0), (ends[1] or 0)
     slot = F.coalesce(F.floor((F.col("page_id") - low) / F.lit(max(1.0, (high - low + 1) / RANGES))).cast("int"), F.lit(-1))
     # At most RANGES + 1 rows: ordered in one task, and safe to broadcast.
-    filled = rows.groupBy(slot.alias("slot")).agg(F.sum(F.octet_length("payload") + 512).alias("bytes"))
+    filled = slim.groupBy(slot.alias("slot")).agg(F.sum(F.col("bytes") + 512).alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shards = filled.select("slot", F.floor(before / shard_bytes).cast("int").alias("shard"))
-    met = rows.withColumn("slot", slot).join(F.broadcast(shards), "slot").drop("slot").join(keepers, "digest", "left")
-    keeper = F.when(long_enough & ~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
-    return met.withColumn("keeper", keeper).repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    both = rows.withColumn("kind", F.lit(1)).unionByName(marks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    met = both.withColumn("slot", slot).join(F.broadcast(shards), "slot").drop("slot")
+    return met.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
 
 def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, **columns: object) -> DataFrame:
@@ -145,26 +151,28 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, **co
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files: _Files | None = None
         made: list[tuple] = []
+        marked: tuple = ()
         for pdf in batches:
-            for page, url, payload, digest, keeper, shard in zip(*(pdf[c].array for c in ("page_id", "url", "payload", "digest", "keeper", "shard")), strict=True):
+            for page, url, payload, digest, keeper, shard, kind in zip(*(pdf[c].array for c in ("page_id", "url", "payload", "digest", "keeper", "shard", "kind")), strict=True):
+                if kind == 0:
+                    marked = (page, digest, int(keeper))
+                    continue
                 if files is None or files.shard != shard:
                     if files is not None:
                         files.close()
                         made += files.done
                     files = _Files(folder, int(shard), file_bytes)
-                files.add(record(None if pd.isna(page) else int(page), url, bytes(payload), digest, None if pd.isna(keeper) else int(keeper)))
+                files.add(record(None if pd.isna(page) else int(page), url, bytes(payload), digest, marked[2] if marked[:2] == (page, digest) else None))
         if files is not None:
             files.close()
             made += files.done
         yield pd.DataFrame(made, columns=["file", "shard", "part", "records", "bytes", "sha1"])
 
-    def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return work(batches)
-
+    bound_batches(pages.sparkSession)
     rows = shard_records(pages, **columns)
     # Ids pass as text: a null must not turn a column of longs into floats.
     rows = rows.withColumn("page_id", F.col("page_id").cast("string")).withColumn("keeper", F.col("keeper").cast("string"))
-    rows.mapInPandas(typed, "file string, shard int, part int, records long, bytes long, sha1 string").write.parquet(f"{folder}/manifest")
+    rows.mapInPandas(work, "file string, shard int, part int, records long, bytes long, sha1 string").write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
 
