@@ -68,6 +68,10 @@ def framed(x: np.ndarray, win: int, hop: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, win)[::hop]
 
 
+# What bytes that are no readable 16-bit WAV file raise, or samples too few for a frame.
+BAD_CAPTURE = (ValueError, EOFError, wave.Error)
+
+
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
     """16-bit WAV bytes to mono float samples; channels are averaged."""
     with wave.open(io.BytesIO(content), "rb") as w:
@@ -211,10 +215,11 @@ class Tracks:
         return {k: float(v) for k, v in out.items()}
 
     def segments(self) -> Iterator[tuple[int, dict[str, float]]]:
-        i, t = 0, 0.0
-        while t + self.grid.seg_len_s <= self.dur + 1e-6:
-            yield i, self.features(t, t + self.grid.seg_len_s)
-            i, t = i + 1, t + self.grid.seg_hop_s
+        """Features of every whole segment; the same grid as ``segment_grid``."""
+        g = self.grid
+        whole = int(np.floor((self.dur + 1e-6 - g.seg_len_s) / g.seg_hop_s)) + 1
+        starts = np.arange(max(whole, 0)) * g.seg_hop_s
+        return ((i, self.features(t, t + g.seg_len_s)) for i, t in enumerate(starts.tolist()))
 
 
 def _feature_schema(keys: DataFrame) -> T.StructType:
@@ -246,7 +251,7 @@ def capture_features(
                 try:
                     x, rate = decode_wav(bytes(audio)) if content else (np.asarray(audio, dtype=float), sr)
                     tracks = Tracks(x, rate, grid)
-                except Exception as e:  # a bad capture is reported, not fatal
+                except BAD_CAPTURE as e:  # reported, not fatal
                     rows.append({**head, "error": f"{type(e).__name__}: {e}"})
                     continue
                 head.update(sr=rate, samples=len(x))
@@ -329,7 +334,7 @@ def mel_patches(captures: DataFrame, keys: Sequence[str], content: str) -> DataF
             for rec in pdf.itertuples(index=False, name=None):
                 try:
                     x, rate = decode_wav(bytes(rec[-1]))
-                except Exception:  # reported by the feature job
+                except BAD_CAPTURE:  # reported by the feature job
                     continue
                 mel = log_mel_frames(x, rate).astype(np.float32)
                 padded = np.vstack([np.zeros((PATCH_FRAMES - PATCH_HOP, MEL_BANDS), np.float32), mel])
@@ -359,7 +364,7 @@ def mel_db_table(captures: DataFrame, keys: Sequence[str], content: str, n_fft:
                 try:
                     x, rate = decode_wav(bytes(rec[-1]))
                     _, mags = spectrum(x, rate, n_fft, n_fft - hop)
-                except Exception:  # reported by the feature job
+                except BAD_CAPTURE:  # reported by the feature job
                     continue
                 db = 10.0 * np.log10((mags**2) @ viewer_filterbank(rate, 2 * (mags.shape[1] - 1)) + 1e-6)
                 p5, p99 = np.percentile(db, [5, 99])
