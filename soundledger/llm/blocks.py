@@ -39,7 +39,7 @@ def pair_blocks(index: DataFrame, member: str, block: int = 1024) -> DataFrame:
     )
 
 
-def block_pairs(starts: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def block_pairs(starts: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of each group, a bounded number at a time: within a block, or across its two blocks.
 
     Short groups are paired together by row distance, long ones by rows of their rectangle.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from soundledger.llm.common import materialize
+from soundledger.llm.common import bound_batches, materialize
 
 CAPACITY = 2048
 END_ID = 1
@@ -86,6 +86,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", *(["ids"] if with_ids else [])]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int" + ", ids array<int>" * with_ids
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

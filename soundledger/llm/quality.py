@@ -8,9 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from soundledger.llm.common import bound_batches
+
 BUCKETS_LOG2 = 16
 DIM = 16
 EPOCHS = 12
@@ -97,6 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Labels other than 0 and 1 and rows without an id are left out; a document with both labels counts as 0.
     """
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~in_fold(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     order = F.xxhash64("id", F.lit(7))
@@ -109,19 +113,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [np.unique(features(t), return_counts=True) for t in pdf["t"]]
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "f": [r[0].astype("u2").tobytes() for r in rows], "n": [r[1].astype("u4").tobytes() for r in rows]})
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = 0, []
-        for pdf in batches:
-            for i, y, f, n in pdf[["id", "y", "f", "n"]].itertuples(index=False):
-                if held + len(f) // 2 <= MAX_FEATURES:
-                    held += len(f) // 2
-                    rows.append((i, np.frombuffer(f, "u2"), np.frombuffer(n, "u4"), y))
-        rows.sort(key=lambda r: (r[0], r[2].tobytes()))
+        for batch in batches:
+            # The arrays look into the batch: no document is held twice.
+            places = zip(batch["id"].to_pylist(), batch["y"].to_pylist(), batch["f"], batch["n"], strict=True)
+            for i, y, f, n in places:
+                buckets = np.frombuffer(f.as_buffer(), "u2")
+                if held + len(buckets) <= MAX_FEATURES:
+                    held += len(buckets)
+                    rows.append((i, buckets, np.frombuffer(n.as_buffer(), "u4"), y))
+        rows.sort(key=lambda r: (r[0], zlib.crc32(r[1]), zlib.crc32(r[2])))
         m = fit([r[1:] for r in rows])
-        yield pd.DataFrame({"v": [m.vectors.tobytes()], "o": [m.output.tobytes()], "b": [m.bias.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"v": [m.vectors.tobytes()], "o": [m.output.tobytes()], "b": [m.bias.tobytes()]})
 
     counted = sample.mapInPandas(count, "id long, y int, f binary, n binary").repartition(1).sortWithinPartitions(F.xxhash64("id", F.lit(7)))
-    row = counted.mapInPandas(learn, "v binary, o binary, b binary").first()
+    row = counted.mapInArrow(learn, "v binary, o binary, b binary").first()
     if row is None:
         return fit([])
     return QualityModel(np.frombuffer(row["v"], "f4").reshape(-1, DIM), np.frombuffer(row["o"], "f4").reshape(2, DIM), np.frombuffer(row["b"], "f4"))
@@ -129,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scorer(docs: DataFrame, model: QualityModel):
     """A column function: text to the probability of label 1. The shared table has one number a bucket."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.evidence(), float(model.bias[1] - model.bias[0])))
 
     @F.pandas_udf("double")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soundledger.llm.blocks import GROUP, block_pairs, pair_blocks, spanning
-from soundledger.llm.common import group_starts, materialize, whole_groups
+from soundledger.llm.common import bound_batches, group_starts, materialize, whole_groups
 from soundledger.llm.graph import connected_components
 
 MAX_BITS = 3
@@ -62,6 +62,7 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
             fps = np.fromiter(map(fingerprint, pdf["t"]), "u8", len(pdf)).view("i8")
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return rows.mapInPandas(work, "doc_id long, fp long")
 
