@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundledger.llm.common import materialize
+from soundledger.llm.common import bound_batches, materialize
 
 #: Contexts of 1 to ORDERS bytes; a gram is the longest context and the byte after it.
 ORDERS = 5
@@ -24,8 +24,8 @@ SLOTS = int(_FIRST[-1])
 #: A byte that no UTF-8 text holds before it, another behind it.
 PAD, END = b"\xfe" * ORDERS, b"\xff"
 #: Bytes of text turned to grams at once, distinct grams or words that a task holds before it passes them on.
-CHUNK = 8 << 20
-HELD = 2_000_000
+CHUNK = 1 << 20
+HELD = 1 << 20
 #: Most words that tasks know by heart; other words meet their counts in a join.
 HEAD = 65_536
 HEAD_BYTES = 64
@@ -120,6 +120,18 @@ def _grams(runs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.nd
     return grams, np.array([r[0] for r in runs]), starts
 
 
+def rebatch(batches: Iterator[pd.DataFrame], rows: int = 1 << 16) -> Iterator[pd.DataFrame]:
+    """Small rows in larger frames."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
     """``(gram, n)`` over all texts, summed in each task first."""
 
@@ -172,7 +184,7 @@ def predictor_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, SLOTS))
-        for pdf in batches:
+        for pdf in rebatch(batches):
             gram, n = pdf["gram"].to_numpy("i8").view("u8"), pdf["n"].to_numpy("f8")
             for j in range(7, -1, -1):
                 node, bit = bits_of(gram, j)
@@ -272,7 +284,7 @@ def _train(grams: DataFrame, counts: tuple[np.ndarray, np.ndarray]) -> Mixer:
 
     def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mixer, total = Mixer.start(), 0
-        for pdf in batches:
+        for pdf in rebatch(batches):
             mixed = pdf.sample(frac=1, random_state=1)
             learn_weights(mixed["gram"].to_numpy("i8").view("u8"), mixed["n"].to_numpy("i8"), shared.value, mixer)
             total += len(pdf)
@@ -290,7 +302,7 @@ def _train(grams: DataFrame, counts: tuple[np.ndarray, np.ndarray]) -> Mixer:
 
     def adapt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hits, seen = np.zeros(256 * REFINED), np.zeros(256 * REFINED)
-        for pdf in batches:
+        for pdf in rebatch(batches):
             gram, n = pdf["gram"].to_numpy("i8").view("u8"), pdf["n"].to_numpy("f8")
             for j in range(7, -1, -1):
                 node, bit, odds, sure = _left_out(shared.value, gram, j)
@@ -367,6 +379,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     every bit costs one bit and no token is known.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    bound_batches(docs.sparkSession)
     learned = rows.filter(~F.col("held_out"))
     model = train(learned)
     counts = materialize(word_counts(learned), "lm-words")
