@@ -36,9 +36,9 @@ def fold_stream(rows: DataFrame, keys: Sequence[str], order: Sequence[str], valu
         ordered = pd.concat([b[[*order, *values]] for b in batches]).sort_values(order, ignore_index=True)
         after, out = rule(ordered, state.get if state.exists else initial)
         state.update(after)
-        for name, value in zip(reversed(keys), reversed(key), strict=True):
-            out.insert(0, name, value)
         if len(out):
+            for name, value in zip(reversed(keys), reversed(key), strict=True):
+                out.insert(0, name, value)
             yield out
 
     return slim.groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
@@ -213,41 +213,46 @@ def monitor_rule(time_us: str, tie: str) -> Rule:
 
     def rule(pdf: pd.DataFrame, state: State) -> tuple[State, pd.DataFrame]:
         uptime, overruns, alerts, counter, captures, silent, stuck = state
-        found: list[pd.DataFrame] = []
+        places: list[np.ndarray] = []
+        kinds: list[str] = []
 
-        def report(view: pd.DataFrame, mask: np.ndarray, kind: str) -> None:
-            found.append(pd.DataFrame({"t_us": view[time_us].to_numpy()[mask], tie: view[tie].to_numpy()[mask], "kind": kind}))
+        def report(view: np.ndarray, mask: np.ndarray, kind: str) -> None:
+            places.append(view[mask])
+            kinds.append(kind)
 
+        polls = np.arange(len(pdf))
         answered = pdf["answered"].to_numpy(bool)
         quiet = since_last(answered, silent)
-        for polls, kind in SILENT_KINDS.items():
-            report(pdf, quiet == polls, kind)
-        report(pdf, answered & (shifted(quiet, silent) >= 3), "OUTAGE_RECOVERED")
-        garbled = answered & pdf["parse_error"].fillna(False).to_numpy(bool)
-        report(pdf, garbled, "METRICS_PARSE_ERR")
+        for misses, kind in SILENT_KINDS.items():
+            report(polls, quiet == misses, kind)
+        report(polls, answered & (shifted(quiet, silent) >= 3), "OUTAGE_RECOVERED")
+        garbled = answered & (pdf["parse_error"].to_numpy() == True)  # noqa: E712  a null is no error
+        report(polls, garbled, "METRICS_PARSE_ERR")
 
-        read = pdf[answered & ~garbled]
+        read = polls[answered & ~garbled]
         if len(read):
-            now = {c: read[c].to_numpy("i8") for c in ("uptime", "overruns", "alerts", "counter")}
-            last = {c: shifted(now[c], v).astype("i8") for c, v in (("uptime", uptime), ("overruns", overruns), ("alerts", alerts), ("counter", counter))}
+            now = {c: pdf[c].to_numpy()[read].astype("i8") for c in ("uptime", "overruns", "alerts", "counter")}
+            last = {c: shifted(now[c], v) for c, v in (("uptime", uptime), ("overruns", overruns), ("alerts", alerts), ("counter", counter))}
             reboot = (last["uptime"] != 0) & (now["uptime"] < last["uptime"])
             moved = (last["counter"] == 0) | reboot | (now["counter"] > last["counter"])
             still = since_last(moved, stuck)
             report(read, reboot, "REBOOT")
             report(read, still == STALLED_POLLS, "INFERENCE_STALLED")
             report(read, (last["overruns"] != 0) & (now["overruns"] - last["overruns"] > MANY_OVERRUNS), "OVRGROW_BIG")
-            report(read, ~read["state"].isin(QUIET_STATES).to_numpy(), "STATE")
-            report(read, read["peak"].to_numpy("f8") > PEAK_SIGNAL, "CRY_SIGNAL")
+            report(read, ~np.isin(pdf["state"].to_numpy()[read].astype(str), QUIET_STATES), "STATE")
+            report(read, pdf["peak"].to_numpy("f8")[read] > PEAK_SIGNAL, "CRY_SIGNAL")
             report(read, now["alerts"] > last["alerts"], "ALERT_FIRED")
-            counted = read[read["captures"].notna().to_numpy()]
+            counted = read[pdf["captures"].notna().to_numpy()[read]]
             if len(counted):
-                have = counted["captures"].to_numpy("i8")
-                had = shifted(have, captures).astype("i8")
+                have = pdf["captures"].to_numpy()[counted].astype("i8")
+                had = shifted(have, captures)
                 report(counted, (had >= 0) & (have > had), "NEW_WAV")
                 captures = int(have[-1])
             uptime, overruns, alerts, counter = (int(now[c][-1]) for c in ("uptime", "overruns", "alerts", "counter"))
             stuck = int(still[-1])
-        return (uptime, overruns, alerts, counter, captures, int(quiet[-1]), stuck), pd.concat(found, ignore_index=True)
+        at = np.concatenate(places)
+        out = pd.DataFrame({"t_us": pdf[time_us].to_numpy()[at], tie: pdf[tie].to_numpy()[at], "kind": np.repeat(kinds, [len(p) for p in places])})
+        return (uptime, overruns, alerts, counter, captures, int(quiet[-1]), stuck), out
 
     return rule
 
