@@ -63,9 +63,12 @@ def _mixers() -> np.ndarray:
 
 
 def lattice_keys(unit: np.ndarray, tables: int = TABLES, cell: float = CELL, seed: int = SEED) -> np.ndarray:
-    """Keys (rows, tables, 4) of unit vectors: their own cell and the neighbouring cells probed, as hashes of lattice points."""
+    """Keys (rows, tables, 4) of unit vectors: their own cell and the neighbouring cells probed, as 32-bit hashes of lattice points.
+
+    Two cells of one table with one hash are one cell: that adds pairs to verify and loses none.
+    """
     planes, mix = _planes(unit.shape[1], tables, seed), _mixers()
-    keys = np.empty((len(unit), tables, 4), "u8")
+    keys = np.empty((len(unit), tables, 4), "i4")
     for t in range(tables):
         codes = []
         for j in range(POINTS):
@@ -73,8 +76,14 @@ def lattice_keys(unit: np.ndarray, tables: int = TABLES, cell: float = CELL, see
             codes.append([(p.view("u8") * mix[j]).sum(axis=1, dtype="u8") for p in (best, other)])
         for n, (a, b) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
             h = codes[0][a] ^ (codes[1][b] << np.uint64(1)) ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            keys[:, t, n] = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return keys.view("i8")
+            keys[:, t, n] = (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype("u4").view("i4")
+    return keys
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype("f8")
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _usable(vector: Column) -> Column:
@@ -97,14 +106,23 @@ def similar_links(classes: DataFrame, threshold: float = THRESHOLD, tables: int
                 for at in range(0, len(some), 1000):
                     part = some.iloc[at : at + 1000]
                     x = np.stack(part["v"].to_numpy()).astype("f8")
-                    x /= np.abs(x).max(axis=1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    keys = lattice_keys(x, tables, cell).reshape(len(x), -1)
-                    packed = [k.tobytes() for k in keys]
-                    vectors = [v.tobytes() for v in x]
-                    yield pd.DataFrame(
-                        {"key": keys.T.ravel(), "rep": np.tile(part["rep"].to_numpy("i8"), keys.shape[1]), "n": np.tile(part["n"].to_numpy("i8"), keys.shape[1]), "keys": packed * keys.shape[1], "x": vectors * keys.shape[1]}
+                    keys = lattice_keys(_unit(x), tables, cell).reshape(len(x), -1)
+                    slots = keys.shape[1]
+                    # Components that single precision holds exactly travel in it.
+                    single = bool((x.astype("f4") == x).all())
+                    vectors = [v.tobytes() for v in (x.astype("f4") if single else x)]
+                    table = (np.arange(slots) // 4).astype("i8") << 32
+                    fresh = np.ones(keys.shape, bool)
+                    for c in range(slots):
+                        for before in range(c // 4 * 4, c):
+                            fresh[:, c] &= keys[:, before] != keys[:, c]
+                    made = pd.DataFrame(
+                        {
+                            "key": (keys.astype("i8") & 0xFFFFFFFF | table).T.ravel(), "rep": np.tile(part["rep"].to_numpy("i8"), slots), "n": np.tile(part["n"].to_numpy("i8"), slots),
+                            "keys": [k.tobytes() for k in keys] * slots, "single": single, "x": vectors * slots,
+                        }
                     )
+                    yield made[fresh.T.ravel()]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, GROUP):
@@ -113,12 +131,11 @@ def similar_links(classes: DataFrame, threshold: float = THRESHOLD, tables: int
             crowd = np.repeat(np.diff(starts) > 1, np.diff(starts))
             if not crowd.any():
                 continue
-            pdf = pdf[crowd]
-            pdf = pdf[pdf["x"].map(len).to_numpy() > 0].reset_index(drop=True)
-            for _, some in pdf.groupby(pdf["x"].map(len), sort=True):
-                some = some.reset_index(drop=True)
-                x = np.frombuffer(b"".join(some["x"]), "f8").reshape(len(some), -1)
-                keys = np.frombuffer(b"".join(some["keys"]), "i8").reshape(len(some), -1)
+            dim = pdf["x"].map(len).to_numpy() // np.where(pdf["single"], 4, 8)
+            for d in np.unique(dim[crowd]):
+                some = pdf[crowd & (dim == d)].reset_index(drop=True)
+                x = _unit(np.stack([np.frombuffer(v, "f4" if one else "f8").astype("f8") for v, one in zip(some["x"], some["single"], strict=True)]))
+                keys = np.frombuffer(b"".join(some["keys"]), "i4").reshape(len(some), -1)
                 rep, n, here = (some[c].to_numpy("i8") for c in ("rep", "n", "key"))
                 count = np.zeros(len(some), "i8")
                 found_a, found_b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
@@ -133,7 +150,7 @@ def similar_links(classes: DataFrame, threshold: float = THRESHOLD, tables: int
                         mine = keys[a[open_rows], c]
                         table = c // 4 * 4
                         hit = (keys[b[open_rows], table : table + 4] == mine[:, None]).any(axis=1)
-                        first[open_rows[hit]] = mine[hit]
+                        first[open_rows[hit]] = mine[hit].astype("i8") & 0xFFFFFFFF | (c // 4 << 32)
                         open_rows = open_rows[~hit]
                         if not len(open_rows):
                             break
@@ -151,7 +168,7 @@ def similar_links(classes: DataFrame, threshold: float = THRESHOLD, tables: int
                 counts = pd.DataFrame({"u": rep[at], "v": pd.array([pd.NA] * len(at), dtype="Int64"), "links": count[at]})
                 yield pd.concat([links, counts], ignore_index=True)
 
-    rows = classes.mapInPandas(index, "key long, rep long, n long, keys binary, x binary")
+    rows = classes.mapInPandas(index, "key long, rep long, n long, keys binary, single boolean, x binary")
     return pair_blocks(rows, "rep", block).mapInPandas(compare, "u long, v long, links long")
 
 
@@ -166,16 +183,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e"))
     good = rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("e"))).select("vec_id", F.transform("e", lambda x: x.cast("double") + F.lit(0.0)).alias("e"))
     classes = materialize(good.distinct().groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    # Two classes can share a smallest id only if one id has two vectors; a class then goes by a number of its own.
-    named = materialize(classes.select(F.xxhash64("e").alias("node"), "rep", "n", "e"), "vector-nodes")
+    # Two classes share a smallest id if one id has two vectors, so a class goes by a number of its own, fixed once written.
+    marks = lambda e: [F.xxhash64(e).alias("k1"), F.xxhash64(F.lit(2), e).alias("k2")]
+    named = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "rep", "n", "e", *marks(F.col("e"))), "vector-nodes")
     found = materialize(similar_links(named.select(F.col("node").alias("rep"), "n", F.col("e").alias("v")), threshold, tables, block), "vector-links")
     sums = found.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.filter("v IS NOT NULL").select("u", "v"))
     met = named.drop("e").join(sums, "node", "left").join(roots, "node", "left")
-    met = materialize(met.select("node", "rep", F.col("n") - 1 + F.coalesce("links", F.lit(0)), F.coalesce("component", "node")).toDF("node", "rep", "n_links", "root"), "vector-met")
+    met = met.select("k1", "k2", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("root"))
+    met = materialize(met, "vector-met")
     least = materialize(met.groupBy("root").agg(F.min("rep").alias("component_id")), "vector-least")
-    ended = materialize(met.join(least, "root").select("node", "n_links", "component_id"), "vector-ends")
-    key = F.when(F.col("vec_id").isNotNull() & _usable(F.col("e")), F.xxhash64(F.transform("e", lambda x: x.cast("double") + F.lit(0.0))))
-    out = rows.select("vec_id", key.alias("node")).join(ended, "node", "left")
+    ended = materialize(met.join(least, "root").select("k1", "k2", "n_links", "component_id"), "vector-ends")
+    whole = F.when(F.col("vec_id").isNotNull() & _usable(F.col("e")), F.transform("e", lambda x: x.cast("double") + F.lit(0.0)))
+    keyed = rows.select("vec_id", whole.alias("e")).select("vec_id", *[F.when(F.col("e").isNotNull(), k).alias(n) for k, n in zip(marks(F.col("e")), ("k1", "k2"), strict=True)])
+    out = keyed.join(ended, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
