@@ -127,7 +127,7 @@ def shard_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     keepers = long_rows.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = long_rows.join(materialize(keepers, "warc-keepers"), "digest")
     marks = copies.filter(~F.col("keeper").eqNullSafe(F.col("page_id")) & F.col("keeper").isNotNull()).select("page_id", "digest", "keeper").distinct()
-    ends = slim.agg(F.min("page_id"), F.max("page_id")).first()
+    ends = slim.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("bytes") + 512)).first()
     low, high = (ends[0] or 0), (ends[1] or 0)
     slot = F.coalesce(F.floor((F.col("page_id") - low) / F.lit(max(1.0, (high - low + 1) / RANGES))).cast("int"), F.lit(-1))
     # At most RANGES + 1 rows: ordered in one task, and safe to broadcast.
@@ -136,7 +136,8 @@ def shard_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     shards = filled.select("slot", F.floor(before / shard_bytes).cast("int").alias("shard"))
     both = rows.withColumn("kind", F.lit(1)).unionByName(marks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     met = both.withColumn("slot", slot).join(F.broadcast(shards), "slot").drop("slot")
-    return met.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    # As many tasks as shards: a task's share does not grow with the table.
+    return met.repartition(max(1, -(-(ends[2] or 0) // shard_bytes)), "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
 
 def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, **columns: object) -> DataFrame:
