@@ -7,8 +7,9 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundledger.llm.blocks import GROUP, block_pairs, pair_blocks, spanning
@@ -54,17 +55,22 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(heads), bitorder="little").view("u8")[0])
 
 
+def text_mark(text: Column) -> Column:
+    """MD5 of a text: tells rows that share an id apart. Null texts are empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as a signed long."""
+    """``(doc_id, mark, fp)``: the id as it is, the text's digest, the fingerprint as a signed long."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.fromiter(map(fingerprint, pdf["t"]), "u8", len(pdf)).view("i8")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter(map(fingerprint, batch["t"].to_pylist()), "u8", batch.num_rows).view("i8")
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(fps)], ["doc_id", "mark", "fp"])
 
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return rows.mapInPandas(work, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return rows.mapInArrow(work, "doc_id long, mark binary, fp long")
 
 
 def fingerprint_links(prints: DataFrame, block: int = 1024) -> DataFrame:
@@ -101,13 +107,8 @@ def fingerprint_links(prints: DataFrame, block: int = 1024) -> DataFrame:
     return pair_blocks(rows, "fp", block).mapInPandas(link, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
-
-    Documents with one fingerprint form a class before anything is paired, so copies cost nothing more. Null and blank
-    texts share fingerprint zero. Null ids take part and get their group's smallest id, null if it has none. Repeated
-    rows are kept. Other columns are ignored. An empty table gives no rows.
-    """
+def _rooted(docs: DataFrame, id_col: str, text_col: str, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and ``(fp, root, component_id)``: the group of each fingerprint and its smallest id."""
     prints = materialize(simhash_fingerprints(docs, id_col, text_col), "simhash")
     nodes = connected_components(fingerprint_links(prints, block))
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
@@ -115,16 +116,31 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "simhash-roots"
     )
     least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
-    named = materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
+    return prints, materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
+
+    Documents with one fingerprint form a class before anything is paired, so copies cost nothing more. Null and blank
+    texts share fingerprint zero. Null ids take part and get their group's smallest id, null if it has none. Repeated
+    rows are kept. Other columns are ignored. An empty table gives no rows.
+    """
+    prints, named = _rooted(docs, id_col, text_col, block)
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its group; one row of each kept id.
+    """One row of ``docs``, all columns, of each group: the one with the smallest id, by the text's digest among equal ids.
 
-    Rows without an id are kept: nothing names the copy that they would yield to.
+    Rows are told apart by id and text, so an id whose texts lie in several groups may stay in each of them. Of a group's
+    rows without an id one stays too: nothing orders it among the named ones.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    kept = materialize(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "simhash-kept")
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    prints, named = _rooted(docs, id_col, text_col)
+    # The id is null in all rows of a group here or in none.
+    rows = prints.join(named, "fp").groupBy("root", F.col("doc_id").isNull().alias("unnamed"))
+    least = materialize(rows.agg(F.min(F.struct("doc_id", "mark")).alias("kept")), "simhash-kept")
+    kept = least.select(F.col("kept.doc_id").alias("__kept"), F.col("kept.mark").alias("__kept_mark"))
+    marked = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", text_mark(F.col(text_col)))
+    own = marked.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__mark") == F.col("__kept_mark")), "left_semi")
+    return own.dropDuplicates(["__id", "__mark"]).drop("__id", "__mark")

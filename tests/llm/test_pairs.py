@@ -93,6 +93,17 @@ def test_simhash_against_brute_force(spark, block):
     assert simhash_groups(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_by_row_not_id(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join(rng.choice([f"w{i}" for i in range(99)], 200)) for _ in range(4))
+    big = 2**60 + 1  # an id that no float holds
+    rows = [(3, a), (7, a), (7, b), (7, c), (9, c), (2, d), (2, b), (big, "alone"), (big, "alone")] + [(None, "nobody")] * 40 + [(None, "other")]
+    for parts in (1, 7):
+        df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(parts)
+        got = [(r["doc_id"], r["text"]) for r in one_of_each_group(df).collect()]
+        assert sorted(got, key=repr) == sorted([(3, a), (2, b), (7, c), (2, d), (big, "alone"), (None, "nobody"), (None, "other")], key=repr)
+
+
 def test_e8_points_are_lattice_points_near_the_nearest():
     rng = np.random.default_rng(2)
     x = rng.normal(0, 2, (500, 8))
