@@ -27,6 +27,9 @@ SHARD_DOCS = 16384
 POOL = 256
 #: Both libraries split texts of these characters alike; other texts go to the slower one.
 PLAIN = re.compile("[^\t-\r -~¡-ɏ]|<\\|endoftext\\|>")
+#: The faster library fails on about a million characters of white space in a row; texts with longer runs than this go to the other.
+MOST_SPACE = 100_000
+LONG_SPACE = re.compile(f"(?<![\t-\r ])[\t-\r ]{{{MOST_SPACE + 1}}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -44,7 +47,13 @@ def _encoder(tokenizer: str | None):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: exact.encode(text, add_special_tokens=False).ids if PLAIN.search(text) else fast.encode_ordinary(text)
+
+    def encode(text: str) -> list[int]:
+        if PLAIN.search(text) or (len(text) > MOST_SPACE and LONG_SPACE.search(text)):
+            return exact.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
+
+    return encode
 
 
 @functools.lru_cache(maxsize=4)

@@ -150,6 +150,16 @@ def test_packing(spark):
     assert pack_documents(df.limit(0)).count() == 0
 
 
+def test_packing_very_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" + " " * 2_000_000 + "b", "a" + " \n" * 600_000, ("a" + " " * 90_000) * 5]
+    got = pack_documents(docs(spark, [(i, t, "o") for i, t in enumerate(texts)])).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {i: len(exact.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_packing_many_documents_pads_little(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', CAST(50 + pmod(id * 7919, 1500) AS INT))").alias("text"))
     used = pack_documents(df).groupBy("sequence_id").agg(F.sum("length").alias("n"))
