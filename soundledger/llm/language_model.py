@@ -1,4 +1,4 @@
-"""Language-model scores by logistic context mixing over hashed-context bit predictors, next to smoothed word frequencies."""
+"""Language-model scores by logistic context mixing over counted contexts of all training text, next to smoothed word frequencies."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +18,12 @@ from soundledger.llm.common import bound_batches, materialize
 
 #: Contexts of 1 to ORDERS bytes; a gram is the longest context and the byte after it.
 ORDERS = 5
-#: Slots of each order's predictor table, as a power of two. With the table's size fixed, the model fits any driver.
-SLOT_BITS = (16, 18, 18, 20, 20)
-_FIRST = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
-SLOTS = int(_FIRST[-1])
+#: Orders whose contexts every task knows: with the next byte they have 2^16 and 2^24 values at most.
+LOW = 2
+#: Parts of the table of grams, by hash of the three bytes before the last: counts of orders 3 to 5 never leave a part.
+BUCKETS = 1024
+#: Bytes of text whose distinct grams are costed and brought back together.
+BLOCK = 16 << 20
 #: A byte that no UTF-8 text holds before it, another behind it.
 PAD, END = b"\xfe" * ORDERS, b"\xff"
 #: Bytes of text turned to grams at once, distinct grams or words that a task holds before it passes them on.
@@ -120,57 +123,156 @@ def _grams(runs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.nd
     return grams, np.array([r[0] for r in runs]), starts
 
 
-def rebatch(batches: Iterator[pd.DataFrame], rows: int = 1 << 16) -> Iterator[pd.DataFrame]:
-    """Small rows in larger frames."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        held.append(pdf)
-        if sum(map(len, held)) >= rows:
-            yield pd.concat(held, ignore_index=True)
-            held = []
-    if held:
-        yield pd.concat(held, ignore_index=True)
+def text_blocks(texts: DataFrame) -> DataFrame:
+    """``(block, texts)``: runs of rows ``(doc_id, held_out, t)`` as compressed Arrow streams of about ``BLOCK`` bytes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = os.urandom(10), 0
+
+        def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for some in held:
+                    out.write_batch(some)
+            return pa.RecordBatch.from_pydict({"block": [task + number.to_bytes(6, "big")], "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            sizes = pc.binary_length(batch["t"]).to_numpy(zero_copy_only=False)
+            first = 0
+            for i in range(batch.num_rows):
+                size += int(sizes[i])
+                if size >= BLOCK:
+                    held.append(batch.slice(first, i + 1 - first))
+                    yield made(held)
+                    held, size, first, number = [], 0, i + 1, number + 1
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
+        if held:
+            yield made(held)
+
+    return texts.select("doc_id", "held_out", "t").mapInArrow(work, "block binary, texts binary")
+
+
+def block_texts(texts: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(texts).read_all().to_pandas()
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """Sorted grams as compressed differences."""
+    return pa.compress(np.diff(grams, prepend=np.uint64(0)).tobytes(), "zstd", asbytes=True)
+
 
+def unpacked(size: int, grams: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(grams, 8 * size, "zstd", asbytes=True), "u8"), dtype="u8")
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """``(gram, n)`` over all texts, summed in each task first."""
 
-    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[first], np.add.reduceat(n, first)
+def bucket_of(gram: np.ndarray) -> np.ndarray:
+    """Part of the table: by the three bytes before the last."""
+    near = (gram >> np.uint64(8)) & np.uint64(0xFFFFFF)
+    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype("i4")
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their sums."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)
+
+
+def block_grams(blocks: DataFrame) -> DataFrame:
+    """``(bucket, block, size, grams, n)``: the distinct grams of each block, and how often texts that are learned from have them."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         for pdf in batches:
-            for grams, _, _ in gram_chunks(pdf["t"].tolist()):
-                grams.sort()
-                first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-                held.append((grams[first], np.diff(np.r_[first, len(grams)])))
-                if sum(len(h[0]) for h in held) > HELD:
-                    held = [merged(held)]
-                    if len(held[0][0]) > HELD // 2:
-                        yield pd.DataFrame({"gram": held[0][0].view("i8"), "n": held[0][1]})
-                        held = []
-        if held:
-            keys, n = merged(held)
-            yield pd.DataFrame({"gram": keys.view("i8"), "n": n})
+            for block, raw in zip(pdf["block"], pdf["texts"], strict=True):
+                rows = block_texts(raw)
+                held: list[tuple[np.ndarray, np.ndarray]] = []
+                for out in (False, True):
+                    for grams, _, _ in gram_chunks(rows["t"][rows["held_out"] == out].tolist()):
+                        grams.sort()
+                        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+                        held.append((grams[first], np.diff(np.r_[first, len(grams)]) * (not out)))
+                        if sum(len(h[0]) for h in held) > HELD:
+                            held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                keys, n = summed(*map(np.concatenate, zip(*held, strict=True)))
+                buckets = bucket_of(keys)
+                order = np.argsort(buckets, kind="stable")
+                keys, n, buckets = keys[order], n[order], buckets[order]
+                first = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+                ends = np.r_[first[1:], len(keys)]
+                made = [(int(buckets[i]), block, j - i, packed(keys[i:j]), pa.compress(n[i:j].astype("i8").tobytes(), "zstd", asbytes=True)) for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
+                yield pd.DataFrame(made, columns=["bucket", "block", "size", "grams", "n"])
+
+    return blocks.mapInPandas(work, "bucket int, block binary, size int, grams binary, n binary")
+
+
+def opened(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and counts of a row ``(size, grams, n)``."""
+    size, grams, n = row
+    return unpacked(size, grams), np.frombuffer(pa.decompress(n, 8 * size, "zstd", asbytes=True), "i8")
+
+
+def gram_table(grams: DataFrame) -> DataFrame:
+    """``(bucket, size, grams, n)``: the grams of all texts that are learned from, summed over the blocks."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for row in pdf[["size", "grams", "n"]].itertuples(index=False):
+            keys, n = opened(row)
+            held.append((keys[n > 0], n[n > 0]))
+            if sum(len(h[0]) for h in held) > HELD:
+                held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+        keys, n = summed(*map(np.concatenate, zip(*held, strict=True)))
+        return pd.DataFrame([(pdf["bucket"].iat[0], len(keys), packed(keys), pa.compress(n.tobytes(), "zstd", asbytes=True))], columns=["bucket", "size", "grams", "n"])
 
-    return texts.select("t").mapInPandas(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return grams.groupBy("bucket").applyInPandas(merge, "bucket int, size int, grams binary, n binary").filter("size > 0")
 
 
-# ---- bit predictors, mixer and refinement ------------------------------------------------------------------------
+# ---- counts, mixer and refinement --------------------------------------------------------------------------------
 
 
-def slots_of(gram: np.ndarray, order: int, node: np.ndarray) -> np.ndarray:
-    """Slot of a context of ``order`` bytes together with the bits of the next byte so far (``node``, with a leading one)."""
-    context = (gram >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
-    h = (context * np.uint64(256) + node) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - SLOT_BITS[order - 1])).astype("i8") + int(_FIRST[order - 1])
+def running(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of an order with the next byte, sorted, and the sums of all before each."""
+    found, sums = summed(keys & np.uint64((1 << (8 * order + 8)) - 1), n)
+    return found, np.r_[0, np.cumsum(sums)]
+
+
+def low_counts(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Orders 1 to ``LOW`` of all grams."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [opened(r) for r in pdf[["size", "grams", "n"]].itertuples(index=False)]
+            if parts:
+                keys, n = summed(*map(np.concatenate, zip(*parts, strict=True)))
+                keys, n = summed(keys & np.uint64((1 << (8 * LOW + 8)) - 1), n)
+                yield pd.DataFrame({"key": keys.astype("i4"), "n": n})
+
+    sums = table.mapInPandas(work, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = sums["key"].to_numpy().astype("u8"), sums["n"].to_numpy()
+    return [running(keys, n, order) for order in range(1, LOW + 1)]
+
+
+class Counts:
+    """What orders 1 to ORDERS saw, looked up by gram: those of one bucket, and the low orders of all."""
+
+    def __init__(self, low: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, n: np.ndarray) -> None:
+        self.orders = [*low, *(running(keys, n, order) for order in range(LOW + 1, ORDERS + 1))]
+
+    def paths(self, gram: np.ndarray) -> np.ndarray:
+        """``[order, bits, gram]``: how often the context was followed by the first 0 to 8 bits of the gram's last byte."""
+        out = np.empty((ORDERS, 9, len(gram)), "f8")
+        for k, (keys, sums) in enumerate(self.orders):
+            own, back = np.unique(gram & np.uint64((1 << (8 * k + 16)) - 1), return_inverse=True)
+            for bits in range(9):
+                low = own >> np.uint64(8 - bits) << np.uint64(8 - bits)
+                out[k, bits] = (sums[np.searchsorted(keys, low + np.uint64(1 << (8 - bits)))] - sums[np.searchsorted(keys, low)])[back]
+        return out
 
 
 def bits_of(gram: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,35 +281,8 @@ def bits_of(gram: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
     return (byte >> np.uint64(j + 1)) | np.uint64(1 << (7 - j)), (byte >> np.uint64(j)) & np.uint64(1)
 
 
-def predictor_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How often each slot saw a 0 and a 1, over all grams: tasks fill tables, Spark sums their used slots."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros((2, SLOTS))
-        for pdf in rebatch(batches):
-            gram, n = pdf["gram"].to_numpy("i8").view("u8"), pdf["n"].to_numpy("f8")
-            for j in range(7, -1, -1):
-                node, bit = bits_of(gram, j)
-                for order in range(1, ORDERS + 1):
-                    slot = slots_of(gram, order, node)
-                    for value in (0, 1):
-                        of = bit == value
-                        np.add.at(seen[value], slot[of], n[of])
-        used = np.flatnonzero(seen.any(axis=0))
-        for i in range(0, len(used), 200_000):
-            some = used[i : i + 200_000]
-            yield pd.DataFrame({"slot": some.astype("i4"), "zeros": seen[0, some].astype("i8"), "ones": seen[1, some].astype("i8")})
-
-    sums = grams.mapInPandas(work, "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    out = np.zeros((2, SLOTS), "f4")
-    table = sums.toArrow()
-    slot = table["slot"].to_numpy()
-    out[0, slot], out[1, slot] = table["zeros"].to_numpy(), table["ones"].to_numpy()
-    return out[0], out[1]
-
-
 def opinion(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What a slot with these counts says: the log-odds of a 1 and the class of its confidence; nothing seen says nothing."""
+    """What a context with these counts says: the log-odds of a 1 and the class of its confidence; nothing seen says nothing."""
     n = zeros + ones
     odds = np.log((ones + 0.05) / (zeros + 0.05)).clip(-STRETCH_MAX, STRETCH_MAX)
     return odds.astype("f4"), np.minimum(np.ceil(np.log2(n + 1)), CONFIDENCE - 1).astype("u1")
@@ -248,25 +323,25 @@ def refine(z: np.ndarray, node: np.ndarray, mixer: Mixer) -> np.ndarray:
     return ((1 / (1 + np.exp(-z)) + seen) / 2).clip(2**-16, 1 - 2**-16)
 
 
-def _left_out(counts: tuple[np.ndarray, np.ndarray], gram: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, list, list]:
-    """Opinions of all orders on bit j as if the occurrence at hand had not been counted."""
+def _opinions(paths: np.ndarray, gram: np.ndarray, j: int, own: int = 0) -> tuple[np.ndarray, np.ndarray, list, list]:
+    """Opinions of all orders on bit j, as if ``own`` occurrences of the gram had not been counted."""
     node, bit = bits_of(gram, j)
     odds, sure = [], []
-    for order in range(1, ORDERS + 1):
-        slot = slots_of(gram, order, node)
-        o, s = opinion(np.maximum(counts[0][slot] - (bit == 0), 0), np.maximum(counts[1][slot] - (bit == 1), 0))
+    for k in range(ORDERS):
+        same, other = np.maximum(paths[k, 8 - j] - own, 0), paths[k, 7 - j] - paths[k, 8 - j]
+        o, s = opinion(np.where(bit == 0, same, other), np.where(bit == 0, other, same))
         odds.append(o)
         sure.append(s)
     return node, bit, odds, sure
 
 
-def learn_weights(gram: np.ndarray, n: np.ndarray, counts: tuple[np.ndarray, np.ndarray], mixer: Mixer, batch: int = 8192) -> None:
+def learn_weights(gram: np.ndarray, n: np.ndarray, paths: np.ndarray, mixer: Mixer, batch: int = 8192) -> None:
     """One online pass: after every batch each gate's weights take a step against their mean error."""
     for at in range(0, len(gram), batch):
         g, m = gram[at : at + batch], n[at : at + batch].astype("f8")
         rate = RATE / (1 + at / batch / 50)
         for j in range(7, -1, -1):
-            _, bit, odds, sure = _left_out(counts, g, j)
+            _, bit, odds, sure = _opinions(paths[:, :, at : at + batch], g, j, 1)
             z, reach = gather(odds, sure, j, mixer)
             miss = (bit.astype("f8") - 1 / (1 + np.exp(-z))) * m
             weight = np.bincount(reach, m, ORDERS + 1) + 1
@@ -277,22 +352,45 @@ def learn_weights(gram: np.ndarray, n: np.ndarray, counts: tuple[np.ndarray, np.
                 mixer.by_reach[:, j, k] += rate * 0.1 * np.bincount(reach, push, ORDERS + 1) / weight
 
 
-def _train(grams: DataFrame, counts: tuple[np.ndarray, np.ndarray]) -> Mixer:
+def learned_grams(batches: Iterator[pd.DataFrame], low: list[tuple[np.ndarray, np.ndarray]], rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shuffled grams of the table's rows with their counts and paths, about ``rows`` at a time."""
+    rng = np.random.default_rng(1)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def mixed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        gram, n, paths = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+        order = rng.permutation(len(gram))
+        return gram[order], n[order], paths[:, :, order]
+
+    for pdf in batches:
+        for row in pdf[["size", "grams", "n"]].itertuples(index=False):
+            gram, n = opened(row)
+            counts, order = Counts(low, gram, n), rng.permutation(len(gram))
+            for at in range(0, len(gram), rows):
+                some = order[at : at + rows]
+                held.append((gram[some], n[some], counts.paths(gram[some])))
+                if sum(len(h[0]) for h in held) >= rows:
+                    yield mixed()
+                    held = []
+    if held:
+        yield mixed()
+
+
+def _train(table: DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> Mixer:
     """Weights learned online in every task over all grams and averaged by weight; then the refinement's sums over all grams."""
-    context = grams.sparkSession.sparkContext
-    shared = context.broadcast(counts)
+    context = table.sparkSession.sparkContext
+    shared = context.broadcast(low)
 
     def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mixer, total = Mixer.start(), 0
-        for pdf in rebatch(batches):
-            mixed = pdf.sample(frac=1, random_state=1)
-            learn_weights(mixed["gram"].to_numpy("i8").view("u8"), mixed["n"].to_numpy("i8"), shared.value, mixer)
-            total += len(pdf)
+        for gram, n, paths in learned_grams(batches, shared.value):
+            learn_weights(gram, n, paths, mixer)
+            total += len(gram)
         if total:
             yield pd.DataFrame({"rows": [total], "w": [np.concatenate([mixer.by_confidence.ravel(), mixer.by_reach.ravel()]).tolist()]})
 
     # One short row a task, averaged by place.
-    found = grams.mapInPandas(weights, "rows long, w array<double>").select("rows", F.posexplode("w").alias("at", "x"))
+    found = table.mapInPandas(weights, "rows long, w array<double>").select("rows", F.posexplode("w").alias("at", "x"))
     means = {r["at"]: r["x"] for r in found.groupBy("at").agg((F.sum(F.col("x") * F.col("rows")) / F.sum("rows")).alias("x")).collect()}
     mixer = Mixer.start()
     if means:
@@ -302,10 +400,9 @@ def _train(grams: DataFrame, counts: tuple[np.ndarray, np.ndarray]) -> Mixer:
 
     def adapt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hits, seen = np.zeros(256 * REFINED), np.zeros(256 * REFINED)
-        for pdf in rebatch(batches):
-            gram, n = pdf["gram"].to_numpy("i8").view("u8"), pdf["n"].to_numpy("f8")
+        for gram, n, paths in learned_grams(batches, shared.value):
             for j in range(7, -1, -1):
-                node, bit, odds, sure = _left_out(shared.value, gram, j)
+                node, bit, odds, sure = _opinions(paths, gram, j, 1)
                 z, _ = gather(odds, sure, j, mixer)
                 place = node.astype("i8") * REFINED + np.rint((z + STRETCH_MAX) * (REFINED - 1) / (2 * STRETCH_MAX)).astype("i8")
                 seen += np.bincount(place, n, 256 * REFINED)
@@ -313,7 +410,7 @@ def _train(grams: DataFrame, counts: tuple[np.ndarray, np.ndarray]) -> Mixer:
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"place": at.astype("i4"), "hits": hits[at], "seen": seen[at]})
 
-    sums = grams.mapInPandas(adapt, "place int, hits double, seen double").groupBy("place").agg(F.sum("hits").alias("hits"), F.sum("seen").alias("seen")).toArrow()
+    sums = table.mapInPandas(adapt, "place int, hits double, seen double").groupBy("place").agg(F.sum("hits").alias("hits"), F.sum("seen").alias("seen")).toArrow()
     refined, place = mixer.refined.ravel().copy(), sums["place"].to_numpy()
     refined[place] = (sums["hits"].to_numpy() + 4 * refined[place]) / (sums["seen"].to_numpy() + 4)
     mixer.refined = refined.reshape(256, REFINED)
@@ -321,53 +418,92 @@ def _train(grams: DataFrame, counts: tuple[np.ndarray, np.ndarray]) -> Mixer:
     return mixer
 
 
+def gram_bits(gram: np.ndarray, counts: Counts, mixer: Mixer) -> np.ndarray:
+    """Bits that the last byte of each gram costs after the others."""
+    total = np.zeros(len(gram))
+    for at in range(0, len(gram), 1 << 16):
+        g = gram[at : at + (1 << 16)]
+        paths = counts.paths(g)
+        for j in range(7, -1, -1):
+            node, bit, odds, sure = _opinions(paths, g, j)
+            z, _ = gather(odds, sure, j, mixer)
+            p = refine(z, node, mixer)
+            total[at : at + (1 << 16)] -= np.log2(np.where(bit == 1, p, 1 - p))
+    return total
+
+
 @dataclass
 class LanguageModel:
-    """Log-odds and confidence of every slot, and the mixer."""
+    """The written table of grams, the sums of the low orders, and the mixer."""
 
-    odds: np.ndarray
-    sure: np.ndarray
+    table: DataFrame
+    low: list[tuple[np.ndarray, np.ndarray]]
     mixer: Mixer
 
+    def counts(self, gram: np.ndarray) -> Counts:
+        """Counts for some grams, from their buckets alone."""
+        parts = self.table.filter(F.col("bucket").isin(np.unique(bucket_of(gram)).tolist())).select("size", "grams", "n").collect()
+        held = [opened(tuple(r)) for r in parts]
+        return Counts(self.low, *(np.concatenate(x) for x in zip((np.zeros(0, "u8"), np.zeros(0, "i8")), *held, strict=True)))
+
     def bits(self, gram: np.ndarray) -> np.ndarray:
-        """Bits that the last byte of each gram costs after the others."""
-        total = np.zeros(len(gram))
-        for at in range(0, len(gram), 1 << 16):
-            g = gram[at : at + (1 << 16)]
-            for j in range(7, -1, -1):
-                node, bit = bits_of(g, j)
-                slots = [slots_of(g, order, node) for order in range(1, ORDERS + 1)]
-                z, _ = gather([self.odds[s] for s in slots], [self.sure[s] for s in slots], j, self.mixer)
-                p = refine(z, node, self.mixer)
-                total[at : at + (1 << 16)] -= np.log2(np.where(bit == 1, p, 1 - p))
-        return total
+        return gram_bits(gram, self.counts(gram), self.mixer)
+
+
+def gram_costs(grams: DataFrame, model: LanguageModel) -> DataFrame:
+    """``(block, size, grams, bits)`` for the grams of each block: every distinct gram of a bucket is costed once."""
+    shared = grams.sparkSession.sparkContext.broadcast((model.low, model.mixer))
+
+    def cost(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        low, mixer = shared.value
+        held = [opened(r) for r in known[["size", "grams", "n"]].itertuples(index=False)]
+        counts = Counts(low, *(held[0] if held else (np.zeros(0, "u8"), np.zeros(0, "i8"))))
+        found: list[np.ndarray] = []
+        for size, raw in zip(asked["size"], asked["grams"], strict=True):
+            found.append(unpacked(size, raw))
+            if sum(map(len, found)) > HELD:
+                found = [np.unique(np.concatenate(found))]
+        every = np.unique(np.concatenate([np.zeros(0, "u8"), *found]))
+        bits = gram_bits(every, counts, mixer).astype("f4")
+        asked["bits"] = [bits[np.searchsorted(every, unpacked(size, raw))].tobytes() for size, raw in zip(asked["size"], asked["grams"], strict=True)]
+        return asked[["block", "size", "grams", "bits"]]
+
+    asked = grams.select("bucket", "block", "size", "grams")
+    return asked.groupBy("bucket").cogroup(model.table.groupBy("bucket")).applyInPandas(cost, "block binary, size int, grams binary, bits binary")
 
 
 class _Costs:
-    """Costs of grams, the last one seen at each place of a fixed table remembered."""
+    """Costs of a block's grams, most of them found at their place of a table and the others by search."""
+
+    def __init__(self, parts: pd.DataFrame) -> None:
+        keys = np.concatenate([unpacked(size, raw) for size, raw in zip(parts["size"], parts["grams"], strict=True)])
+        bits = np.concatenate([np.frombuffer(b, "f4") for b in parts["bits"]])
+        order = np.argsort(keys)
+        self.keys, self.bits = keys[order], bits[order]
+        places = len(keys).bit_length() + 1
+        self.shift, self.at = np.uint64(64 - places), np.zeros(1 << places, "i4")
+        self.at[self.place(self.keys)] = np.arange(len(keys), dtype="i4")
 
-    def __init__(self, model: LanguageModel, places: int = 20) -> None:
-        self.model, self.shift = model, np.uint64(64 - places)
-        self.keys, self.costs = np.zeros(1 << places, "u8"), np.zeros(1 << places, "f4")
+    def place(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype("i8")
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        place = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype("i8")
-        out = self.costs[place].astype("f8")
-        miss = np.flatnonzero(self.keys[place] != grams)
-        if len(miss):
-            new, back = np.unique(grams[miss], return_inverse=True)
-            cost = self.model.bits(new)
-            out[miss] = cost[back]
-            at = ((new * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype("i8")
-            self.keys[at], self.costs[at] = new, cost
-        return out
+        at = self.at[self.place(grams)]
+        miss = np.flatnonzero(self.keys[at] != grams)
+        at[miss] = np.searchsorted(self.keys, grams[miss])
+        return self.bits[at].astype("f8")
+
+
+def _fit(grams: DataFrame) -> LanguageModel:
+    table = materialize(gram_table(grams), "lm-table")
+    low = low_counts(table)
+    return LanguageModel(table, low, _train(table, low))
 
 
 def train(texts: DataFrame) -> LanguageModel:
-    """Fit on all rows of ``(t)``: gram counts in a written table, predictor tables, weights and refinement from all of it."""
-    grams = materialize(gram_counts(texts), "lm-grams")
-    counts = predictor_counts(grams)
-    return LanguageModel(*opinion(*counts), _train(grams, counts))
+    """Fit on all rows of ``(t)``: gram counts in a written table that grows with them, weights and refinement from all of it."""
+    blocks = text_blocks(texts.select(F.lit("").alias("doc_id"), F.lit(False).alias("held_out"), F.coalesce("t", F.lit("")).alias("t")))
+    return _fit(materialize(block_grams(blocks), "lm-grams"))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,24 +517,26 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     bound_batches(docs.sparkSession)
     learned = rows.filter(~F.col("held_out"))
-    model = train(learned)
+    # Ids travel as text, never as floats.
+    blocks = materialize(text_blocks(rows.withColumn("doc_id", F.col("doc_id").cast("string"))), "lm-texts")
+    grams = materialize(block_grams(blocks), "lm-grams")
+    model = _fit(grams)
     counts = materialize(word_counts(learned), "lm-words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((model, frequent_words(counts)))
+    shared = context.broadcast(frequent_words(counts))
     id_type = dict(rows.dtypes)["doc_id"]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lm, head = shared.value
-        costs, task, number = _Costs(lm), os.urandom(10), 0
-        for pdf in batches:
+    def work(held: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        head, costs, made = shared.value, _Costs(parts), []
+        for block, raw in zip(held["block"], held["texts"], strict=True):
+            pdf = block_texts(raw)
             texts = pdf["t"].tolist()
             score = np.zeros(len(texts))
             for grams, of, starts in gram_chunks(texts):
                 np.add.at(score, of, -np.add.reduceat(costs(grams), starts) * np.log10(2))
             out: list[tuple] = []
-            for text in texts:
-                number += 1
+            for number, text in enumerate(texts):
                 here = Counter(tokens(text))
                 total, known, rest = 0.0, 0, []
                 for word, times in here.items():
@@ -408,14 +546,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     else:
                         total += times * w
                         known += times
-                out.append((task + number.to_bytes(6, "big"), sum(here.values()), known, total, [w.decode("utf-8", "surrogatepass") for w in rest], [here[w] for w in rest]))
-            made = pd.DataFrame(out, columns=["row", "n_tokens", "known", "total", "words", "times"])
-            yield pd.concat([pdf[["doc_id", "held_out"]].reset_index(drop=True), made, pd.Series(score, name="score")], axis=1)
-
-    schema = f"doc_id {id_type}, held_out boolean, row binary, n_tokens long, known long, total double, words array<string>, times array<int>, score double"
-    # Row keys are drawn anew by each attempt; written, they hold. Ids travel as they are or as text, never as floats.
-    keyed = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-    scored = materialize(keyed.mapInPandas(work, schema.replace(f"doc_id {id_type}", "doc_id string")), "lm-scored")
+                out.append((block + number.to_bytes(6, "big"), sum(here.values()), known, total, [w.decode("utf-8", "surrogatepass") for w in rest], [here[w] for w in rest]))
+            rows = pd.DataFrame(out, columns=["row", "n_tokens", "known", "total", "words", "times"])
+            made.append(pd.concat([pdf[["doc_id", "held_out"]], rows, pd.Series(score, name="score")], axis=1))
+        return pd.concat(made)
+
+    schema = "doc_id string, held_out boolean, row binary, n_tokens long, known long, total double, words array<string>, times array<int>, score double"
+    scored = materialize(blocks.groupBy("block").cogroup(gram_costs(grams, model).groupBy("block")).applyInPandas(work, schema), "lm-scored")
     rest = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     met = rest.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 0.1)).alias("more_total"))
     out = scored.drop("words", "times").join(met, "row", "left")

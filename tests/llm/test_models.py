@@ -89,6 +89,22 @@ def test_model_is_a_distribution_over_the_next_byte(spark):
         assert (2 ** -model.bits(grams)).sum() == pytest.approx(1)
 
 
+def test_model_counts_contexts_exactly_and_knows_unseen_ones(spark):
+    rng = np.random.default_rng(9)
+    text = "".join(map(chr, rng.integers(97, 123, 400_000)))
+    model = lm.train(spark.createDataFrame([(text[:150_000],), (text[150_000:],)], "t string"))
+    grams = np.concatenate([g for g, _, _ in lm.gram_chunks([text[:150_000], text[150_000:]])])
+    asked = np.r_[grams[:200], grams[-200:], np.concatenate([g for g, _, _ in lm.gram_chunks(["".join(map(chr, rng.integers(97, 123, 400)))])])]
+    got = model.counts(asked).paths(asked)
+    for order in range(1, 6):
+        for bits in range(9):
+            key = lambda g: (g & np.uint64((1 << (8 * order + 8)) - 1)) >> np.uint64(8 - bits)  # noqa: B023, E731
+            count = Counter(key(grams).tolist())
+            assert got[order - 1, bits].tolist() == [count[k] for k in key(asked).tolist()]
+    # 3 million bits of order 5: more than a table of fixed size told apart.
+    assert (got[4, 0, 400:] == 0).mean() > 0.9
+
+
 def test_grams_of_long_texts_are_those_of_the_whole(monkeypatch):
     texts = ["abcdefghijklmnopqrst" * 5, "", None, "xyz", "ü" * 40]
 
