@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from soundledger.llm.centroids import cluster_sql, cluster_vectors
 from soundledger.llm.chat import CHAT_SQL, format_chats
 from soundledger.llm.common import read
 from soundledger.llm.language_model import score_texts
@@ -64,7 +65,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_licenses, op3_language_model, op4_mixing, op5_lattice, op6_top_products, op7_simhash, op8_packing, op9_chat, op10_warc)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_licenses, op3_language_model, op4_mixing, op5_lattice, op6_top_products, op7_simhash, op8_packing, op9_chat, op10_warc, op11_centroids)}
 SQL: dict[str, str] = {
     "op2_licenses": license_sql(),
     "op6_top_products": """
@@ -79,6 +84,7 @@ SQL: dict[str, str] = {
         FROM scored QUALIFY rank <= 20
     """,
     "op9_chat": CHAT_SQL,
+    "op11_centroids": cluster_sql(),
     "op4_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
