@@ -14,10 +14,12 @@ from soundledger.llm.language_model import score_texts
 from soundledger.llm.lattice import near_vectors
 from soundledger.llm.licenses import license_sql, scan_licenses
 from soundledger.llm.mixing import mix_plan
+from soundledger.llm.ngram_rules import quality_rules
 from soundledger.llm.packing import pack_documents
 from soundledger.llm.quality import score_documents, train
 from soundledger.llm.simhash import simhash_groups
 from soundledger.llm.topk import top_products
+from soundledger.llm.trie import TRIE_SQL, prefix_trie
 from soundledger.llm.warc import warc_round_trip
 from soundledger.session import scratch_path
 
@@ -69,7 +71,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_licenses, op3_language_model, op4_mixing, op5_lattice, op6_top_products, op7_simhash, op8_packing, op9_chat, op10_warc, op11_centroids)}
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_licenses, op3_language_model, op4_mixing, op5_lattice, op6_top_products, op7_simhash, op8_packing, op9_chat, op10_warc, op11_centroids, op12_trie, op13_ngram_rules)}
 SQL: dict[str, str] = {
     "op2_licenses": license_sql(),
     "op6_top_products": """
@@ -85,6 +95,7 @@ SQL: dict[str, str] = {
     """,
     "op9_chat": CHAT_SQL,
     "op11_centroids": cluster_sql(),
+    "op12_trie": TRIE_SQL,
     "op4_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
