@@ -8,8 +8,10 @@ from soundledger.plans import bindings as B
 from soundledger.plans.registry import query
 from soundledger.plans.window_queries import episodes_sql
 from soundledger.session import scratch_path
+from soundledger.sources import manifest_source as manifests
 from soundledger.sources import sinks
-from soundledger.streaming import folds, jobs
+from soundledger.sources.tables import table
+from soundledger.streaming import folds, jobs, silence
 
 HOUR = 3_600_000_000
 
@@ -134,6 +136,23 @@ def health_monitor(spark, sf):
     return out.select("device", "event_id", "kind")
 
 
+@query(
+    "t06_silent_devices",
+    f"""WITH d AS (SELECT DISTINCT c_custkey%1000 AS device, CAST(epoch_ms(TIMESTAMP '2024-01-01') AS BIGINT) AS ms FROM customer),
+      r AS (SELECT user_id%700 AS device, epoch_us(ts)//1000 AS ms FROM events),
+      a AS (SELECT * FROM d UNION SELECT r.device, r.ms FROM r LEFT JOIN d USING (device) WHERE d.ms IS NULL OR r.ms > d.ms),
+      g AS (SELECT *, lead(ms) OVER (PARTITION BY device ORDER BY ms) AS nxt FROM a),
+      k AS (SELECT device, ms + n * 7200000 AS ms, kind, nxt FROM g, (VALUES (1,'NORESP_FIRST'), (3,'OUTAGE_CONFIRMED'), (30,'OUTAGE_SUSTAINED')) v(n, kind))
+      SELECT device, ms * 1000 AS t_us, kind FROM k WHERE ms < coalesce(nxt, (SELECT epoch_us(max(ts) - INTERVAL 10 MINUTE)//1000 FROM events))
+      UNION ALL SELECT device, nxt * 1000, 'OUTAGE_RECOVERED' FROM g WHERE nxt - ms > 3 * 7200000""",
+)
+def silent_devices(spark, sf):
+    """Silence by timers: devices from the customer list, three in ten of which never send an event."""
+    rows = events(spark, sf).select((F.col("device_id") % 700).alias("device"), "ts")
+    listed = table(spark, sf, "customer").select((F.col("c_custkey") % 1000).alias("device"), F.lit("2024-01-01").cast("timestamp").alias("since"))
+    return jobs.run_to_table(silence.silence_stream(rows, listed, ["device"], "ts", 2 * 3_600_000, "EventTime"), scratch_path(spark, "silence"))
+
+
 @query("t07_ledger_stream", f"WITH {B.LEDGER}, {B.STATE} SELECT * FROM state")
 def ledger_stream(spark, sf):
     e = jobs.table_stream(spark, sf, "events")
@@ -160,6 +179,34 @@ def manifest_increment(spark, sf):
     return jobs.manifest_increment(r, 900_000_000, "g1", gen, failed=r.filter("o_orderkey % 10 = 1")).select("path", "mtime", "verify")
 
 
+#: Three snapshots of the manifest: the second has newer entries, the third is of a new generation.
+_NEWEST = "CASE WHEN o_orderkey%10=3 THEN mtime + 1000000000 ELSE mtime END"
+
+
+@query(
+    "t08_manifest_source",
+    f"""WITH {B.REMOTE}, a AS (SELECT path, mtime, o_orderkey, o_orderkey%10=1 AS bad FROM remote WHERE o_orderkey%4<>0),
+      b AS (SELECT path, {_NEWEST} AS mtime, o_orderkey FROM remote),
+      p1 AS (SELECT 0 AS pass, path, mtime, false AS verify, false AS retry, NOT bad AS ok FROM a),
+      p2 AS (SELECT 1, path, mtime, false, false, true FROM b WHERE mtime > (SELECT max(mtime) FROM a)
+             UNION ALL SELECT 1, path, mtime, false, true, true FROM a WHERE bad AND path NOT IN (SELECT path FROM b WHERE mtime > (SELECT max(mtime) FROM a))),
+      p3 AS (SELECT 2, path, mtime, true, false, true FROM b WHERE o_orderkey%3=0)
+      SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3""",
+)
+def manifest_source(spark, sf):
+    """Three passes over a manifest that grows and then starts a new generation; transfers of some paths fail in the first."""
+    r = B.remote(spark, sf)
+    newer = r.withColumn("mtime", F.when(F.col("o_orderkey") % 10 == 3, F.col("mtime") + 1_000_000_000).otherwise(F.col("mtime")))
+    root, path = scratch_path(spark, "manifest"), scratch_path(spark, "mirror")
+    name = F.regexp_extract("path", "([0-9]+)[.]wav$", 1).cast("bigint")
+    for number, (entries, generation) in enumerate([(r.filter("o_orderkey % 4 <> 0"), "g1"), (newer, "g1"), (newer.filter("o_orderkey % 3 = 0"), "g2")]):
+        manifests.publish_manifest(entries, root, generation)
+        fails = name % 10 == 1 if number == 0 else F.lit(False)
+        manifests.mirror_pass(spark, root, path, lambda rows, fails=fails: rows.withColumn("ok", ~fails))
+    done = spark.read.option("basePath", f"{path}/done").parquet(f"{path}/done")
+    return done.select(F.col("batch").alias("pass"), "path", "mtime", "verify", "retry", "ok")
+
+
 @query(
     "t09_fan_out",
     f"""WITH {B.CAP} SELECT 'alerts' AS consumer, CAST(count(*) AS BIGINT) AS n FROM cap WHERE s1>=0.5e0 UNION ALL SELECT 'levels', CAST(count(DISTINCT device_id) AS BIGINT) FROM cap UNION ALL SELECT 'log', CAST(count(*) AS BIGINT) FROM cap""",
