@@ -185,49 +185,122 @@ def smoothed_rate(df: DataFrame, keys: Sequence[str], time_us: str, tie: str, ke
     return out.drop(CHUNK)
 
 
+class PeakLinks:
+    """Which score replaces which while the held one decays, found without a step a row.
+
+    A score at row i is replaced by the first later v with v > score * decay ** (rows in between). In logarithms, with the
+    decay of i rows added, that is the first later entry above a fixed bound, which a tree of maxima finds for all rows at
+    once. Candidates are compared again as plain numbers, so that equal scores stay equal.
+    """
+
+    def __init__(self, scores: np.ndarray, decay: float) -> None:
+        self.v, self.decay, self.rate = scores.astype("f8"), decay, -np.log(decay)
+        n = len(self.v)
+        self.log = np.full(n, -np.inf)
+        positive = self.v > 0
+        self.log[positive] = np.log(self.v[positive])
+        self.lifted = self.log + self.rate * np.arange(n)
+        leaves = 1 << max(n - 1, 0).bit_length()
+        self.leaves, self.most = leaves, np.full(2 * leaves, -np.inf)
+        self.most[leaves : leaves + n] = self.lifted
+        width = leaves
+        while width > 1:
+            width //= 2
+            self.most[width : 2 * width] = self.most[2 * width : 4 * width].reshape(width, 2).max(axis=1)
+        at = np.arange(n)
+        self.next = self._replaced_by(at + 1, self.lifted + self.rate, lambda rows, j: self.v[rows] * decay ** (j - 1 - rows))
+
+    def _above(self, start: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """First row from ``start`` on that is above ``bound`` or as good as equal to it; the number of rows if none is."""
+        n = len(self.v)
+        bound = bound - 1e-9
+        node = np.minimum(start, self.leaves - 1) + self.leaves
+        found = start < n
+        done = ~found | (self.most[node] > bound)
+        # Up until a right neighbour has one, then down to the first row that does.
+        while not done.all():
+            right = ~done & (node % 2 == 0) & (self.most[np.minimum(node + 1, 2 * self.leaves - 1)] > bound)
+            top = ~done & ~right & (node <= 1)
+            found &= ~top
+            node = np.where(right, node + 1, np.where(done, node, np.maximum(node // 2, 1)))
+            done |= right | top
+        while True:
+            down = found & (node < self.leaves)
+            if not down.any():
+                break
+            left = self.most[np.where(down, 2 * node, 0)] > bound
+            node = np.where(down, 2 * node + ~left, node)
+        return np.where(found, node - self.leaves, n)
+
+    def _replaced_by(self, start: np.ndarray, bound: np.ndarray, held: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        n = len(self.v)
+        out = np.full(len(start), n)
+        todo = np.flatnonzero(bound < np.inf)
+        while len(todo):
+            j = self._above(start[todo], bound[todo])
+            inside = j < n
+            ok = np.zeros(len(todo), bool)
+            ok[inside] = self.v[j[inside]] > held(todo[inside], j[inside])
+            out[todo[ok]] = j[ok]
+            again = inside & ~ok
+            todo, start = todo[again], start.copy()
+            start[todo] = j[again] + 1
+        return out
+
+    def first(self, held: float) -> int:
+        """First row that replaces a peak held before row 0."""
+        bound = np.array([np.log(held) if held > 0 else -np.inf])
+        if held <= 0:
+            positive = np.flatnonzero(self.v > held)
+            return int(positive[0]) if len(positive) else len(self.v)
+        return int(self._replaced_by(np.zeros(1, "i8"), bound, lambda _, j: held * self.decay**j)[0])
+
+    def chain(self, first: int) -> np.ndarray:
+        """Rows of the chain of replacements that begins at ``first``; links are doubled until none is left."""
+        jump = np.append(self.next, len(self.v))
+        rows = np.array([first], "i8") if first < len(self.v) else np.zeros(0, "i8")
+        while len(rows) and jump[rows].min() < len(self.v):
+            rows = np.unique(np.concatenate([rows, jump[rows][jump[rows] < len(self.v)]]))
+            jump = jump[jump]
+        return rows
+
+    def ends(self) -> np.ndarray:
+        """Last row of the chain that begins at each row."""
+        last, jump = np.arange(len(self.v)), np.append(self.next, len(self.v))
+        while True:
+            alive = np.flatnonzero(jump[:-1] < len(self.v))
+            if not len(alive):
+                return last
+            last[alive] = last[jump[alive]]
+            jump = jump[jump]
+
+
 def hold_peak(x: np.ndarray, held: float, decay: float) -> np.ndarray:
     """A larger score replaces the held peak, any other decays it."""
-    out = np.empty(len(x))
-    for i, v in enumerate(x.tolist()):
-        held = v if v > held else decay * held
-        out[i] = held
-    return out
+    if not len(x):
+        return np.zeros(0)
+    links = PeakLinks(x, decay)
+    rows = links.chain(links.first(held))
+    at = np.arange(len(x))
+    newest = np.full(len(x), -1)
+    newest[rows] = rows
+    newest = np.maximum.accumulate(newest)
+    return np.where(newest >= 0, links.v[newest] * decay ** np.maximum(at - newest, 0), held * decay ** (at + 1))
 
 
 def peak_exits(x: np.ndarray, decay: float) -> list[tuple[float, float]]:
-    """What a chunk makes of each entry peak.
+    """What a chunk makes of each entry peak, in logarithms.
 
-    Pairs (bound, exit): an entry peak below the bound is first replaced where
-    that bound arises, and from there the exit no longer depends on it. The
-    last pair has an infinite bound and a negative exit: never replaced.
+    Pairs (bound, exit): an entry peak below the bound is first replaced where that bound arises, and from there the exit
+    no longer depends on it. The last pair has an infinite bound and no exit: never replaced. A bound that rises no more
+    than rounding does is left to the one before it.
     """
-    values = x.tolist()
-    firsts, best, scale = [], -np.inf, 1.0
-    for i, v in enumerate(values):
-        bound = v / scale
-        if bound > best:
-            firsts.append((i, bound))
-            best = bound
-        scale *= decay
-        if scale < 1e-290:
-            break
-    exits: dict[int, float] = {}
-    pairs = []
-    for i, bound in firsts:
-        path, held, end = [i], values[i], None
-        for j in range(i + 1, len(values)):
-            if values[j] > held:
-                end = exits.get(j)
-                if end is not None:
-                    break
-                held = values[j]
-                path.append(j)
-            else:
-                held *= decay
-        end = held if end is None else end
-        exits.update(dict.fromkeys(path, end))
-        pairs.append((bound, end))
-    return [*pairs, (np.inf, -1.0)]
+    links = PeakLinks(x, decay)
+    best = np.maximum.accumulate(np.append(-np.inf, links.lifted[:-1]))
+    rows = np.flatnonzero(links.lifted > best)
+    end = links.ends()[rows]
+    exits = links.log[end] - links.rate * (len(x) - 1 - end)
+    return [*zip(links.lifted[rows].tolist(), exits.tolist(), strict=True), (np.inf, np.nan)]
 
 
 def decayed_peak(
@@ -243,13 +316,13 @@ def decayed_peak(
         return {"n": np.full(len(bounds), len(g[score])), "bound": bounds, "exit_peak": exits}
 
     def walk(g: Group) -> Group:
-        held, chunks, seen = 0.0, [], []
+        held, chunks, seen = -np.inf, [], []
         starts = np.flatnonzero(np.append(True, g[CHUNK][1:] != g[CHUNK][:-1]))
         for a, b in zip(starts, np.append(starts[1:], len(g[CHUNK]))):
             chunks.append(g[CHUNK][a])
-            seen.append(held)
+            seen.append(float(np.exp(held)))
             i = a + int(np.searchsorted(g["bound"][a:b], held, side="right"))
-            held = g["exit_peak"][i] if g["exit_peak"][i] >= 0 else held * decay ** int(g["n"][a])
+            held = held + np.log(decay) * int(g["n"][a]) if np.isnan(g["exit_peak"][i]) else g["exit_peak"][i]
         return {CHUNK: np.array(chunks), "held": np.array(seen)}
 
     def replay(g: Group) -> Group:

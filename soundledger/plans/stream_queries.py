@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from soundledger.plans import bindings as B
 from soundledger.plans.registry import query
-from soundledger.plans.window_queries import episodes_sql
+from soundledger.plans.window_queries import EPISODES, episodes_sql
 from soundledger.session import scratch_path
 from soundledger.sources import manifest_source as manifests
 from soundledger.sources import sinks
 from soundledger.sources.tables import table
-from soundledger.streaming import folds, jobs, silence
+from soundledger.streaming import adaptive, folds, jobs, silence
 
 HOUR = 3_600_000_000
 
@@ -101,6 +101,47 @@ def trigger_stream(spark, sf):
     return out.groupBy("device").agg(F.count(F.lit(1)).alias("fires"), F.max("fire_us").alias("last_fire_us"))
 
 
+def _running_floor(device: str, gain: str) -> str:
+    """Rows of captures with the noise floor as of each of them, in SQL."""
+    upto = ", ".join(f"sum(CASE WHEN bin<={i} THEN 1 ELSE 0 END) OVER w AS u{i}" for i in range(32))
+    pick = lambda p: "pow(2e0, 5e0 + 9.5e0*(CASE " + " ".join(f"WHEN u{i}>=floor(n*{p}) THEN {i}" for i in range(31)) + " ELSE 31 END + 0.5e0)/32)"
+    return f"""{B.CAP}, lv AS (SELECT {device} AS device, t_us, event_id, s1, rms*{gain} AS rms, log2(greatest(rms*{gain},1e0)) AS x FROM cap),
+      bn AS (SELECT *, CASE WHEN x<5 THEN 0 WHEN x>=14.5 THEN 31 ELSE CAST(floor((x-5e0)*32/9.5e0) AS INTEGER) END AS bin FROM lv),
+      un AS (SELECT *, count(*) OVER w AS n, min(t_us) OVER w AS since_us, {upto} FROM bn WINDOW w AS (PARTITION BY device ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING)),
+      fl AS (SELECT device, t_us, event_id, s1, rms, n, since_us, {pick("0.5e0")} AS p50, {pick("0.95e0")} AS p95 FROM un)"""
+
+
+@query(
+    "t03_adaptive_detector",
+    f"""WITH {_running_floor("device_id%5", "5")}, a AS (SELECT device, t_us, event_id,
+        s1 >= 0.3e0 + CASE WHEN t_us-since_us < 300000000 OR n<64 OR p95<=500e0 THEN 0e0 WHEN p95>=5000e0 THEN 0.1e0 ELSE 0.1e0*(p95-500e0)/(5000e0-500e0) END AS hit FROM fl),
+      {EPISODES.format(streak=2, hold=2 * HOUR)}, ep AS (SELECT device, start_us, end_us FROM f WHERE start_us IS NOT NULL)
+      SELECT device, start_us AS t_us, 'crying' AS state FROM ep UNION ALL SELECT device, end_us, 'idle' FROM ep WHERE end_us IS NOT NULL""",
+)
+def adaptive_detector(spark, sf):
+    """The detector on the noise floor: two keyed operators in a chain, the threshold moving with every row."""
+    rows = events(spark, sf).select((F.col("device_id") % 5).alias("device"), "t_us", "event_id", "s1", (F.col("rms") * 5).alias("rms"))
+    return jobs.run_to_table(adaptive.adaptive_detector_stream(rows, ["device"], "t_us", "event_id", "s1", "rms", 0.3, 0.1, 2, 2 * HOUR, ttl_ms=None), scratch_path(spark, "adaptive"))
+
+
+@query(
+    "t05_adaptive_trigger",
+    f"""WITH {_running_floor("device_id%50", "1")}, l AS (SELECT device, list({{'t': t_us, 'loud': rms > greatest(3*p50, 200e0), 'since': CAST(-1 AS BIGINT), 'fired': CAST(-1 AS BIGINT), 'n': CAST(0 AS BIGINT)}} ORDER BY t_us, event_id) AS xs, min(t_us) AS t0 FROM fl GROUP BY 1),
+      f AS (SELECT device, list_reduce(list_prepend({{'t': t0, 'loud': false, 'since': CAST(-1 AS BIGINT), 'fired': CAST(-1 AS BIGINT), 'n': CAST(0 AS BIGINT)}}, xs), lambda a, r:
+        CASE WHEN r.t - t0 < {24 * HOUR} OR (a.fired>=0 AND r.t-a.fired < {4 * HOUR}) OR NOT r.loud THEN {{'t': r.t, 'loud': r.loud, 'since': CAST(-1 AS BIGINT), 'fired': a.fired, 'n': a.n}}
+        WHEN a.since<0 THEN {{'t': r.t, 'loud': r.loud, 'since': r.t, 'fired': a.fired, 'n': a.n}}
+        WHEN r.t-a.since < {HOUR // 6} THEN {{'t': r.t, 'loud': r.loud, 'since': a.since, 'fired': a.fired, 'n': a.n}}
+        ELSE {{'t': r.t, 'loud': r.loud, 'since': CAST(-1 AS BIGINT), 'fired': r.t, 'n': a.n+1}} END) AS s FROM l)
+      SELECT device, s.n AS fires, s.fired AS last_fire_us FROM f WHERE s.n>0""",
+)
+def adaptive_trigger(spark, sf):
+    """The sustained trigger against the running median of its own device."""
+    rows = events(spark, sf).select((F.col("device_id") % 50).alias("device"), "t_us", "event_id", "rms")
+    fires = adaptive.adaptive_trigger_stream(rows, ["device"], "t_us", "event_id", "rms", 3.0, 200.0, HOUR // 6, 4 * HOUR, 24 * HOUR, ttl_ms=None)
+    out = jobs.run_to_table(fires, scratch_path(spark, "adaptive-triggers"))
+    return out.groupBy("device").agg(F.count(F.lit(1)).alias("fires"), F.max("fire_us").alias("last_fire_us"))
+
+
 MONITOR = f"""{B.CAP}, p AS (SELECT device_id AS device, t_us, event_id, k>=50 AS answered, k>=50 AND k%17=3 AS parse_error, event_id%500 AS uptime, CASE WHEN cls='view' THEN 'idle' WHEN cls='click' THEN 'LISTEN' ELSE cls END AS state,
    k/100e0 AS peak, (k*7)%20 AS alerts, (event_id%1000)*3 AS overruns, (event_id%9)//2 AS counter, CASE WHEN event_id%6=0 THEN NULL ELSE k END AS captures FROM cap),
  q AS (SELECT *, row_number() OVER w AS rn FROM p WINDOW w AS (PARTITION BY device ORDER BY t_us, event_id)),

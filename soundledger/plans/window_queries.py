@@ -33,14 +33,17 @@ def largest_copy(spark, sf):
     return out.select("name", "session_id", "size")
 
 
-def episodes_sql(threshold: str, streak: int, hold: int, device: str = "hour%6") -> str:
-    return f"""WITH {B.CAP}, a AS (SELECT {device} AS device, t_us, event_id, s1>={threshold} AS hit FROM cap),
-      b AS (SELECT *, max(CASE WHEN hit THEN t_us END) OVER w AS lp, row_number() OVER w AS rn FROM a WINDOW w AS (PARTITION BY device ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING)),
+#: Episodes from rows ``a`` (device, t_us, event_id, hit).
+EPISODES = """b AS (SELECT *, max(CASE WHEN hit THEN t_us END) OVER w AS lp, row_number() OVER w AS rn FROM a WINDOW w AS (PARTITION BY device ORDER BY t_us, event_id ROWS UNBOUNDED PRECEDING)),
       c AS (SELECT *, rn - coalesce(max(CASE WHEN NOT hit THEN rn END) OVER w, 0) AS streak, coalesce(NOT hit AND t_us>=lp+{hold}, false) AS expired FROM b
             WINDOW w AS (PARTITION BY device ORDER BY rn ROWS UNBOUNDED PRECEDING)),
       d AS (SELECT *, sum(CASE WHEN expired THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY rn ROWS UNBOUNDED PRECEDING) AS seg FROM c),
       e AS (SELECT device, seg, min(t_us) AS seg_first, min(CASE WHEN hit AND streak>={streak} THEN t_us END) AS start_us FROM d GROUP BY 1,2),
-      f AS (SELECT *, lead(seg_first) OVER (PARTITION BY device ORDER BY seg) AS end_us FROM e)
+      f AS (SELECT *, lead(seg_first) OVER (PARTITION BY device ORDER BY seg) AS end_us FROM e)"""
+
+
+def episodes_sql(threshold: str, streak: int, hold: int, device: str = "hour%6") -> str:
+    return f"""WITH {B.CAP}, a AS (SELECT {device} AS device, t_us, event_id, s1>={threshold} AS hit FROM cap), {EPISODES.format(streak=streak, hold=hold)}
       SELECT device, start_us, end_us FROM f WHERE start_us IS NOT NULL"""
 
 

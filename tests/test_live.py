@@ -87,3 +87,83 @@ def test_manifest_stream_restarts_where_it_stopped(spark, tmp_path):
     publish([], "g2")
     run()
     assert len(done()) == 6
+
+
+def slow_peaks(x, held, decay):
+    out = []
+    for v in x:
+        held = v if v > held else decay * held
+        out.append(held)
+    return out
+
+
+def test_decayed_peaks_without_steps():
+    import numpy as np
+
+    from soundledger.operators.folds import hold_peak, peak_exits
+
+    rng = np.random.default_rng(4)
+    for case in range(400):
+        n = int(rng.integers(1, 90))
+        x = rng.random(n) * (rng.random(n) < 0.6) if case % 2 else rng.choice([0.0, 0.5, 0.475, 0.45125, 1.0], n)
+        held = float(rng.choice([0.0, 0.5, 1e-200, rng.random()]))
+        want = slow_peaks(x.tolist(), held, 0.95)
+        assert np.allclose(hold_peak(x, held, 0.95), want, rtol=1e-12, atol=0), (x, held)
+        pairs = peak_exits(x, 0.95)
+        log = np.log(held) if held else -np.inf
+        exit_log = next(e for b, e in pairs if log < b)
+        exit_log = log + n * np.log(0.95) if np.isnan(exit_log) else exit_log
+        assert np.isclose(np.exp(exit_log), want[-1], rtol=1e-9)
+    x = np.r_[np.zeros(14_000), 0.5]
+    assert np.allclose(hold_peak(x, 1.0, 0.95)[[0, -1]], [0.95, 0.5]) and len(hold_peak(np.full(300_000, 0.3), 0.0, 0.95)) == 300_000
+
+
+def test_peak_after_many_zeros(spark):
+    """A chunk that begins with more zeros than a double can decay through still passes on the score at its end."""
+    from soundledger.operators import folds
+
+    rows = [(1, 0, 1.0)] + [(1, 1_000_000 + i, 0.0) for i in range(14_000)] + [(1, 1_014_000, 0.5), (1, 2_000_000, 0.1)]
+    df = spark.createDataFrame([(d, t, t, v) for d, t, v in rows], "device BIGINT, t BIGINT, id BIGINT, v DOUBLE")
+    got = {r["t"]: r["peak"] for r in folds.decayed_peak(df, ["device"], "t", "id", "v", base_us=1_000_000, target_rows=100_000).filter("t in (0, 1014000, 2000000)").collect()}
+    assert got == pytest.approx({0: 1.0, 1_014_000: 0.5, 2_000_000: 0.475})
+
+
+def slow_floor(rows):
+    """Level histogram with halving, row by row: p50 and p95 after each."""
+    from soundledger.streaming.folds import HALVE_ABOVE
+
+    hist, total, out = [0] * 32, 0, []
+    for b in rows:
+        hist[b] += 1
+        total += 1
+        if total > HALVE_ABOVE:
+            hist, total = [h >> 1 for h in hist], total >> 1
+        found = []
+        for p in (0.5, 0.95):
+            upto = 0
+            for i in range(32):
+                upto += hist[i]
+                if upto >= int(total * p):
+                    break
+            found.append(2 ** (5 + 9.5 * (i + 0.5) / 32))
+        out.append((total, *found))
+    return out
+
+
+def test_running_floor_in_any_batches():
+    import numpy as np
+    import pandas as pd
+
+    from soundledger.streaming.adaptive import running_floor_rule
+
+    rng = np.random.default_rng(8)
+    for n, cuts in ((70_000, [20_000, 20_001, 66_000]), (500, [1, 2, 250])):
+        b = np.clip(rng.normal(12, 4, n), 0, 31).astype(int)
+        frame = pd.DataFrame({"t": np.arange(n), "id": np.arange(n), "level_bin": b, "s": 1.0})
+        state, got = ([0] * 32, 0, -1), []
+        for part in np.split(np.arange(n), cuts):
+            state, out = running_floor_rule("t", "id", ["s"])(frame.iloc[part].reset_index(drop=True), state)
+            got.append(out)
+        got = pd.concat(got)
+        want = np.array(slow_floor(b.tolist()))
+        assert (got["n"].to_numpy() == want[:, 0]).all() and np.allclose(got[["p50", "p95"]].to_numpy(), want[:, 1:])
