@@ -275,6 +275,18 @@ class PeakLinks:
             jump = jump[jump]
 
 
+#: Steps that are multiplied one by one, as a device does; by then a score has lost all digits that are looked at.
+EXACT_STEPS = 256
+
+
+def decayed(v: np.ndarray, steps: np.ndarray, decay: float) -> np.ndarray:
+    """Scores after as many decays each."""
+    out, steps = np.array(v, "f8"), np.asarray(steps)
+    for step in range(1, min(int(steps.max(initial=0)), EXACT_STEPS) + 1):
+        out[steps >= step] *= decay
+    return out * decay ** np.maximum(steps - EXACT_STEPS, 0)
+
+
 def hold_peak(x: np.ndarray, held: float, decay: float) -> np.ndarray:
     """A larger score replaces the held peak, any other decays it."""
     if not len(x):
@@ -285,22 +297,21 @@ def hold_peak(x: np.ndarray, held: float, decay: float) -> np.ndarray:
     newest = np.full(len(x), -1)
     newest[rows] = rows
     newest = np.maximum.accumulate(newest)
-    return np.where(newest >= 0, links.v[newest] * decay ** np.maximum(at - newest, 0), held * decay ** (at + 1))
+    return decayed(np.where(newest >= 0, links.v[newest], held), at - newest, decay)
 
 
-def peak_exits(x: np.ndarray, decay: float) -> list[tuple[float, float]]:
-    """What a chunk makes of each entry peak, in logarithms.
+def peak_exits(x: np.ndarray, decay: float) -> list[tuple[float, float, int]]:
+    """What a chunk makes of each entry peak.
 
-    Pairs (bound, exit): an entry peak below the bound is first replaced where that bound arises, and from there the exit
-    no longer depends on it. The last pair has an infinite bound and no exit: never replaced. A bound that rises no more
-    than rounding does is left to the one before it.
+    Rows (bound, exit score, its decays): an entry peak whose logarithm is below the bound is first replaced where that
+    bound arises, and from there the exit no longer depends on it. The last row has an infinite bound and a negative score:
+    never replaced.
     """
     links = PeakLinks(x, decay)
     best = np.maximum.accumulate(np.append(-np.inf, links.lifted[:-1]))
     rows = np.flatnonzero(links.lifted > best)
     end = links.ends()[rows]
-    exits = links.log[end] - links.rate * (len(x) - 1 - end)
-    return [*zip(links.lifted[rows].tolist(), exits.tolist(), strict=True), (np.inf, np.nan)]
+    return [*zip(links.lifted[rows].tolist(), links.v[end].tolist(), (len(x) - 1 - end).tolist(), strict=True), (np.inf, -1.0, len(x))]
 
 
 def decayed_peak(
@@ -312,23 +323,26 @@ def decayed_peak(
     cell = [*keys, CHUNK]
 
     def table(g: Group) -> Group:
-        bounds, exits = map(np.array, zip(*peak_exits(g[score], decay)))
-        return {"n": np.full(len(bounds), len(g[score])), "bound": bounds, "exit_peak": exits}
+        bounds, exits, steps = map(np.array, zip(*peak_exits(g[score], decay)))
+        return {"bound": bounds, "exit_peak": exits, "steps": steps}
 
     def walk(g: Group) -> Group:
-        held, chunks, seen = -np.inf, [], []
+        held, steps, chunks, seen, since = 0.0, 0, [], [], []
         starts = np.flatnonzero(np.append(True, g[CHUNK][1:] != g[CHUNK][:-1]))
         for a, b in zip(starts, np.append(starts[1:], len(g[CHUNK]))):
             chunks.append(g[CHUNK][a])
-            seen.append(float(np.exp(held)))
-            i = a + int(np.searchsorted(g["bound"][a:b], held, side="right"))
-            held = held + np.log(decay) * int(g["n"][a]) if np.isnan(g["exit_peak"][i]) else g["exit_peak"][i]
-        return {CHUNK: np.array(chunks), "held": np.array(seen)}
+            seen.append(held)
+            since.append(steps)
+            entry = np.log(held) + np.log(decay) * steps if held > 0 else -np.inf
+            i = a + int(np.searchsorted(g["bound"][a:b], entry, side="right"))
+            again = g["exit_peak"][i] < 0
+            held, steps = (held, steps + int(g["steps"][i])) if again else (float(g["exit_peak"][i]), int(g["steps"][i]))
+        return {CHUNK: np.array(chunks), "held": np.array(seen), "since": np.array(since)}
 
     def replay(g: Group) -> Group:
-        return {time_us: g[time_us], tie: g[tie], "peak": hold_peak(g[score], g["held"][0], decay)}
+        return {time_us: g[time_us], tie: g[tie], "peak": hold_peak(g[score], decayed(g["held"][:1], g["since"][:1], decay)[0], decay)}
 
-    shapes = map_groups(rows, cell, order, table, [_long("n"), _double("bound"), _double("exit_peak")])
-    carry = map_groups(shapes, keys, [CHUNK, "bound"], walk, [rows.schema[CHUNK], _double("held")])
+    shapes = map_groups(rows, cell, order, table, [_double("bound"), _double("exit_peak"), _long("steps")])
+    carry = map_groups(shapes, keys, [CHUNK, "bound"], walk, [rows.schema[CHUNK], _double("held"), _long("since")])
     out = map_groups(with_entry(rows, carry, cell), cell, order, replay, [*[rows.schema[c] for c in order], _double("peak")])
     return out.drop(CHUNK)

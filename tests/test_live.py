@@ -100,7 +100,7 @@ def slow_peaks(x, held, decay):
 def test_decayed_peaks_without_steps():
     import numpy as np
 
-    from soundledger.operators.folds import hold_peak, peak_exits
+    from soundledger.operators.folds import decayed, hold_peak, peak_exits
 
     rng = np.random.default_rng(4)
     for case in range(400):
@@ -111,9 +111,9 @@ def test_decayed_peaks_without_steps():
         assert np.allclose(hold_peak(x, held, 0.95), want, rtol=1e-12, atol=0), (x, held)
         pairs = peak_exits(x, 0.95)
         log = np.log(held) if held else -np.inf
-        exit_log = next(e for b, e in pairs if log < b)
-        exit_log = log + n * np.log(0.95) if np.isnan(exit_log) else exit_log
-        assert np.isclose(np.exp(exit_log), want[-1], rtol=1e-9)
+        score, steps = next((e, s) for b, e, s in pairs if log < b)
+        score = held if score < 0 else score
+        assert np.isclose(decayed(np.array([score]), np.array([steps]), 0.95)[0], want[-1], rtol=1e-9, atol=0)
     x = np.r_[np.zeros(14_000), 0.5]
     assert np.allclose(hold_peak(x, 1.0, 0.95)[[0, -1]], [0.95, 0.5]) and len(hold_peak(np.full(300_000, 0.3), 0.0, 0.95)) == 300_000
 
