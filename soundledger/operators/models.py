@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soundledger.operators.chunks import running, with_chunks
+from soundledger.operators.chunks import number_names, running, with_chunks
+from soundledger.session import shared_dir
 
 # Feature names of the two models and the sub-type names by rising pitch.
 CLASSIFIER_FEATURES = [
@@ -227,20 +228,169 @@ def fit_subtypes(
     return Subtypes(scaling, tuple(map(tuple, units)), tuple(names), float(cost.min()))
 
 
+#: Rows and models of one block of the matrix of all rows under all models.
+ROW_BLOCK, MODEL_BLOCK = 4096, 256
+
+
+def _row_blocks(rows: DataFrame, features: str, label: str, session: str, shift: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """``(x, y, names, codes)``: matrices of scaled features with their labels, and sessions as numbers into names."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), ROW_BLOCK):
+                part = pdf.iloc[i : i + ROW_BLOCK]
+                x = (np.stack(part["x"].to_numpy()).astype("f8") - shift) / scale
+                codes, names = pd.factorize(part["s"])
+                yield pd.DataFrame({"x": [x.tobytes()], "y": [part["y"].to_numpy("f8").tobytes()], "names": [list(names)], "codes": [codes.astype("i8").tobytes()]})
+
+    picked = rows.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y"), F.col(session).cast("string").alias("s"))
+    return picked.mapInPandas(work, "x binary, y binary, names array<string>, codes binary")
+
+
+def _newton_sums(pairs: DataFrame, dim: int) -> DataFrame:
+    """``(block, model, sums)``: gradient and Gram sums of each model over all rows but its own session's, a row a task and block."""
+    width = 1 + dim + 1 + dim + dim * dim
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[bytes, list[str], np.ndarray]] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(b, m, names, s.tobytes()) for b, (m, names, s) in held.items()], columns=["block", "model", "sessions", "sums"])
+            held.clear()
+            return out
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                model = np.frombuffer(r.model, "f8").reshape(len(r.sessions), -1)
+                x = np.frombuffer(r.x, "f8").reshape(-1, dim)
+                y = np.frombuffer(r.y, "f8")[:, None]
+                place = {name: i for i, name in enumerate(r.names)}
+                mine = np.array([place.get(name, -1) for name in r.sessions])
+                offset, slope, plus, minus = model[:, 0], model[:, 1 : 1 + dim], model[:, 1 + dim], model[:, 2 + dim]
+                p = 1 / (1 + np.exp(-(x @ slope.T + offset)))
+                weight = np.where(y == 1, plus, minus) * (np.frombuffer(r.codes, "i8")[:, None] != mine)
+                off, gram = weight * (p - y), weight * p * (1 - p)
+                outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+                sums = np.concatenate([off.sum(axis=0)[:, None], off.T @ x, gram.sum(axis=0)[:, None], gram.T @ x, gram.T @ outer], axis=1)
+                if r.block in held:
+                    sums = sums + held[r.block][2]
+                held[r.block] = (r.model, list(r.sessions), sums)
+                if len(held) * MODEL_BLOCK * width > 1 << 24:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return pairs.mapInPandas(work, "block bigint, model binary, sessions array<string>, sums binary")
+
+
+def _newton_step(sums: DataFrame, dim: int) -> DataFrame:
+    """``(block, sessions, model, step)``: each model moved by one Newton step; ``step`` is the largest move of the block."""
+
+    def moved(model: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, float]:
+        out, far = model.copy(), 0.0
+        for k in range(len(model)):
+            mean, std = model[k, 3 + dim : 3 + 2 * dim], model[k, 3 + 2 * dim :]
+            g0, g1 = total[k, 0], total[k, 1 : 1 + dim]
+            h0, h1, h2 = total[k, 1 + dim], total[k, 2 + dim : 2 + 2 * dim], total[k, 2 + 2 * dim :].reshape(dim, dim)
+            # Sums over the rows' features, turned to the model's own scaling; the penalty is there.
+            weights = model[k, 1 : 1 + dim] * std
+            grad = np.r_[g0, (g1 - g0 * mean) / std + weights]
+            cross = (h1 - h0 * mean) / std
+            inner = (h2 - np.outer(mean, h1) - np.outer(h1, mean) + h0 * np.outer(mean, mean)) / np.outer(std, std) + np.eye(dim)
+            step = np.linalg.solve(np.block([[np.array([[h0]]), cross[None, :]], [cross[:, None], inner]]), grad)
+            level = model[k, 0] + (weights / std) @ mean
+            weights = weights - step[1:]
+            out[k, 1 : 1 + dim] = weights / std
+            out[k, 0] = level - step[0] - (weights / std) @ mean
+            far = max(far, float(np.abs(step).max()))
+        return out, far
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, model, names, total = None, None, None, None
+
+        def done() -> pd.DataFrame:
+            new, step = moved(np.frombuffer(model, "f8").reshape(len(names), -1), total)
+            return pd.DataFrame({"block": [block], "sessions": [names], "model": [new.tobytes()], "step": [step]})
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                sums = np.frombuffer(r.sums, "f8").reshape(len(r.sessions), -1)
+                if r.block == block:
+                    total = total + sums
+                    continue
+                if block is not None:
+                    yield done()
+                block, model, names, total = r.block, r.model, list(r.sessions), sums
+        if block is not None:
+            yield done()
+
+    placed = sums.repartition("block").sortWithinPartitions("block")
+    return placed.mapInPandas(work, "block bigint, sessions array<string>, model binary, step double")
+
+
+def fit_held_out(df: DataFrame, session: str, features: str, label: str, max_iter: int = 50, tol: float = 1e-9) -> DataFrame:
+    """``(session, slope, offset)``: for each session the score fitted to all other sessions, with their own scaling and balance.
+
+    All models move together by Newton steps. A step multiplies blocks of rows with blocks of models; a model's gradient and
+    Gram sums leave its own session out, and tasks sum before the shuffle. The number of passes does not depend on the
+    number of sessions, models stay in tables, and only the size of the last step comes back.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    rows = df.filter(F.col(features).isNotNull() & F.col(label).isNotNull() & F.col(session).isNotNull())
+    overall, _ = fit_scaling(rows, features)
+    shift, scale = np.array(overall.mean), np.array(overall.std)
+    dim = len(shift)
+    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    z = F.transform(features, lambda x, i: (x - F.get(lit(shift), i)) / F.get(lit(scale), i))
+    y = F.col(label).cast("double")
+    at = rows.select(F.col(session).cast("string").alias("s"), y.alias("y"), z.alias("z"))
+    sums = lambda over: [F.count("*").alias(f"n{over}"), F.sum("y").alias(f"y{over}"), *[F.sum(F.col("z")[i]).alias(f"a{i}{over}") for i in range(dim)], *[F.sum(F.col("z")[i] * F.col("z")[i]).alias(f"b{i}{over}") for i in range(dim)]]
+    own = at.groupBy("s").agg(*sums("")).checkpoint()
+    total = own.agg(*[F.sum(c).alias(f"{c}t") for c in own.columns if c != "s"])
+    left = own.crossJoin(total)
+    rest = lambda c: F.col(f"{c}t") - F.col(c)
+    n, pos = rest("n"), rest("y")
+    if not left.filter((pos <= 0) | (pos >= n)).isEmpty():
+        raise ValueError("both classes are needed to fit a score")
+    means = [rest(f"a{i}") / n for i in range(dim)]
+    stds = [F.sqrt(F.greatest(rest(f"b{i}") / n - means[i] * means[i], F.lit(0.0))) for i in range(dim)]
+    zero = F.lit(0.0)
+    # A model: offset, slopes, weights of both classes, means and deviations.
+    start = F.array(*[zero] * (1 + dim), n / (2.0 * pos), n / (2.0 * (n - pos)), *means, *[F.when(d < 1e-12, 1.0).otherwise(d) for d in stds])
+    numbered = number_names(left.select("s", start.alias("m")), "s", "place")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "sessions": [pdf["s"].tolist()], "model": [np.stack(pdf["m"].to_numpy()).tobytes()]})
+
+    grouped = numbered.select(F.expr(f"place div {MODEL_BLOCK}").alias("block"), "s", "m").groupBy("block").applyInPandas(pack, "block bigint, sessions array<string>, model binary")
+    models = grouped.checkpoint()
+    blocks = _row_blocks(rows, features, label, session, shift, scale).checkpoint()
+    for _ in range(max_iter):
+        pairs = blocks.crossJoin(models)
+        moved = _newton_step(_newton_sums(pairs, dim), dim).checkpoint()
+        far = moved.agg(F.max("step")).first()[0]
+        models = moved.drop("step")
+        if far is None or far < tol:
+            break
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                model = np.frombuffer(r.model, "f8").reshape(len(r.sessions), -1)
+                slope = model[:, 1 : 1 + dim] / scale
+                yield pd.DataFrame({"s": list(r.sessions), "slope": slope.tolist(), "offset": model[:, 0] - slope @ shift})
+
+    kind = df.schema[session].dataType
+    return models.mapInPandas(unpack, "s string, slope array<double>, offset double").select(F.col("s").cast(kind).alias(session), "slope", "offset")
+
+
 def hold_one_out(df: DataFrame, session: str, features: str, label: str) -> DataFrame:
-    """Every row scored by a model that never saw its session. One fit a session: group sessions first if there are very many."""
+    """Every row scored by a model that never saw its session."""
     rows = df.filter(F.col(features).isNotNull() & F.col(label).isNotNull())
-    sessions = [r[0] for r in rows.select(session).distinct().collect()]
-    fits = []
-    for s in sorted(sessions):
-        m = fit_logistic(rows.filter(F.col(session) != s), features, label)
-        slope = [float(w / d) for w, d in zip(m.weights, m.scaling.std)]
-        fits.append((s, slope, m.intercept - float(np.dot(slope, m.scaling.mean))))
-    # One row per session: all rows are scored in a single pass, each with its session's model.
-    kind = df.schema[session].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(fits, f"`{session}` {kind}, _slope ARRAY<DOUBLE>, _offset DOUBLE")
+    table = fit_held_out(rows, session, features, label).withColumnsRenamed({"slope": "_slope", "offset": "_offset"})
     logit = F.aggregate(F.zip_with(features, "_slope", lambda a, b: a * b), F.col("_offset"), lambda acc, x: acc + x)
-    scored = rows.join(F.broadcast(table), session)
+    scored = rows.join(table, session)
     return scored.withColumn("prob", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).drop("_slope", "_offset")
 
 

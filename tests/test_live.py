@@ -167,3 +167,37 @@ def test_running_floor_in_any_batches():
         got = pd.concat(got)
         want = np.array(slow_floor(b.tolist()))
         assert (got["n"].to_numpy() == want[:, 0]).all() and np.allclose(got[["p50", "p95"]].to_numpy(), want[:, 1:])
+
+
+def test_held_out_models_equal_separate_fits(spark, monkeypatch):
+    import numpy as np
+
+    from soundledger.operators import models
+
+    monkeypatch.setattr(models, "ROW_BLOCK", 37)
+    rng = np.random.default_rng(5)
+    n, sessions = 400, 9
+    x = rng.normal(size=(n, 4)) * [1, 50, 0.01, 3] + [0, 1000, 3, -2]
+    x[:, 3] = np.where(np.arange(n) % sessions == 2, x[:, 3], 7.0)  # constant in all sessions but one
+    y = (x[:, 0] + 0.03 * (x[:, 1] - 1000) + rng.normal(size=n) > 0.4).astype(int)
+    s = np.arange(n) % sessions
+    rows = [(list(map(float, r)), int(v), f"s{i}") for r, v, i in zip(x, y, s, strict=True)] + [(None, 1, "s0")]
+    df = spark.createDataFrame(rows, "x ARRAY<DOUBLE>, y INT, session STRING").repartition(3)
+    got = {r["session"]: (r["slope"], r["offset"]) for r in models.fit_held_out(df, "session", "x", "y").collect()}
+    assert set(got) == {f"s{i}" for i in range(sessions)}
+    for i in range(sessions):
+        xs, ys = x[s != i], y[s != i]
+        mean, std = xs.mean(0), xs.std(0)
+        std[std < 1e-12] = 1
+        z = np.c_[np.ones(len(xs)), (xs - mean) / std]
+        w = np.where(ys == 1, len(ys) / (2 * ys.sum()), len(ys) / (2 * (len(ys) - ys.sum())))
+        b, penalty = np.zeros(5), np.diag([0, 1, 1, 1, 1.0])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-z @ b))
+            b = b - np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + penalty, z.T @ (w * (p - ys)) + penalty @ b)
+        slope, offset = got[f"s{i}"]
+        mine = 1 / (1 + np.exp(-(x @ np.array(slope) + offset)))
+        want = 1 / (1 + np.exp(-(np.c_[np.ones(n), (x - mean) / std] @ b)))
+        assert np.abs(mine - want)[s != i].max() < 1e-6
+    with pytest.raises(ValueError, match="both classes"):
+        models.fit_held_out(df.withColumn("y", F.when(F.col("session") == "s1", 1).otherwise(0)), "session", "x", "y")
