@@ -20,8 +20,6 @@ EPOCHS = 12
 RATE = 0.5
 #: Labelled documents of each label that the classifier is fitted on, the lowest by a hash of their ids.
 MAX_PER_LABEL = 2500
-#: Distinct features over all of those documents that one fit keeps; later documents are left out of the fit.
-MAX_FEATURES = 40_000_000
 THRESHOLD = 0.7
 _MIX = np.uint32(2654435761)
 
@@ -98,6 +96,8 @@ def in_fold(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_per_label: int = MAX_PER_LABEL) -> QualityModel:
     """Fit on a bounded sample of labelled documents outside the held-out fold, in one task; the model alone reaches the driver.
 
+    The sample is ``max_per_label`` ids of each label by hash of id, each with one text (the smallest by CRC) and all of its
+    features, 65,536 at most: at six bytes each, the task holds 2 GB at the very worst and some 0.1 GB for usual texts.
     Labels other than 0 and 1 and rows without an id are left out; a document with both labels counts as 0.
     """
     bound_batches(docs.sparkSession)
@@ -111,23 +111,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [np.unique(features(t), return_counts=True) for t in pdf["t"]]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "f": [r[0].astype("u2").tobytes() for r in rows], "n": [r[1].astype("u4").tobytes() for r in rows]})
+            marks = [zlib.crc32(t.encode()) for t in pdf["t"]]
+            yield pd.DataFrame({"id": pdf["id"], "mark": marks, "y": pdf["y"], "f": [r[0].astype("u2").tobytes() for r in rows], "n": [r[1].astype("u4").tobytes() for r in rows]})
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = 0, []
+        rows = []
         for batch in batches:
             # The arrays look into the batch: no document is held twice.
-            places = zip(batch["id"].to_pylist(), batch["y"].to_pylist(), batch["f"], batch["n"], strict=True)
-            for i, y, f, n in places:
-                buckets = np.frombuffer(f.as_buffer(), "u2")
-                if held + len(buckets) <= MAX_FEATURES:
-                    held += len(buckets)
-                    rows.append((i, buckets, np.frombuffer(n.as_buffer(), "u4"), y))
-        rows.sort(key=lambda r: (r[0], zlib.crc32(r[1]), zlib.crc32(r[2])))
+            for i, y, f, n in zip(batch["id"].to_pylist(), batch["y"].to_pylist(), batch["f"], batch["n"], strict=True):
+                rows.append((i, np.frombuffer(f.as_buffer(), "u2"), np.frombuffer(n.as_buffer(), "u4"), y))
+        rows.sort(key=lambda r: r[0])
         m = fit([r[1:] for r in rows])
         yield pa.RecordBatch.from_pydict({"v": [m.vectors.tobytes()], "o": [m.output.tobytes()], "b": [m.bias.tobytes()]})
 
-    counted = sample.mapInPandas(count, "id long, y int, f binary, n binary").repartition(1).sortWithinPartitions(F.xxhash64("id", F.lit(7)))
+    # One row an id, combined in the tasks: an id that many rows share brings one of them.
+    once = sample.mapInPandas(count, "id long, mark long, y int, f binary, n binary").groupBy("id").agg(F.min(F.struct("mark", "y", "f", "n")).alias("m"))
+    counted = once.select("id", "m.y", "m.f", "m.n").repartition(1).sortWithinPartitions(F.xxhash64("id", F.lit(7)))
     row = counted.mapInArrow(learn, "v binary, o binary, b binary").first()
     if row is None:
         return fit([])
