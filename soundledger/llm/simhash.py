@@ -133,14 +133,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs``, all columns, of each group: the one with the smallest id, by the text's digest among equal ids.
 
-    Rows are told apart by id and text, so an id whose texts lie in several groups may stay in each of them. Of a group's
-    rows without an id one stays too: nothing orders it among the named ones.
+    Rows are told apart by id and text, so an id whose texts lie in several groups may stay in each of them. A row without an
+    id stays only where its group has no id at all. Of rows equal in id and text the one with the smallest hash of all
+    columns stays, so that reruns agree.
     """
     prints, named = _rooted(docs, id_col, text_col)
-    # The id is null in all rows of a group here or in none.
-    rows = prints.join(named, "fp").groupBy("root", F.col("doc_id").isNull().alias("unnamed"))
-    least = materialize(rows.agg(F.min(F.struct("doc_id", "mark")).alias("kept")), "simhash-kept")
+    rows = prints.join(named, "fp").groupBy("root")
+    least = materialize(rows.agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("kept")), "simhash-kept")
     kept = least.select(F.col("kept.doc_id").alias("__kept"), F.col("kept.mark").alias("__kept_mark"))
-    marked = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", text_mark(F.col(text_col)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(F.col(id_col).cast("long").alias("__id"), text_mark(F.col(text_col)).alias("__mark"), F.struct(F.xxhash64(whole), F.xxhash64(F.lit(2), whole)).alias("__row"), whole.alias("__whole"))
     own = marked.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__mark") == F.col("__kept_mark")), "left_semi")
-    return own.dropDuplicates(["__id", "__mark"]).drop("__id", "__mark")
+    return own.groupBy("__id", "__mark").agg(F.min_by("__whole", "__row").alias("__whole")).select("__whole.*")

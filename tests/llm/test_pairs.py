@@ -88,7 +88,7 @@ def test_simhash_against_brute_force(spark, block):
     want = [(i, f"{prints[i]:016x}", root[i]) for i in prints] + [(3, f"{prints[3]:016x}", root[3]), (None, f"{prints[texts.index('one')]:016x}", root[texts.index("one")])]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     kept = [r["doc_id"] for r in one_of_each_group(df).collect()]
-    assert sorted(kept, key=repr) == sorted([*set(root.values()), None], key=repr)
+    assert sorted(kept, key=repr) == sorted(set(root.values()), key=repr)
     assert one_of_each_group(df).columns == df.columns
     assert simhash_groups(df.limit(0)).count() == 0
 
@@ -166,3 +166,34 @@ def test_top_products_against_brute_force(spark, bucket_rows, block_rows, spread
     assert {k: sorted(v) for k, v in got.items()} == want
     assert top_products(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert top_products(df, F.lit(False)).count() == 0
+
+
+def plain_top(rows, is_query, k):
+    import math
+
+    kept = [(n, i, [math.floor(64 * x) for x in v]) for n, (i, v) in enumerate(rows)]
+    out = []
+    for n, i, q in kept:
+        if is_query(i):
+            scored = sorted(((max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(q, p, strict=True)))), j, m) for m, j, p in kept if m != n), key=lambda r: (-r[0], r[1], r[2]))
+            out += [(i, rank, j, s) for rank, (s, j, _) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+def test_top_products_of_long_vectors_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [2.0, 1.0]), (20, [1e9, 1.0]), (3, [1e9 + 1, 3.0]), (20, [-1e9, 2.0]), (40, [9e15, -9e15]), (4, [9e15, 9e15]), (5, [1e16, 1.0])]
+    df = spark.createDataFrame([*rows, (60, [1e300, 1.0])], "vec_id long, embedding array<double>")
+    for bucket_rows in (2, 4096):
+        got = sorted(tuple(r) for r in top_products(df, F.col("vec_id") % 20 == 0, 6, bucket_rows=bucket_rows).collect())
+        assert got == plain_top(rows, lambda i: i % 20 == 0, 6)
+    probe = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>")
+    assert [r["score"] for r in top_products(probe, F.col("vec_id") == 0, 20).orderBy("rank").collect()] == [12288, 8192, 4096]
+
+
+def test_one_row_stays_where_other_columns_differ(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), (None, "a b c d", "z"), (None, "e f g h", "z"), (None, "e f g h", "w")]
+    got = set()
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        got.add(tuple(sorted((tuple(r) for r in one_of_each_group(df).collect()), key=repr)))
+    assert len(got) == 1 and [r[0] for r in got.pop()] == [1, None]
