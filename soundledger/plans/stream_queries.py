@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from soundledger.plans import bindings as B
@@ -11,7 +13,7 @@ from soundledger.session import scratch_path
 from soundledger.sources import manifest_source as manifests
 from soundledger.sources import sinks
 from soundledger.sources.tables import table
-from soundledger.streaming import adaptive, folds, jobs, silence
+from soundledger.streaming import adaptive, folds, jobs, silence, state
 
 HOUR = 3_600_000_000
 
@@ -220,6 +222,56 @@ def manifest_increment(spark, sf):
     return jobs.manifest_increment(r, 900_000_000, "g1", gen, failed=r.filter("o_orderkey % 10 = 1")).select("path", "mtime", "verify")
 
 
+@query("t07_ledger_state", f"WITH {B.LEDGER}, {B.STATE} SELECT * FROM state")
+def ledger_kept_as_state(spark, sf):
+    """The ledger in map state by device and path, taken in two runs of one stream and read back from the state store."""
+    path = scratch_path(spark, "ledger-state")
+    led = B.ledger(spark, sf).withColumn("device", F.regexp_extract("path", "^f([0-9]+)-", 1).cast("bigint"))
+    half = F.col("line") % 2
+    for part in (0, 1):
+        # Odd lines come in a later file than even ones: lines decide, not arrival.
+        led.filter(half == part).write.parquet(f"{path}/in/part={part}")
+        stream = spark.readStream.schema(led.schema).parquet(f"{path}/in")
+        state.keep_ledger(stream, path)
+    return state.kept_ledger(spark, path).drop("device")
+
+
+LATE_FILES = 5
+
+
+@query(
+    "t11_late_rows",
+    f"""WITH e AS (SELECT ts, user_id%20 AS device, (event_id*7)%{LATE_FILES} AS b, event_id%3 = 0 AS scattered FROM events),
+      f AS (SELECT *, CASE WHEN scattered THEN b ELSE least({LATE_FILES - 1}, CAST(floor(epoch_us(ts - TIMESTAMP '2024-01-01')/(30e0*86400000000/{LATE_FILES})) AS BIGINT)) END AS file FROM e),
+      n AS (SELECT file, count(*) AS rows, max(ts) AS newest FROM f GROUP BY 1),
+      w AS (SELECT file, rows, max(newest) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1 DAY AS late FROM n)
+      SELECT w.file AS batch, w.rows, CAST(count(*) FILTER (WHERE f.ts <= w.late) AS BIGINT) AS dropped FROM w JOIN f USING (file) GROUP BY 1, 2""",
+)
+def late_rows(spark, sf):
+    """Rows per batch, and how many of them a keyed operator dropped as too late, from the stored progress of the stream."""
+    path = scratch_path(spark, "late")
+    e = table(spark, sf, "events").select("ts", (F.col("user_id") % 20).alias("device"), (F.col("event_id") * 7 % LATE_FILES).alias("b"), (F.col("event_id") % 3 == 0).alias("scattered"))
+    by_time = F.least(F.lit(LATE_FILES - 1), F.floor((F.unix_micros("ts") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / (30 * 86_400_000_000 / LATE_FILES)))
+    e = e.withColumn("file", F.when(F.col("scattered"), F.col("b")).otherwise(by_time))
+    for number in range(LATE_FILES):
+        e.filter(F.col("file") == number).select("ts", "device").coalesce(1).write.parquet(f"{path}/in/file={number}")
+    rows = spark.readStream.schema("ts TIMESTAMP, device BIGINT").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    listed = spark.range(1).select(F.lit(0).cast("long").alias("device"), F.lit("2024-01-01").cast("timestamp").alias("since"))
+    progress = state.ProgressTable(f"{path}/progress")
+    spark.streams.addListener(progress)
+    try:
+        jobs.run_to_table(silence.silence_stream(state.observed(rows, "ts"), listed, ["device"], "ts", 3_600_000, "EventTime", "1 day"), f"{path}/out")
+        # Progress is told in the background: wait until the last batch's is there.
+        for _ in range(100):
+            have = progress.table(spark).filter("rows > 0") if progress.written() else None
+            if have is not None and have.count() >= LATE_FILES:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(progress)
+    return progress.table(spark).filter("rows > 0").select("batch", "rows", "dropped")
+
+
 #: Three snapshots of the manifest: the second has newer entries, the third is of a new generation.
 _NEWEST = "CASE WHEN o_orderkey%10=3 THEN mtime + 1000000000 ELSE mtime END"
 
