@@ -129,11 +129,11 @@ def bands_peaks(spark, sf):
     return _pick(f, ["vec_id"], [n for n, _, _ in A.BANDS + A.PEAK_BANDS])
 
 
-@query(
-    "d11_segment_grid",
-    """WITH d AS (SELECT doc_id, n_chars/2000e0 AS dur FROM documents) SELECT doc_id, CAST(s AS INTEGER) AS seg_idx, round(s*0.48e0,3) AS start_s
-      FROM d, LATERAL (SELECT unnest(range(greatest(0, CAST(floor((dur+1e-6-0.96e0)/0.48e0) AS BIGINT)+1))) AS s)""",
-)
+GRID_SQL = """WITH d AS (SELECT doc_id, n_chars/2000e0 AS dur FROM documents) SELECT doc_id, CAST(s AS INTEGER) AS seg_idx, round(s*0.48e0,3) AS start_s
+      FROM d, LATERAL (SELECT unnest(range(greatest(0, CAST(floor((dur+1e-6-0.96e0)/0.48e0) AS BIGINT)+1))) AS s)"""
+
+
+@query("d11_segment_grid", GRID_SQL)
 def segment_grid(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.explode(A.segment_grid(F.col("n_chars") / F.lit(2000.0))).alias("seg_idx"))
     return d.withColumn("start_s", F.round(F.col("seg_idx") * 0.48, 3))

@@ -151,6 +151,31 @@ def poll_snapshots(spark, sf):
     return R.read_polls(spark, path).select(F.col("wav_count").alias("event_id"), "answered", "parse_error", "uptime", "peak", "state")
 
 
+@query(
+    "r12_poll_parts",
+    f"""WITH {B.CAP}, {B.POLLS}, a AS (SELECT *, k>=30 AND k%10<>1 AS good FROM polls)
+      SELECT event_id, CASE WHEN good AND k%3<>0 THEN k/100e0 END AS cry, CASE WHEN good AND k%3<>0 THEN CAST(CASE WHEN k%5=0 THEN 2 ELSE 1 END AS INT) END AS n_watched,
+        CASE WHEN good AND k%4<>0 THEN 'v' || CAST(k AS VARCHAR) END AS student_version, CASE WHEN good AND k%4<>0 THEN k%2=0 END AS student_loaded, CASE WHEN good AND k%4<>0 THEN counter END AS student_inferences,
+        CASE WHEN good THEN captures END AS pending_count, CASE WHEN good THEN captures*1000000000000 END AS bytes_pending, CASE WHEN good THEN uptime END AS oldest_age_s FROM a""",
+)
+def poll_parts(spark, sf):
+    """Watched classes, student and sync blocks of polls, absent in some."""
+    p = B.polls(spark, sf)
+    k = F.col("k")
+    watched = F.when(k % 3 != 0, F.concat(F.lit('{"cry_baby":'), k / 100.0, F.when(k % 5 == 0, ',"speech":0.5').otherwise(""), F.lit("}"))).otherwise("null")
+    student = F.when(k % 4 != 0, F.to_json(F.struct(F.concat(F.lit("v"), k).alias("version"), (k % 2 == 0).alias("loaded"), F.lit(0.5).alias("cry_conf"), F.col("counter").alias("inference_count")))).otherwise("null")
+    sync = F.to_json(F.struct(F.col("captures").alias("pending_count"), (F.col("captures") * 1_000_000_000_000).alias("bytes_pending"), F.col("uptime").alias("oldest_pending_age_s")))
+    doc = F.concat(F.lit('{"uptime_s":'), "uptime", F.lit(',"watched":'), watched, F.lit(',"student":'), student, F.lit(',"sync":'), sync, F.lit("}"))
+    payload = F.when(~F.col("answered"), None).when(k % 10 == 1, F.concat(F.lit("{x"), doc)).otherwise(doc)
+    path = scratch_path(spark, "poll-parts")
+    p.select(F.lit("d1").alias("device_id"), F.timestamp_micros("t_us").alias("poll_ts"), F.col("event_id").alias("wav_count"), payload.alias("payload")).write.json(path)
+    return R.read_polls(spark, path).select(
+        F.col("wav_count").alias("event_id"), F.col("watched")["cry_baby"].alias("cry"), F.when(F.col("watched").isNotNull(), F.size("watched")).alias("n_watched"),
+        F.col("student.version").alias("student_version"), F.col("student.loaded").alias("student_loaded"), F.col("student.inference_count").alias("student_inferences"),
+        F.col("sync.pending_count").alias("pending_count"), F.col("sync.bytes_pending").alias("bytes_pending"), F.col("sync.oldest_pending_age_s").alias("oldest_age_s"),
+    )
+
+
 @query(
     "r13_tail_lines",
     "SELECT user_id, event_id AS line, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 40",

@@ -26,7 +26,9 @@ TELEMETRY_SCHEMA = """
 POLL_SCHEMA = """
   uptime_s BIGINT, state STRING, inference_fps DOUBLE, last_cry_conf DOUBLE, max_cry_conf_1s DOUBLE, input_rms DOUBLE, noise_floor_p95 DOUBLE,
   alert_count BIGINT, audio_overrun_events BIGINT, audio_overrun_bytes BIGINT, free_heap BIGINT, inference_count BIGINT, build_sha STRING,
-  watched MAP<STRING, DOUBLE>"""
+  watched MAP<STRING, DOUBLE>,
+  student STRUCT<version: STRING, loaded: BOOLEAN, cry_conf: DOUBLE, speech_conf: DOUBLE, latency_ms: BIGINT, inference_count: BIGINT>,
+  sync STRUCT<pending_count: BIGINT, synced_count: BIGINT, bytes_pending: BIGINT, bytes_synced: BIGINT, oldest_pending_age_s: BIGINT, total_tracked: BIGINT>"""
 MANIFEST_SCHEMA = """
   generation_id STRING, device_uptime_s BIGINT, now BIGINT,
   files ARRAY<STRUCT<path: STRING, size: BIGINT, mtime: BIGINT, sha256: STRING, sync_state: STRING, category: STRING, mutable: BOOLEAN>>,
@@ -147,6 +149,8 @@ def parse_polls(df: DataFrame) -> DataFrame:
         F.round(zero("input_rms"), 0).alias("rms"), zero("alert_count").alias("alerts"), zero("audio_overrun_events").alias("overruns"),
         F.expr("coalesce(_p.free_heap, 0) div 1024").alias("free_kb"), zero("inference_count").alias("counter"),
         F.coalesce("_p.build_sha", F.lit("?")).alias("build"),
+        # Nested parts as they come; null where a poll has none.
+        F.col("_p.watched").alias("watched"), F.col("_p.student").alias("student"), F.col("_p.sync").alias("sync"),
     )
 
 
