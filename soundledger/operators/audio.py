@@ -322,11 +322,11 @@ def log_mel_frames(x: np.ndarray, sr: int, win: int = 400, hop: int = 160, n_fft
 
 
 def mel_patches(captures: DataFrame, keys: Sequence[str], content: str) -> DataFrame:
-    """Model input patches: every 48 frames the last 96 log-mel frames, zeros before the first."""
+    """Model input patches: every 48 frames the last 96 log-mel frames, zeros before the first. A capture that cannot be read is one row with an error."""
     keys = list(keys)
     source = captures.select(*keys, F.col(content).alias("_audio"))
     schema = T.StructType(
-        [*source.select(*keys).schema.fields, T.StructField("patch_idx", T.IntegerType()), T.StructField("mel", T.ArrayType(T.FloatType()))]
+        [*source.select(*keys).schema.fields, T.StructField("patch_idx", T.IntegerType()), T.StructField("mel", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,12 +334,13 @@ def mel_patches(captures: DataFrame, keys: Sequence[str], content: str) -> DataF
             for rec in pdf.itertuples(index=False, name=None):
                 try:
                     x, rate = decode_wav(bytes(rec[-1]))
-                except BAD_CAPTURE:  # reported by the feature job
+                except BAD_CAPTURE as e:  # reported, not fatal
+                    yield pd.DataFrame([(*rec[:-1], None, None, f"{type(e).__name__}: {e}")], columns=schema.names)
                     continue
                 mel = log_mel_frames(x, rate).astype(np.float32)
                 padded = np.vstack([np.zeros((PATCH_FRAMES - PATCH_HOP, MEL_BANDS), np.float32), mel])
                 rows = [
-                    (*rec[:-1], i, padded[i * PATCH_HOP : i * PATCH_HOP + PATCH_FRAMES].ravel()) for i in range(len(mel) // PATCH_HOP)
+                    (*rec[:-1], i, padded[i * PATCH_HOP : i * PATCH_HOP + PATCH_FRAMES].ravel(), None) for i in range(len(mel) // PATCH_HOP)
                 ]
                 if rows:
                     yield pd.DataFrame(rows, columns=schema.names)
@@ -348,13 +349,14 @@ def mel_patches(captures: DataFrame, keys: Sequence[str], content: str) -> DataF
 
 
 def mel_db_table(captures: DataFrame, keys: Sequence[str], content: str, n_fft: int = 1024, hop: int = 160) -> DataFrame:
-    """Log-mel power in dB per frame for viewing, with the 5th and 99th percentile of the capture."""
+    """Log-mel power in dB per frame for viewing, with the 5th and 99th percentile of the capture; one row with an error where it cannot be read."""
     keys = list(keys)
     source = captures.select(*keys, F.col(content).alias("_audio"))
     schema = T.StructType(
         [
             *source.select(*keys).schema.fields, T.StructField("frame", T.IntegerType()), T.StructField("mel_db", T.ArrayType(T.FloatType())),
             T.StructField("db_p5", T.DoubleType()), T.StructField("db_p99", T.DoubleType()),
+            T.StructField("error", T.StringType()),
         ]
     )
 
@@ -364,12 +366,13 @@ def mel_db_table(captures: DataFrame, keys: Sequence[str], content: str, n_fft:
                 try:
                     x, rate = decode_wav(bytes(rec[-1]))
                     _, mags = spectrum(x, rate, n_fft, n_fft - hop)
-                except BAD_CAPTURE:  # reported by the feature job
+                except BAD_CAPTURE as e:  # reported, not fatal
+                    yield pd.DataFrame([(*rec[:-1], None, None, None, None, f"{type(e).__name__}: {e}")], columns=schema.names)
                     continue
                 db = 10.0 * np.log10((mags**2) @ viewer_filterbank(rate, 2 * (mags.shape[1] - 1)) + 1e-6)
                 p5, p99 = np.percentile(db, [5, 99])
                 yield pd.DataFrame(
-                    [(*rec[:-1], i, row, p5, p99) for i, row in enumerate(db.astype(np.float32))], columns=schema.names
+                    [(*rec[:-1], i, row, p5, p99, None) for i, row in enumerate(db.astype(np.float32))], columns=schema.names
                 )
 
     return source.mapInPandas(run, schema)

@@ -206,13 +206,13 @@ def capture_audit(spark, sf):
 def mel_patches(spark, sf):
     p = A.mel_patches(document_wavs(spark, sf), ["doc_id"], "content")
     health = A.patch_health(S.quantise(F.col("mel"), 0.05, -10), -10)
-    return p.select("doc_id", "patch_idx", F.size("mel").alias("cells"), *[c.alias(n) for n, c in health.items()])
+    return p.select("doc_id", "patch_idx", F.size("mel").alias("cells"), *[c.alias(n) for n, c in health.items()], "error")
 
 
 @query("d14_mel_db_table")
 def mel_db_table(spark, sf):
     t = A.mel_db_table(document_wavs(spark, sf), ["doc_id"], "content")
-    return t.select("doc_id", "frame", F.size("mel_db").alias("bands"), F.array_max("mel_db").alias("loudest"), "db_p5", "db_p99")
+    return t.select("doc_id", "frame", F.size("mel_db").alias("bands"), F.array_max("mel_db").alias("loudest"), "db_p5", "db_p99", "error")
 
 
 @query(

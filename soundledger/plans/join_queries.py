@@ -187,7 +187,7 @@ def check_copies(spark, sf):
 def prune_gate(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     k = F.col("doc_id")
-    size = F.length("text")
+    size = F.octet_length("text")
     tail = lambda c: content_tail(F.encode(c, "UTF-8"), 4096)
     day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 40).cast("int"))
     listing = d.select(k.alias("name"), size.alias("size"), day.alias("day"), tail(F.col("text")).alias("tail"))

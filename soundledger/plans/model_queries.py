@@ -248,6 +248,6 @@ def scored_patches_audio(spark, sf):
     """Mel patches of documents read as audio, quantised and scored."""
     from soundledger.plans.audio_queries import document_wavs
 
-    p = audio.mel_patches(document_wavs(spark, sf), ["doc_id"], "content")
+    p = audio.mel_patches(document_wavs(spark, sf), ["doc_id"], "content").filter("error IS NULL")
     scored = audio.score_patches(p, "mel", audio.PATCH_FRAMES * audio.MEL_BANDS, linear_scorer(audio.PATCH_FRAMES * audio.MEL_BANDS, 21))
     return scored.select("doc_id", "patch_idx", S.softmax_mass(F.col("scores").cast("array<double>"), [19, 20]).alias("cry_mass"))

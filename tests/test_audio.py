@@ -92,6 +92,9 @@ def test_segments_slice_the_file_tracks(spark):
 def test_mel_patches(spark):
     df = spark.createDataFrame([("tone", wav(tone(440, 2))), ("bad", b"x")], "file STRING, content BINARY")
     p = A.mel_patches(df, ["file"], "content").orderBy("patch_idx").collect()
+    bad = [r for r in p if r["error"]]
+    assert [(r["file"], r["patch_idx"], r["mel"]) for r in bad] == [("bad", None, None)]
+    p = [r for r in p if not r["error"]]
     frames = 1 + (2 * SR - 400) // 160
     assert [r["patch_idx"] for r in p] == list(range(frames // 48)) and len(p[0]["mel"]) == 96 * 64
     first = np.array(p[0]["mel"]).reshape(96, 64)
@@ -111,8 +114,10 @@ def test_mel_filterbanks():
 
 
 def test_mel_db_limits(spark):
-    df = spark.createDataFrame([("tone", wav(tone(1000, 1)))], "file STRING, content BINARY")
+    df = spark.createDataFrame([("tone", wav(tone(1000, 1))), ("bad", b"RIFF")], "file STRING, content BINARY")
     rows = A.mel_db_table(df, ["file"], "content").collect()
+    assert [(r["file"], r["frame"]) for r in rows if r["error"]] == [("bad", None)]
+    rows = [r for r in rows if not r["error"]]
     flat = np.array([r["mel_db"] for r in rows])
     assert rows[0]["db_p5"] == pytest.approx(np.percentile(flat, 5), abs=1e-3) and flat.shape == (1 + (SR - 1024) // 160, 64)
 

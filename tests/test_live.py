@@ -201,3 +201,43 @@ def test_held_out_models_equal_separate_fits(spark, monkeypatch):
         assert np.abs(mine - want)[s != i].max() < 1e-6
     with pytest.raises(ValueError, match="both classes"):
         models.fit_held_out(df.withColumn("y", F.when(F.col("session") == "s1", 1).otherwise(0)), "session", "x", "y")
+
+
+def test_lines_of_a_large_file_keep_their_numbers(spark, tmp_path):
+    """One file is read by many tasks, and every line has the number it has in the file."""
+    from soundledger.sources.readers import _numbered_lines, read_ledger
+
+    lines = ["" if i % 1000 == 7 else "x" * (i % 90) + f"\r{i}" for i in range(60_000)]
+    (tmp_path / "big.txt").write_text("\n".join(lines) + "\n", newline="")
+    (tmp_path / "small.txt").write_text("a\nb", newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        rows = _numbered_lines(spark, str(tmp_path))
+        parts = spark.read.option("lineSep", "\n").text(str(tmp_path / "big.txt")).rdd.getNumPartitions()
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r["file_path"].rsplit("/", 1)[1], []).append((r["line"], r["value"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert parts > 10
+    assert sorted(got["big.txt"]) == list(enumerate(lines)) and sorted(got["small.txt"]) == [(0, "a"), (1, "b")]
+    (tmp_path / "ledger.jsonl").write_text('{"op": "ack", "path": "p"}\n\n{broken\n{"op": "purge", "path": "p"}\n')
+    assert sorted((r["line"], r["op"]) for r in read_ledger(spark, str(tmp_path / "ledger.jsonl")).collect()) == [(0, "ack"), (3, "purge")]
+
+
+def test_ledger_state_goes_by_lines(spark, tmp_path):
+    from soundledger.streaming.state import keep_ledger, kept_ledger
+
+    schema = "device BIGINT, path STRING, line BIGINT, op STRING, size BIGINT, mtime BIGINT, sha256 STRING, category STRING, sync_state STRING"
+    batches = [
+        [(1, "a", 5, "register", 10, 1, "s", "wav", "pending"), (1, "b", 6, "purge", None, None, None, None, None), (2, "a", 7, "ack", None, None, None, None, None)],
+        [(1, "b", 3, "register", 1, 1, "s", "wav", "pending"), (1, "a", 4, "ack", None, None, None, None, None), (2, "a", 2, "close", 9, None, None, "log", "pending")],
+        [(1, "a", 8, "ack", None, None, None, None, None)],
+    ]
+    states = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={i}"))
+        keep_ledger(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"))
+        states.append(sorted((r["device"], r["path"], r["size"], r["mtime"], r["sync_state"]) for r in kept_ledger(spark, str(tmp_path / "state")).collect()))
+    assert states == [[(1, "a", 10, 1, "pending")], [(1, "a", 10, 1, "pending"), (2, "a", 9, 0, "synced")], [(1, "a", 10, 1, "synced"), (2, "a", 9, 0, "synced")]]
