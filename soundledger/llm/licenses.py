@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
-#: Diagonals that differ by at most this many words belong to one span: room for inserted or missing words.
+#: Diagonals that differ by at most this many words belong to one span: room for inserted or missing words. Long templates
+#: have more, a quarter of their words up to MOST_SLACK: a page header or a company's name in the middle.
 SLACK = 3
+MOST_SLACK = 40
 #: Share of a template's words that a span must hold.
 MIN_COVER = 0.7
 
@@ -96,14 +98,36 @@ def base_places(words: Column) -> Column:
     return F.filter(every, lambda p: p["label"].isNotNull())
 
 
+def lowered(text: Column) -> Column:
+    """Lower case in which no letter but A to Z becomes one of a to z: the Kelvin sign and the dotted I are kept apart."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u029e")), F.lit("\u0130"), F.lit("\u0131")))
+
+
+def chain_words(hits: Column, words: Column) -> Column:
+    """Most template words that a chain of hits ``(pos, -at)`` in document order covers whose template places rise, too.
+
+    One number a template place is kept: the best chain that ends there. A hit looks at all places before its own.
+    """
+    none = F.array_repeat(F.lit(0), words.cast("int"))
+
+    def step(best: Column, hit: Column) -> Column:
+        at = -hit["back"]
+        before = F.transform(F.slice(best, F.lit(1), at), lambda x, i: F.when(x > 0, x + F.least(F.lit(K), at - i)).otherwise(F.lit(K)))
+        reach = F.greatest(F.lit(K), F.coalesce(F.array_max(before), F.lit(K)))
+        return F.transform(best, lambda x, i: F.when(i == at, F.greatest(x, reach)).otherwise(x))
+
+    return F.array_max(F.aggregate(F.array_sort(hits), none, step))
+
+
 def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, min_cover: float = MIN_COVER, slack: int = SLACK) -> DataFrame:
     """``(id, mark, template, label, first, last, cover)``: verified spans of templates in documents ``(id, mark, text)``.
 
     Each rolling k-gram of a document joins the template places with its hash (a table of fixed length, so it is
     broadcast); the words behind equal hashes are compared. Hits vote for ``document place - template place``.
-    Neighbouring diagonals merge; a span counts if its hits hold enough of the template's words.
+    Neighbouring diagonals merge; a span counts if a chain of its hits, in document and template order alike, holds enough
+    of the template's words. So a notice broken by other words is whole, and its shuffled pieces are none.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(lowered(F.col("text")), F.lit(WORD), F.lit(0))
     n = F.greatest(F.size("ws") - 1, F.lit(0))
     shifted = [F.col("ws"), *[F.slice("ws", F.lit(i + 1), n) for i in range(1, K)]]
     split = docs.select("id", "mark", F.transform(F.array(words), lambda ws: ws)[0].alias("ws"))
@@ -113,16 +137,19 @@ def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     for i in range(K):
         hits = hits.filter(g[i] == F.col("said")[f"w{i}"])
     votes = hits.groupBy("id", "mark", "template", "label", "words", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last")
+        F.collect_list(F.struct("pos", (-F.col("at")).alias("back"))).alias("hits"), F.min("pos").alias("first"), F.max("pos").alias("last")
     )
+    room = F.greatest(F.lit(slack), F.least(F.lit(MOST_SLACK), F.expr("words div 4").cast("int")))
     along = W.partitionBy("id", "mark", "template").orderBy("diagonal")
-    jump = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > slack, F.lit(True))
+    jump = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > room, F.lit(True))
     votes = votes.withColumn("jump", jump.cast("int")).withColumn("span", F.sum("jump").over(along.rowsBetween(W.unboundedPreceding, 0)))
     spans = votes.groupBy("id", "mark", "template", "label", "words", "span").agg(
-        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("first").alias("first"), (F.max("last") + K - 1).alias("last")
+        F.flatten(F.collect_list("hits")).alias("hits"), F.min("first").alias("first"), (F.max("last") + K - 1).alias("last")
     )
-    held = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + K - 1)))))
-    return spans.withColumn("cover", held / F.col("words")).filter(F.col("cover") >= min_cover).drop("ats", "words", "span")
+    # Too few hits for the cover need no chain.
+    enough = F.size("hits") * K >= F.col("words") * min_cover
+    cover = F.when(enough, chain_words(F.col("hits"), F.col("words")) / F.col("words")).otherwise(0.0)
+    return spans.withColumn("cover", cover).filter(F.col("cover") >= min_cover).drop("hits", "words", "span")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -133,11 +160,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows repeated exactly give equal rows. Null ids are kept. Other columns are ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    lowered = F.lower("text")
-    words = F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    low = lowered(F.col("text"))
+    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
     none = F.array().cast("array<struct<at:bigint,label:string>>")
     # A document without the last word of the phrases has none of them; the words are split once, inside the lambda.
-    seen = F.transform(F.array(words), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), F.when(F.contains(lowered, F.lit("license")), base_places(ws)).otherwise(none).alias("places")))[0]
+    seen = F.transform(F.array(words), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), F.when(F.contains(low, F.lit("license")), base_places(ws)).otherwise(none).alias("places")))[0]
     based = rows.select("id", "mark", seen.alias("seen")).select("id", "mark", "seen.n", "seen.places")
     spans = license_spans(rows, templates)
     found = spans.groupBy(F.col("id").alias("sid"), F.col("mark").alias("smark")).agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
@@ -172,14 +199,16 @@ def license_sql() -> str:
     places AS ({base}),
     base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS found FROM places GROUP BY rid),
     votes AS (
-        SELECT s.rid, g.template, g.label, g.words, s.i - 1 - g.place AS diagonal, list(g.place) AS ats
+        SELECT s.rid, g.template, g.label, g.words, s.i - 1 - g.place AS diagonal, list([s.i, -g.place]) AS hits
         FROM starts s JOIN grams g ON s.ws[s.i] = g.w0 AND s.ws[s.i + 1] = g.w1 AND s.ws[s.i + 2] = g.w2 GROUP BY ALL
     ), jumps AS (
-        SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {SLACK} THEN 0 ELSE 1 END AS jump FROM votes
+        SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= greatest({SLACK}, least({MOST_SLACK}, words // 4)) THEN 0 ELSE 1 END AS jump FROM votes
     ), numbered AS (SELECT *, sum(jump) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM jumps),
     held AS (
-        SELECT rid, template, label, words, span, CAST(count(DISTINCT place + k) AS DOUBLE) / max(words) AS cover
-        FROM (SELECT rid, template, label, words, span, unnest(ats) AS place FROM numbered), range({K}) r(k) GROUP BY ALL
+        SELECT rid, template, label, CAST(list_max(list_reduce(list_prepend([CAST(0 AS BIGINT) FOR x IN range(words)], list_sort(hits)), lambda best, h:
+            list_transform(best, lambda x, i: CASE WHEN i - 1 = -h[2]
+                THEN greatest(x, {K}, coalesce(list_max(list_transform(best[1:-h[2]], lambda y, j: CASE WHEN y > 0 THEN y + least({K}, -h[2] - (j - 1)) ELSE {K} END)), {K})) ELSE x END))) AS DOUBLE) / words AS cover
+        FROM (SELECT rid, template, label, words, span, flatten(list(hits)) AS hits FROM numbered GROUP BY ALL) WHERE len(hits) * {K} >= words * {MIN_COVER}
     ), found AS (SELECT rid, list_distinct(list(label)) AS more, max(cover) AS cover FROM held WHERE cover >= {MIN_COVER} GROUP BY rid)
     SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(b.n_base, 0) AS BIGINT) AS n_base,
            CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,

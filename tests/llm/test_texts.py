@@ -30,6 +30,11 @@ def test_licenses(spark):
     mit, apache = TEMPLATES[2][1], TEMPLATES[4][1]
     broken = mit.split()
     del broken[60:62]
+    isc = TEMPLATES[-1][1]
+    inserted = isc.split()
+    inserted[15:15] = "page 7 of Some Company Limited".split()
+    pieces = [isc.split()[i : i + 3] for i in range(0, len(isc.split()), 3)]
+    shuffled = [w for i in range(0, len(pieces) - 1, 2) for w in pieces[i + 1] + pieces[i]]
     rows = [
         (1, None, "a"),
         (2, "", "a"),
@@ -42,6 +47,11 @@ def test_licenses(spark):
         (5, "Released under the MIT License. x Released under the MIT License.", "a"),
         (None, "mit license", "a"),
         (8, "permission is hereby granted", "a"),
+        (9, " ".join(inserted), "a"),
+        (10, " ".join(shuffled), "a"),
+        (11, "released under the M\u0130T license by \u212aelvin", "a"),
+        (12, " ".join([isc] * 30), "a"),
+        (13, "Licensed under CC and then fifteen other words stand here before BY-NC 4.0.", "a"),
     ]
     df = docs(spark, rows)
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -54,6 +64,8 @@ def test_licenses(spark):
     assert by[1][1:] == (0, 0, None, None, "", "", 0.0)
     assert by[3][1:6] == (9, 3, 1, 6, "gpl,mit")
     assert by[4][6] == "apache,mit" and by[4][7] > 0.9
+    assert by[9][6] == "isc" and by[9][7] > 0.9, "a notice broken in its middle"
+    assert by[10][6] == "" and by[11][6] == "" and by[12][6:] == ("isc", 1.0) and by[13][6] == ""
     assert by[6][5:] == ("", "cc-by-nc-4.0", 1.0) and by[8][6] == ""
     spans = license_spans(df.select(F.col("doc_id").alias("id"), F.lit(0).alias("mark"), F.coalesce("text", F.lit("")).alias("text")))
     assert {(r["first"], r["last"]) for r in spans.collect() if r["id"] == 6} == {(0, 6)}
