@@ -261,3 +261,50 @@ def inventory_days(spark, sf):
 
     t = tiered(spark, sf).withColumnsRenamed({"tier": "confidence_tier", "subtype": "cluster_label"})
     return inventory(t)["days"].select("day", "high_pos", "total")
+
+
+def _tall(part: str, key: str, inner: str) -> str:
+    """A table of the report as rows (part, key, metric, value) in SQL."""
+    return f"""SELECT '{part}' AS part, key, metric, value FROM (UNPIVOT (SELECT CAST({key} AS VARCHAR) AS key, COLUMNS(* EXCLUDE ({key}))::VARCHAR FROM ({inner})) ON COLUMNS(* EXCLUDE (key)) INTO NAME metric VALUE value)"""
+
+
+_TIER_COUNTS = ", ".join(f"CAST(count(*) FILTER (WHERE tier='{t}') AS BIGINT) AS {t}" for t in ("high_pos", "high_neg", "medium_pos", "medium_neg", "low"))
+_SUB = "CASE WHEN s1>=0.5e0 THEN CASE k//25 WHEN 0 THEN 'fuss' WHEN 1 THEN 'full_cry' WHEN 2 THEN 'distress' ELSE 'screech' END ELSE '' END"
+_ERA = "CASE WHEN day <= '2024-01-10' THEN 'first' WHEN day = '2024-01-11' THEN 'second' ELSE 'third' END"
+_REPORT = f"""{B.CAP}, {B.TIERED}, m AS (SELECT *, {_SUB} AS subtype, {_ERA} AS era, 'v' || CAST(event_id%3 AS VARCHAR) AS version, CASE WHEN s2>=0.05e0 THEN 'speech' ELSE 'other' END AS source FROM tiered)"""
+
+
+def _crosstab(column: str) -> str:
+    return f"SELECT CAST({column} AS VARCHAR) AS {column}, {_TIER_COUNTS}, CAST(count(*) AS BIGINT) AS total FROM m GROUP BY {column} UNION ALL SELECT 'TOTAL', {_TIER_COUNTS}, count(*) FROM m"
+
+
+_PARTS = {
+    "days": ("day", _crosstab("day")), "hours": ("hour", _crosstab("hour")), "eras": ("era", _crosstab("era")), "versions": ("version", _crosstab("version")),
+    "sessions": ("device_id", "SELECT device_id, CAST(count(*) AS BIGINT) AS n, min(day) AS first_day, max(day) AS last_day, CAST(count(*) FILTER (WHERE tier='high_pos') AS BIGINT) AS high_pos, CAST(count(*) FILTER (WHERE tier='high_neg') AS BIGINT) AS high_neg FROM m GROUP BY 1"),
+    "subtypes": ("day", "SELECT day, " + ", ".join(f"CAST(count(*) FILTER (WHERE subtype='{x}') AS BIGINT) AS {x}" for x in ("fuss", "full_cry", "distress", "screech")) + ", CAST(count(*) AS BIGINT) AS total FROM m WHERE tier='high_pos' AND subtype<>'' GROUP BY day"),
+    "negatives": ("source", "SELECT source, CAST(count(*) AS BIGINT) AS count FROM m WHERE tier='high_neg' GROUP BY source"),
+    "readiness": ("part", """SELECT 'all' AS part, pos+neg AS eligible, pos, neg, 100*pos//greatest(pos+neg,1) AS pos_pct, 100*neg//greatest(pos+neg,1) AS neg_pct, pos+neg<1000 AS too_few, rare<10 AS rare_subtype FROM (
+        SELECT CAST(count(*) FILTER (WHERE tier='high_pos') AS BIGINT) AS pos, CAST(count(*) FILTER (WHERE tier='high_neg') AS BIGINT) AS neg, count(*) FILTER (WHERE tier='high_pos' AND subtype='screech') AS rare FROM m)"""),
+}
+
+
+@query("k07_inventory_tables", f"WITH {_REPORT} " + " UNION ALL ".join(_tall(part, key, inner) for part, (key, inner) in _PARTS.items()))
+def inventory_tables(spark, sf):
+    """All eight tables of the report, one row a cell."""
+    from soundledger.operators.labels import inventory
+    from soundledger.plans.aggregate_queries import tiered
+    from soundledger.plans.scalar_queries import ERAS
+
+    iso = F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    t = tiered(spark, sf).withColumnsRenamed({"tier": "confidence_tier", "subtype": "cluster_label"})
+    t = t.withColumns({
+        "era": X.firmware_era(iso, ERAS, "third"), "ensemble_version": F.concat(F.lit("v"), F.col("event_id") % 3),
+        "negative_source": F.when(F.col("s2") >= 0.05, "speech").otherwise("other"),
+    })
+    out = None
+    for part, df in inventory(t, session="device_id").items():
+        key = F.lit("all") if part == "readiness" else F.col(df.columns[0]).cast("string")
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in df.columns[part != "readiness" :]])
+        rows = df.select(F.lit(part).alias("part"), key.alias("key"), F.inline(cells))
+        out = rows if out is None else out.unionByName(rows)
+    return out
