@@ -9,6 +9,7 @@ after the other from sorted batches and holds one of them at a time;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -279,6 +280,10 @@ class PeakLinks:
 EXACT_STEPS = 256
 
 
+#: A chunk of so few rows is folded row by row: the arrays of a long one would cost more.
+SHORT = 256
+
+
 def decayed(v: np.ndarray, steps: np.ndarray, decay: float) -> np.ndarray:
     """Scores after as many decays each."""
     out, steps = np.array(v, "f8"), np.asarray(steps)
@@ -289,8 +294,12 @@ def decayed(v: np.ndarray, steps: np.ndarray, decay: float) -> np.ndarray:
 
 def hold_peak(x: np.ndarray, held: float, decay: float) -> np.ndarray:
     """A larger score replaces the held peak, any other decays it."""
-    if not len(x):
-        return np.zeros(0)
+    if len(x) <= SHORT:
+        out = np.empty(len(x))
+        for i, v in enumerate(x.tolist()):
+            held = v if v > held else decay * held
+            out[i] = held
+        return out
     links = PeakLinks(x, decay)
     rows = links.chain(links.first(held))
     at = np.arange(len(x))
@@ -307,6 +316,8 @@ def peak_exits(x: np.ndarray, decay: float) -> list[tuple[float, float, int]]:
     bound arises, and from there the exit no longer depends on it. The last row has an infinite bound and a negative score:
     never replaced.
     """
+    if len(x) <= SHORT:
+        return _short_exits(x.tolist(), decay)
     links = PeakLinks(x, decay)
     best = np.maximum.accumulate(np.append(-np.inf, links.lifted[:-1]))
     rows = np.flatnonzero(links.lifted > best)
@@ -314,6 +325,27 @@ def peak_exits(x: np.ndarray, decay: float) -> list[tuple[float, float, int]]:
     return [*zip(links.lifted[rows].tolist(), links.v[end].tolist(), (len(x) - 1 - end).tolist(), strict=True), (np.inf, -1.0, len(x))]
 
 
+def _short_exits(values: list[float], decay: float) -> list[tuple[float, float, int]]:
+    rate, best, rows = -math.log(decay), -math.inf, []
+    for i, v in enumerate(values):
+        if v > 0 and math.log(v) + rate * i > best:
+            best = math.log(v) + rate * i
+            rows.append((i, best))
+    ends: dict[int, int] = {}
+    for i, _ in rows:
+        path, held = [i], values[i]
+        for j in range(i + 1, len(values)):
+            if values[j] > held:
+                path.append(j)
+                if j in ends:
+                    break
+                held = values[j]
+            else:
+                held *= decay
+        ends.update(dict.fromkeys(path, ends.get(path[-1], path[-1])))
+    return [*((bound, values[ends[i]], len(values) - 1 - ends[i]) for i, bound in rows), (math.inf, -1.0, len(values))]
+
+
 def decayed_peak(
     df: DataFrame, keys: Sequence[str], time_us: str, tie: str, score: str, decay: float = 0.95, **chunking
 ) -> DataFrame:

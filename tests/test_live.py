@@ -97,11 +97,15 @@ def slow_peaks(x, held, decay):
     return out
 
 
-def test_decayed_peaks_without_steps():
+@pytest.mark.parametrize("short", [0, 256])
+def test_decayed_peaks_without_steps(monkeypatch, short):
     import numpy as np
 
+    from soundledger.operators import folds
     from soundledger.operators.folds import decayed, hold_peak, peak_exits
 
+    monkeypatch.setattr(folds, "SHORT", short)
+
     rng = np.random.default_rng(4)
     for case in range(400):
         n = int(rng.integers(1, 90))
