@@ -279,6 +279,14 @@ def failed_captures(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     return features.filter(F.col("error").isNotNull()).select(*keys, "error")
 
 
+def rounded_feature(name: Column, value: Column) -> Column:
+    """A feature's value with the decimals of its name, halves to even; features without a rule stay as they are."""
+    out = value
+    for digits in sorted(set(DECIMALS.values())):
+        out = F.when(name.isin(*[n for n, d in DECIMALS.items() if d == digits]), F.bround(value, digits)).otherwise(out)
+    return out
+
+
 def segment_grid(dur_s: Column, seg_len_s: float = 0.96, seg_hop_s: float = 0.48) -> Column:
     """Zero-based numbers of the full windows in a capture; empty when it is shorter than one."""
     last = F.floor((dur_s + 1e-6 - seg_len_s) / seg_hop_s).cast("int")

@@ -280,3 +280,19 @@ def patch_health(spark, sf):
         "file", "seg_idx", F.col("mel_min").cast("int").alias("mel_min"), F.col("mel_max").cast("int").alias("mel_max"),
         F.round("mel_mean", 6).alias("mel_mean"), F.round("zero_share", 6).alias("zero_share"), "flat",
     )
+
+
+_RULES = ", ".join(f"('{name}', {digits})" for name, digits in A.DECIMALS.items())
+_ROUNDED = "CASE digits " + " ".join(f"WHEN {d} THEN round_even(raw, {d})" for d in sorted(set(A.DECIMALS.values()))) + " ELSE raw END"
+
+
+@query(
+    "f23_feature_decimals",
+    f"""WITH v AS (SELECT event_id, n.name, n.digits, value*(event_id%9+1)/7e0 AS raw FROM events, (VALUES {_RULES}, ('samples', 17)) n(name, digits) WHERE event_id%5=0)
+      SELECT event_id, name, {_ROUNDED} AS value FROM v""",
+)
+def feature_decimals(spark, sf):
+    """The rounding rule of every feature that has one, over values as features; and one without."""
+    e = table(spark, sf, "events").filter("event_id % 5 = 0").select("event_id", (F.col("value") * (F.col("event_id") % 9 + 1) / 7.0).alias("raw"))
+    long = e.withColumn("name", F.explode(F.array(*[F.lit(n) for n in [*A.DECIMALS, "samples"]])))
+    return long.select("event_id", "name", A.rounded_feature(F.col("name"), F.col("raw")).alias("value"))
